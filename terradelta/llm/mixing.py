@@ -73,7 +73,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
 
 
 def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as ``mixed`` says; doc_id must be its key."""
-    copies = mixed.where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """The mixed corpus: each row of ``docs``, all columns as they were, as often as ``mixed`` says. Rows that
+    share a doc_id share out its copies."""
+    copies = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("copies").alias("_copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    rows = rows.join(copies, rows["_row.doc_id"].eqNullSafe(copies["_id"]))
+    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("_id").orderBy(F.lit(0))))
+    rows = rows.withColumn("_times", F.get("_copies", F.col("_nth") - 1).cast("int")).where("_times > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

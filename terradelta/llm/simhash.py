@@ -8,6 +8,7 @@ from itertools import combinations, repeat
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, map_rows, stage_table
@@ -57,25 +58,24 @@ def ball(bits: int, half: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(fps: DataFrame, radius: int = 2, bits: int = 64, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Star edges (a, b) between distinct fingerprints that differ in at most ``radius`` bits, such that
-    linked fingerprints are connected exactly as by all pairs.
+def links(nodes: DataFrame, radius: int = 2, bits: int = 64) -> DataFrame:
+    """Star edges (a, b) between the ``nodes`` (node, key) whose keys differ in at most ``radius`` of their
+    low ``bits`` bits and nowhere else.
 
-    Two fingerprints within ``radius`` (even) share a variant within radius / 2 of both: each distinct
-    fingerprint emits its half-radius ball, the shuffle is on the variant, and a variant that two
-    fingerprints reach collides. A variant's bucket lies within its own ball, so it has at most
-    ``len(ball)`` members, all within ``radius`` of each other: linking each to the least of them loses
-    no connection. Members of colliding variants are found by probing the ball again, by equi-join.
+    Two keys within ``radius`` (even) share a variant within radius / 2 of both: each node emits its key's
+    half-radius ball, the shuffle is on the variant, and a variant that two nodes reach collides. All
+    that meet at a variant are within ``radius`` of each other, so linking each to the least of them
+    connects what all pairs would connect. Least and greatest are combined as rows arrive; members of
+    colliding variants are found by probing the ball again, by equi-join, so no bucket is gathered.
     """
     if radius % 2:
         raise ValueError("the radius is met in the middle: it must be even")
     masks = F.array(*[F.lit(m).cast("long") for m in ball(bits, radius // 2)])
     around = lambda c: F.explode(F.transform(masks, lambda m: c.bitwiseXOR(m)))
-    variants = fps.select("fp", around(F.col("fp")).alias("v")).repartition("v")
-    hit = variants.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
-    probes = hit.select("a", around(F.col("v")).alias("b")).where("a <> b")
-    met = probes.join(fps.select(F.col("fp").alias("b")), "b").distinct()
-    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
+    variants = nodes.select("node", around(F.col("key")).alias("v")).repartition("v")
+    hit = variants.groupBy("v").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    probes = hit.select("a", around(F.col("v")).alias("key"))
+    return probes.join(nodes.select("key", F.col("node").alias("b")), "key").where("a <> b").select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -88,8 +88,85 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """
     prints = stage_table(fingerprints(docs, words), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = components(links(classes.select("fp"), radius))
+    met = links(classes.select(F.col("fp").alias("node"), F.col("fp").alias("key")), radius)
+    linked = components(met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     labels = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = labels.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = labels.join(least, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For similarity 0.8 and more one 64-bit fingerprint isn't enough: at 0.8 two texts differ in about 10 of
+#: 64 bits. So near_duplicates meets 8 independent fingerprints of 32 bits, each within radius 2.
+BLOCKS, BLOCK_BITS = 8, 32
+
+
+def block_keys(hashes: np.ndarray) -> list[int]:
+    """Independent 32-bit fingerprints of one text's shingles, each tagged with its number above."""
+    out = []
+    for n in range(BLOCKS // 2):
+        x = hashes * np.uint64(2 * n + 0x9E3779B97F4A7C15) if n else hashes
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        fp = fingerprint(x ^ (x >> np.uint64(29))) & ((1 << 64) - 1)
+        out += [(2 * n) << BLOCK_BITS | fp >> 32, (2 * n + 1) << BLOCK_BITS | fp & 0xFFFFFFFF]
+    return out
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    """(th, doc_id, component_id, keep) for each distinct (text, doc_id) of ``docs``: th the text's XXH64,
+    component_id the smallest doc_id of its group, keep true for one doc_id and text a group.
+
+    Texts whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity`` are linked
+    if they meet within ``radius`` bits in one of 8 fingerprints of 32 bits; each candidate is verified on
+    the whole sets. Expected share of pairs that meet: 0.63 at similarity 0.8, 0.83 at 0.85, 0.96 at 0.9,
+    0.999 at 0.95. Equal texts are one node. Null and empty texts are equal; all texts without words
+    are alike. Null doc_id: the largest.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = rows.withColumn("th", F.xxhash64("text")).withColumn("text", F.col("text").cast("binary"))
+
+    def prints(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"th": b["th"], "doc_id": b["doc_id"], "keys": [block_keys(np.unique(shingle_hashes(t, words))) for t in b["text"]]}
+
+    found = stage_table(map_rows(rows, prints, "th long, doc_id long, keys array<long>"), "blocks")
+    classes = stage_table(found.groupBy("th").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "classes")
+    nodes = classes.select(F.col("th").alias("node"), F.explode("keys").alias("key"))
+    pairs = stage_table(links(nodes, radius, BLOCK_BITS), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+    texts = rows.select("th", "doc_id", "text").join(asked, "th").join(classes.select("th", F.col("first").alias("doc_id")), ["th", "doc_id"])
+
+    def sets(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"th": b["th"], "set": [np.unique(shingle_hashes(t, words)).tobytes() for t in b["text"]]}
+
+    shingles = stage_table(map_rows(texts, sets, "th long, set binary").dropDuplicates(["th"]), "sets")
+    both = pairs.join(shingles.select(F.col("th").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("th").alias("b"), F.col("set").alias("y")), "b")
+
+    def verify(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            out: dict[str, list] = {"a": [], "b": []}
+            for u, v, x, y in zip(b["a"], b["b"], b["x"], b["y"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                if same >= similarity * (len(x) + len(y) - same):
+                    out["a"].append(u)
+                    out["b"].append(v)
+            yield out
+
+    linked = components(map_rows(both, verify, "a long, b long"))
+    labels = classes.join(linked, classes["th"] == linked["node"], "left").select("th", "first", F.coalesce("root", "th").alias("root"))
+    best = labels.groupBy("root").agg(F.min(F.struct("first", "th")).alias("best"))
+    labels = labels.join(best, "root").select("th", "best")
+    out = found.select("th", "doc_id").distinct().join(labels, "th")
+    return out.select("th", "doc_id", F.col("best.first").alias("component_id"), ((F.col("doc_id") == F.col("best.first")) & (F.col("th") == F.col("best.th"))).alias("keep"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns as they were, of which one of each near-duplicate group stays: that with
+    the smallest doc_id; of repeated rows one."""
+    keep = near_duplicates(docs, words, similarity).where("keep").select(F.col("th").alias("_th"), F.col("doc_id").alias("_id"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    rows = rows.withColumn("_th", F.xxhash64(F.coalesce("_row.text", F.lit("")))).withColumn("_id", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    kept = rows.join(keep, ["_th", "_id"]).withColumn("_nth", F.row_number().over(W.partitionBy("_th", "_id").orderBy(F.lit(0))))
+    return kept.where("_nth = 1").select("_row.*")
