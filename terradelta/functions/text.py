@@ -48,7 +48,7 @@ def canonical_json(m: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """M2: lower case, runs of other than a-z0-9 as one dash, 160 characters, 'unnamed' if nothing is left."""
-    s = F.substring(F.trim(F.lit("-"), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "-")), 1, 160)
+    s = F.substring(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "-"), F.lit("-")), 1, 160)
     return F.coalesce(F.when(s != "", s), F.lit("unnamed"))
 
 
@@ -101,7 +101,7 @@ def urls(text: Column) -> Column:
 
 def split_names(text: Column) -> Column:
     """M6: names split at lines, commas and semicolons, trimmed, distinct."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\n,;]"), F.trim), lambda n: n != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\n,;]"), lambda n: F.trim(n)), lambda n: n != ""))
 
 
 def uuid5(namespace_hex: str, name: Column) -> Column:
@@ -204,7 +204,7 @@ def target_label(title: Column, description: Column, city: Column) -> Column:
     said = F.when(starts, F.ltrim(said.substr(F.length(city) + 1, F.length(said)))).otherwise(said)
     said = F.concat(F.upper(F.substring(said, 1, 1)), said.substr(F.lit(2), F.length(said)))
     stem = F.regexp_replace(F.coalesce(title, F.lit("")), r"(?i)^Will Russia capture\s+(?:the\s+)?", "")
-    stem = F.trim(F.lit(" ?"), F.regexp_replace(stem, r"(?i)\s+by.*$", ""))
+    stem = F.trim(F.regexp_replace(stem, r"(?i)\s+by.*$", ""), F.lit(" ?"))
     return F.coalesce(specific, said, F.when(stem != "", stem), F.lit("Capture target"))
 
 

@@ -144,8 +144,8 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_bodies(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct bodies (sha256, suffix, size, body) and links (source_id, url, sha256) of (source_id, url,
-    content_type, body). The hash is computed once a row, and bodies never meet in one group: the first of
-    equals is kept by max() on a small key, then found again by equi-join."""
+    content_type, body). Equal bodies are combined map-side, so a body that comes a million times travels
+    once a task."""
     kind = F.lit("bin")
     for told, suffix in reversed(BODY_TYPES):
         kind = F.when(F.lower(F.coalesce("content_type", F.lit(""))).contains(told) | F.lower(F.coalesce("url", F.lit(""))).endswith(f".{suffix}"), suffix).otherwise(kind)
