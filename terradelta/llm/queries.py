@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,4 +57,55 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_substring_dedup, op4_line_dedup, op5_mix_sources, op6_warc, op7_simhash, op8_shard, op9_pack, op10_host_rules)}
 
-ORACLES: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP3 = rf"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+g AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35) t),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY h) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS kept, count(*) AS n FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.i = p.i WHERE c.i IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+OP4 = rf"""WITH a AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL) t),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sum(nw) OVER (PARTITION BY doc_id ORDER BY pos) AS cum FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw FROM a) t WHERE nw > 0),
+w AS (SELECT x.doc_id, x.i, min(y.i) AS j FROM l x JOIN l y ON x.doc_id = y.doc_id AND y.i >= x.i AND y.cum - x.cum + x.nw >= 10 GROUP BY 1, 2),
+h AS (SELECT w.doc_id, w.i, w.j, md5(string_agg(line, chr(10) ORDER BY l.i)) AS h FROM w JOIN l ON l.doc_id = w.doc_id AND l.i BETWEEN w.i AND w.j GROUP BY 1, 2, 3),
+s AS (SELECT h, min(ROW(doc_id, i)) AS src FROM h GROUP BY 1),
+m AS (SELECT h.doc_id AS q, h.i, src[1] AS p, h.i - src[2] AS shift FROM h JOIN s USING (h) WHERE ROW(h.doc_id, h.i) > src),
+e AS (SELECT g.q, g.p, g.shift, x.i, x.i - row_number() OVER (PARTITION BY g.q, g.p, g.shift ORDER BY x.i) AS island FROM (SELECT DISTINCT q, p, shift FROM m) g JOIN l x ON x.doc_id = g.q JOIN l y ON y.doc_id = g.p AND y.i = x.i - g.shift AND y.line = x.line),
+f AS (SELECT DISTINCT e.q, e.p, e.shift, e.island FROM e JOIN m ON m.q = e.q AND m.p = e.p AND m.shift = e.shift AND m.i = e.i),
+z AS (SELECT DISTINCT l.doc_id, l.pos FROM e JOIN f USING (q, p, shift, island) JOIN l ON l.doc_id = e.q AND l.i = e.i),
+k AS (SELECT a.doc_id, string_agg(a.line, chr(10) ORDER BY a.pos) AS kept FROM a LEFT JOIN z ON z.doc_id = a.doc_id AND z.pos = a.pos WHERE z.pos IS NULL GROUP BY 1)
+SELECT d.doc_id, (SELECT count(*) FROM l WHERE l.doc_id = d.doc_id) AS n_lines, (SELECT count(*) FROM z WHERE z.doc_id = d.doc_id) AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.kept, '')) END AS kept_sha256 FROM documents d LEFT JOIN k USING (doc_id)"""
+
+OP5 = rf"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+r AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
+q AS (SELECT *, cap / weight AS ratio FROM r),
+v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q),
+t AS (SELECT source, source_size, coalesce(least(cap, max(CASE WHEN level <= ratio THEN level END) OVER () * weight), cap) AS target FROM v),
+n AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate, row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id NULLS FIRST) AS position FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CAST(least(floor({random.Random(11).random()!r}::DOUBLE + rate * position) - floor({random.Random(11).random()!r}::DOUBLE + rate * (position - 1)), 3) AS BIGINT) AS copies FROM n)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c"""
+
+_DIGIT = lambda n: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> {n}) & 31 AS INTEGER) + 1, 1)"
+OP6 = rf"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT h, max(page_id) AS best FROM p GROUP BY 1)
+SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(list_transform(range(8), lambda i: CAST('0x' || substr(h, CAST(1 + 5 * i AS INTEGER), 5) AS BIGINT)), lambda v: {_DIGIT(15)} || {_DIGIT(10)} || {_DIGIT(5)} || {_DIGIT(0)}), '') AS payload_digest,
+CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM p JOIN b USING (h)"""
+
+OP10 = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, list_slice(w, i, i + 4) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5) t) u QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM g) t GROUP BY 1),
+r AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN c USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM r),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM f GROUP BY 1),
+t AS (SELECT sum(n) AS nn, sum(bad) / sum(n) AS mean, sum(n * (bad / n) * (bad / n)) AS npp, count(*) AS k, sum(n * n) AS n2 FROM h),
+v AS (SELECT *, CASE WHEN nn - n2 / nn > 0 THEN (npp - nn * mean * mean - mean * (1 - mean) * (k - 1)) / (nn - n2 / nn) ELSE 0 END AS var FROM t),
+s AS (SELECT mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (bad + mean * strength) / (n + strength) <= 0.5 AS kept FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, s"""
+
+#: SQL has no trained grammar, approximate search, XXH64, differencing or tokenizer: tests/llm checks those.
+ORACLES: dict[str, str] = {"op3_substring_dedup": OP3, "op4_line_dedup": OP4, "op5_mix_sources": OP5, "op6_warc": OP6, "op10_host_rules": OP10}
