@@ -24,7 +24,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BLOCK = 1 << 18
 HOLD = 4
 #: Longest stretch without a place to cut; longer ones get places within a sentence.
-STRIDE = 32
+STRIDE = 16
 
 
 def _worker_cache() -> dict:
@@ -98,19 +98,16 @@ def choose_cuts(places: list[int], penalty: list[float], size: int, each: float)
 
 def places_of(docs: list[tuple], ends: np.ndarray, sentence: float, inside: float) -> tuple[list[int], list[float]]:
     """Where a block may be cut: after documents (free), sentences and, in long stretches, anywhere."""
-    places, penalty, at = [0], [0.0], 0
-    for _, _, ids, _ in docs:
-        inner = np.flatnonzero(ends[ids[:-1]]) + 1
-        stops = np.concatenate(([0], inner, [len(ids)]))
-        for k in np.flatnonzero(np.diff(stops) > STRIDE)[::-1].tolist():
-            stops = np.insert(stops, k + 1, np.arange(stops[k] + STRIDE, stops[k + 1], STRIDE))
-        kinds = np.full(len(stops), inside)
-        kinds[np.isin(stops, inner)] = sentence
-        kinds[-1] = 0.0
-        places += (stops[1:] + at).tolist()
-        penalty += kinds[1:].tolist()
-        at += len(ids)
-    return places, penalty
+    closes = np.cumsum([len(d[2]) for d in docs])
+    stops = np.union1d(np.flatnonzero(ends[np.concatenate([d[2] for d in docs])]) + 1, closes)
+    kinds = np.full(len(stops), sentence)
+    kinds[np.searchsorted(stops, closes)] = 0.0
+    begins = np.concatenate(([0], stops[:-1]))
+    extra = (stops - begins - 1) // STRIDE
+    nth = np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra) + 1
+    places = np.concatenate(([0], stops, np.repeat(begins, extra) + nth * STRIDE))
+    order = np.argsort(places, kind="stable")
+    return places[order].tolist(), np.concatenate(([0.0], kinds, np.full(len(nth), inside)))[order].tolist()
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, sentence: float = 1.0, inside: float = 6.0, each: float = 4.0) -> DataFrame:
