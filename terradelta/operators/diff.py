@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import boxes_meet, ground_distance, grid_cells
+from ..functions.geo import boxes_meet, grid_cells, ground_distance
+from .overlay import overlap_pairs, overlay_pairs
 
 #: The least overlap of a feature that changed its id, and the confidence such a pair can have.
 OVERLAP, CROSS_ID_CONFIDENCE = 0.90, 0.90
@@ -79,6 +80,35 @@ def cross_id(old: DataFrame, new: DataFrame, overlap: Column | None = None, step
     return both.select("source_id", "obs", "old_feature_id", "new_feature_id", F.lit(1).alias("priority"), "overlap", _distance().alias("distance"))
 
 
+def cross_id_shapes(old: DataFrame, new: DataFrame, shapes: DataFrame, step: float = 0.25) -> DataFrame:
+    """J5 on polygons: as cross_id, the overlap being that of the shapes (source_id, feature_id, rings). Only pairs that
+    agree in layer and properties and whose boxes meet and are of like size get to the overlay helper."""
+    o, n = ([F.col(f"{p}_{c}") for c in ("w", "s", "e", "n")] for p in ("old", "new"))
+    area = lambda b: (b[2] - b[0]) * (F.sin(F.radians(b[3])) - F.sin(F.radians(b[1])))
+    # Polygons that overlap by 0.9 needn't have boxes that do; but boxes that don't meet rule it out.
+    alike = F.when(F.least(area(o), area(n)) > 0, F.lit(1.0)).otherwise(0.0)
+    met = cross_id(old, new, alike, step)
+    mine = shapes.select("source_id", F.col("feature_id").alias("old_feature_id"), F.col("rings").alias("old_rings"))
+    theirs = shapes.select("source_id", F.col("feature_id").alias("new_feature_id"), F.col("rings").alias("new_rings"))
+    met = met.drop("overlap").withColumn("pair_id", F.concat_ws("\n", "source_id", "obs", "old_feature_id", "new_feature_id"))
+    measured = overlap_pairs(met.join(mine, ["source_id", "old_feature_id"]).join(theirs, ["source_id", "new_feature_id"]))
+    return met.join(measured, "pair_id").where(F.col("overlap") >= OVERLAP).select("source_id", "obs", "old_feature_id", "new_feature_id", "priority", "overlap", "distance")
+
+
+def drop_immaterial(changed: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Changes without moved pairs whose pieces are all slivers (or that moved nowhere); other changes stay.
+    Only moved pairs' shapes are fetched and overlaid."""
+    moved = changed.where((F.col("change_type") == "modified") & F.col("moved"))
+    pairs = moved.select("source_id", "obs", "old_feature_id", "new_feature_id").withColumn("pair_id", F.concat_ws("\n", "source_id", "obs", "old_feature_id", "new_feature_id"))
+    mine = shapes.select("source_id", F.col("feature_id").alias("old_feature_id"), F.col("rings").alias("old_rings"))
+    theirs = shapes.select("source_id", F.col("feature_id").alias("new_feature_id"), F.col("rings").alias("new_rings"))
+    pieces = overlay_pairs(pairs.join(mine, ["source_id", "old_feature_id"]).join(theirs, ["source_id", "new_feature_id"]))
+    kept = pieces.where(material(F.col("area"), F.col("radius"), F.col("perimeter"), F.lit(True))).select("pair_id").distinct()
+    kept = pairs.join(kept, "pair_id").select("source_id", "obs", "old_feature_id", "new_feature_id")
+    real = moved.join(kept, ["source_id", "obs", "old_feature_id", "new_feature_id"], "left_semi")
+    return changed.where((F.col("change_type") != "modified") | ~F.col("moved")).unionByName(real)
+
+
 def box_overlap(o: list[Column], n: list[Column]) -> Column:
     """Intersection over union of two boxes on the sphere (equal-area: longitude by sine of latitude)."""
     band = lambda s, t: F.sin(F.radians(t)) - F.sin(F.radians(s))

@@ -146,6 +146,14 @@ def best_pairs(s, d):
 
 
 add("mutual_best_pairs", best_pairs, DIFF.rsplit(",\nchanged", 1)[0] + " SELECT source_id, obs, old_id AS old_feature_id, new_id AS new_feature_id, priority FROM best")
+def box_shapes(s, d) -> DataFrame:
+    return V(s, d, "features").select("source_id", "feature_id", rings_of(F.col("w"), F.col("s"), F.col("e"), F.col("n")).alias("rings"))
+
+
+add("cross_id_polygons", lambda s, d: diff.cross_id_shapes(*diff.split_unchanged(V(s, d, "features")), box_shapes(s, d)).select("source_id", "obs", "old_feature_id", "new_feature_id", F.round("overlap", 6).alias("overlap")),
+    DIFF.rsplit(",\ncandidates", 1)[0] + " SELECT source_id, obs, old_id AS old_feature_id, new_id AS new_feature_id, round(overlap, 6) AS overlap FROM cross_pairs")
+add("material_feature_changes", lambda s, d: diff.drop_immaterial(diff.changes(V(s, d, "features")), box_shapes(s, d)).select("source_id", "obs", "logical_key", "change_type", "old_feature_id", "new_feature_id"),
+    DIFF + "SELECT c.source_id, c.obs, c.logical_key, change_type, old_id AS old_feature_id, new_id AS new_feature_id FROM changed c LEFT JOIN {features} o ON o.source_id = c.source_id AND o.feature_id = c.old_id LEFT JOIN {features} f ON f.source_id = c.source_id AND f.feature_id = c.new_id WHERE change_type <> 'modified' OR NOT moved OR o.w <> f.w OR o.s <> f.s")
 add("feature_changes", lambda s, d: changed_pieces(s, d).select("source_id", "obs", "logical_key", "change_type", "old_feature_id", "new_feature_id", "confidence"),
     DIFF + "SELECT source_id, obs, logical_key, change_type, old_id AS old_feature_id, new_id AS new_feature_id, confidence FROM changed")
 add("change_counts_per_observation", change_counts_per_observation,
