@@ -54,12 +54,13 @@ def page_record(page_id: int | None, nth: int, url: str | None, payload: bytes,
     return record("revisit", headers | {"WARC-Profile": REVISIT, "WARC-Refers-To": record_id(refers_to, 0), "X-Refers-To-Page-Id": refers_to}, http)
 
 
-def dictionary(pages: DataFrame, rows: int = 512, per_row: int = 16_384, size: int = 65_536) -> bytes:
-    """A Zstandard dictionary of the records of ``rows`` pages (those with the least hash of page_id), of
-    each at most ``per_row`` bytes: the bounded sample of 8 MB comes to the driver. With too few records
-    to train on, their text itself serves as the dictionary."""
-    some = pages.select("page_id", "url", F.substring(F.col("payload"), 1, per_row).alias("payload"))
-    some = some.orderBy(F.xxhash64("page_id"), "page_id", "url").limit(rows).collect()
+def dictionary(pages: DataFrame, n_pages: int, rows: int = 512, per_row: int = 16_384, size: int = 65_536) -> bytes:
+    """A Zstandard dictionary of the records of about ``rows`` pages (chosen by hash of page_id), of each at most
+    ``per_row`` bytes: the bounded sample of 8 MB comes to the driver. With too few records to train on,
+    their text itself serves as the dictionary."""
+    one_in = max(1, n_pages // rows)
+    some = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(one_in)) == 0).select("page_id", "url", F.substring(F.col("payload"), 1, per_row).alias("payload"))
+    some = sorted(some.limit(2 * rows).collect(), key=lambda r: (r.page_id is None, r.page_id, r.url or ""))
     samples = [page_record(r.page_id, 0, r.url, bytes(r.payload), None, False) for r in some]
     try:
         return zstandard.train_dictionary(size, samples, k=512, d=8, level=3).as_bytes()
@@ -68,11 +69,12 @@ def dictionary(pages: DataFrame, rows: int = 512, per_row: int = 16_384, size: i
 
 
 def _open(path: str, write: bool = False):
+    """A stream of the bytes as they are: by default a name that ends in .zst would be compressed again."""
     system, inner = fs.FileSystem.from_uri(path)
     if write:
         system.create_dir(posixpath.dirname(inner), recursive=True)
-        return system.open_output_stream(inner)
-    return system.open_input_stream(inner)
+        return system.open_output_stream(inner, compression=None)
+    return system.open_input_stream(inner, compression=None)
 
 
 def write_archives(rows: DataFrame, folder: str, words: bytes, level: int = 3) -> DataFrame:
@@ -182,12 +184,13 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
-    keys = stage_table(rows.select("page_id", "key"), "keys")
+    rows = rows.withColumn("at", F.coalesce("page_id", F.lit(-(1 << 63))))
+    keys = stage_table(rows.select("at", "page_id", "key"), "keys")
     best = keys.groupBy("key").agg(F.max("page_id").alias("best"))
-    kinds = keys.distinct().join(best, "key").select(F.col("page_id").alias("_page"), F.col("key").alias("_key"), "best")
-    joined = rows.join(kinds, rows["page_id"].eqNullSafe(kinds["_page"]) & (rows["key"] == kinds["_key"]))
-    nth = F.row_number().over(W.partitionBy("_page", "_key").orderBy("url")) - 1
+    kinds = keys.distinct().join(best, "key").select("at", "key", "best")
+    joined = rows.join(kinds, ["at", "key"])  # the one shuffle of payloads: the window below has the same keys
+    nth = F.row_number().over(W.partitionBy("at", "key").orderBy("url")) - 1
     joined = joined.withColumn("nth", nth).withColumn("revisit", ~(F.col("page_id").eqNullSafe(F.col("best")) & (F.col("nth") == 0)))
     joined = joined.select("page_id", "url", "payload", "nth", F.when(F.col("revisit"), F.col("best")).alias("refers_to"), "revisit")
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(joined, folder, dictionary(rows)))
+    return read_archives(write_archives(joined, folder, dictionary(rows, keys.count())))
