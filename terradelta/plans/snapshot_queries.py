@@ -12,7 +12,7 @@ from ..operators import diff, feed, identity, overlay, snapshots, tiles
 from ..sources import readers
 from .views import view as V
 
-NOW = F.lit("2001-01-01").cast("timestamp")
+NOW = lambda: F.lit("2001-01-01").cast("timestamp")
 #: The features view already has ordinals' inputs; this SQL gives what is left of each side, as in diff.split_unchanged.
 DIFF = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY source_id, obs, base_key, content_hash ORDER BY logical_key, feature_id) AS ordinal, max(obs) OVER (PARTITION BY source_id) AS last FROM {features}),
 old_left AS (SELECT a.* REPLACE (a.obs + 1 AS obs) FROM o a LEFT JOIN o b ON a.source_id = b.source_id AND b.obs = a.obs + 1 AND a.base_key = b.base_key AND a.content_hash = b.content_hash AND a.ordinal = b.ordinal AND a.layer_key = b.layer_key WHERE a.obs < a.last AND b.obs IS NULL),
@@ -109,9 +109,9 @@ add("state_as_of_day", lambda s, d: snapshots.as_of(V(s, d, "stored"), as_of_day
     """SELECT x.source_id, strftime(x.day, '%Y-%m-%d') AS day, (SELECT content_hash FROM {stored} r WHERE r.source_id = x.source_id AND r.observed_at < x.ends ORDER BY observed_at DESC, run_id DESC LIMIT 1) AS content_hash FROM (SELECT source_id, CAST(g AS DATE) AS day, CAST(timezone('UTC', timezone('Europe/Kyiv', g + INTERVAL 1 DAY)) AS TIMESTAMP) AS ends FROM (SELECT DISTINCT source_id FROM {stored}) q, generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-12-31', INTERVAL 1 DAY) t(g)) x""")
 add("latest_run_per_source", lambda s, d: snapshots.latest_runs(feed_sources(s, d).select("source_id"), V(s, d, "runs")).select("source_id", "run_id", "content_hash"),
     "SELECT source_id, arg_max(run_id, (observed_at, run_id)) AS run_id, arg_max(content_hash, (observed_at, run_id)) AS content_hash FROM {runs} GROUP BY source_id")
-add("run_health", lambda s, d: snapshots.health(V(s, d, "runs"), NOW).select("failed_24h", D("last_success").alias("last_success")),
+add("run_health", lambda s, d: snapshots.health(V(s, d, "runs"), NOW()).select("failed_24h", D("last_success").alias("last_success")),
     f"SELECT count(*) FILTER (status = 'failed' AND observed_at >= TIMESTAMP '2000-12-31') AS failed_24h, {DS(chr(109) + 'ax(observed_at) FILTER (status <> ' + chr(39) + 'failed' + chr(39) + ')')} AS last_success FROM {{runs}}")
-add("sources_overdue", lambda s, d: snapshots.overdue(feed_sources(s, d).select("source_id", F.lit(86400.0).alias("default_seconds"), F.create_map(F.lit("a"), F.length("source_id") * 1000.0).alias("layer_seconds")), V(s, d, "runs"), NOW).select("source_id", "limit_s", "overdue"),
+add("sources_overdue", lambda s, d: snapshots.overdue(feed_sources(s, d).select("source_id", F.lit(86400.0).alias("default_seconds"), F.create_map(F.lit("a"), F.length("source_id") * 1000.0).alias("layer_seconds")), V(s, d, "runs"), NOW()).select("source_id", "limit_s", "overdue"),
     "SELECT source_id, greatest(3 * greatest(86400.0, length(source_id) * 1000.0), 1200.0)::DOUBLE AS limit_s, epoch(TIMESTAMP '2001-01-01') - epoch(max(observed_at)) > greatest(3 * greatest(86400.0, length(source_id) * 1000.0), 1200.0) AS overdue FROM {runs} GROUP BY source_id")
 add("calendar_days", lambda s, d: snapshots.calendar(V(s, d, "stored"), V(s, d, "geo_events"), F.lit("2024-01-10").cast("date"), F.lit("2024-02-01").cast("date")).select(F.col("day").cast("string").alias("day")),
     "SELECT strftime(g, '%Y-%m-%d') AS day FROM generate_series((SELECT date_trunc('day', least(min(observed_at), TIMESTAMP '2024-01-10')) FROM {stored}), TIMESTAMP '2024-02-01', INTERVAL 1 DAY) t(g)")
