@@ -94,14 +94,15 @@ def valid(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 8, confidence: float = 0.99, sample: int = 4096, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 8, confidence: float = 0.99, sample: int = 16_384, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every`` the ``k`` rows of
     largest inner product found among all other rows, nearest first, ties to the smaller vec_id.
 
     Inner product becomes distance by one more coordinate: rows get sqrt(M - |x|^2), M the largest squared
     norm, queries 0. Gaussian (2-stable) projections to ``dims`` dimensions then make projected over true
     squared distance chi-square with ``dims`` degrees of freedom. The kd-tree over projections is fitted on
-    ``sample`` rows (least hash of vec_id) and indexes every row; its leaves are cut into chunks of about
+    about ``sample`` rows (chosen by hash of vec_id; their projections alone reach the driver) and indexes
+    every row; its leaves are cut into chunks of about
     8,192 rows, each with a kd-tree of its own in its task. A query first searches its home leaf: buckets in
     order of projected distance, their rows verified by exact inner products, until a nearer row beyond
     the next bucket has probability under 1 - ``confidence`` by the chi-square test at the k-th distance
@@ -125,8 +126,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 8, conf
     def lifted(x: np.ndarray) -> np.ndarray:
         return x @ axes[:-1] + np.sqrt(np.maximum(most - (x * x).sum(axis=1), 0))[:, None] * axes[-1]
 
-    some = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("x").collect()
-    top = Tree(lifted(np.array([r.x for r in some], float)), min(-(-count // CHUNK), sample // 16) or 1)
+    def project(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"vec_id": b["vec_id"], "p": lifted(np.array(b["x"], float).reshape(-1, width)).tolist()}
+
+    drawn = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, count // sample))) == 0).select("vec_id", "x")
+    some = sorted((r.vec_id, r.p) for r in map_rows(drawn, project, "vec_id long, p array<double>").limit(2 * sample).collect())
+    top = Tree(np.array([p for _, p in some], float).reshape(-1, dims), min(-(-count // CHUNK), sample // 16) or 1)
 
     def assign(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
