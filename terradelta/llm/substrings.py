@@ -5,6 +5,7 @@ A window of 35 words that occurs twice has, at both places, the same least 8-wor
 always share a group. Groups whose prefix occurs once hold no repeat and end there; a group of up to GROUP
 places becomes one suffix subtree in one task's memory; for a more frequent prefix the prefix grows to
 the whole window, whose subtree is one deep node: it is counted, combined map-side, and never gathered.
+There, too, spans of text that are equal whole are one span with a count before their windows are taken.
 """
 
 from __future__ import annotations
@@ -113,12 +114,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     runs = map_rows(rows.select("id", "th", "text"), runs_of, "id long, th long, prefix long, start int, windows int, places int")
     runs = stage_table(runs, "runs")
-    often = runs.groupBy("prefix").agg(F.sum("places").alias("n")).where("n > 1")
-    live = stage_table(runs.drop("places").join(often, "prefix"), "live")
+    repeated = runs.groupBy("prefix").agg(F.sum("places").alias("n")).where("n > 1")
+    live = stage_table(runs.drop("places").join(repeated, "prefix"), "live")
 
     def spans_of(which: DataFrame) -> DataFrame:
         own = which.groupBy("id", "th").agg(F.collect_list(F.struct("prefix", "start", "windows")).alias("runs"))
-        return rows.join(own, ["id", "th"]).select("id", "th", "text", "runs")
+        # All columns of rows, so that this shuffle of the texts and the last join's are one and the same.
+        return rows.join(own, ["id", "th"]).select("id", "th", "doc_id", "text", "runs")
 
     def cut(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -157,23 +159,38 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             grow()
         yield out
 
-    def whole_windows(batches: Iterator[dict]) -> Iterator[dict]:
+    def digests(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("window", "id", "th", "a", "b")}
+            out: dict[str, list] = {k: [] for k in ("span", "id", "th", "start", "windows", "hashes")}
             for i, th, text, runs in zip(b["id"], b["th"], b["text"], b["runs"], strict=True):
                 words = text.split()
                 for r in runs:
-                    for a in range(r["start"], r["start"] + r["windows"]):
-                        for k, v in zip(out, (xxhash.xxh3_128_digest(b" ".join(words[a : a + WINDOW])), i, th, a, a + WINDOW), strict=True):
-                            out[k].append(v)
+                    a, n = r["start"], r["windows"]
+                    whole = xxhash.xxh3_128_digest(b" ".join(words[a : a + n + WINDOW - 1]))
+                    each = [xxhash.xxh3_128_digest(b" ".join(words[w : w + WINDOW])) for w in range(a, a + n)]
+                    for k, v in zip(out, (whole, i, th, a, n, each), strict=True):
+                        out[k].append(v)
+            yield out
+
+    def flag(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            out: dict[str, list] = {k: [] for k in ("id", "th", "a", "b")}
+            for i, th, start, n, copies, deep in zip(*(b[k] for k in ("id", "th", "start", "windows", "n", "deep")), strict=True):
+                for a, z in [(0, n - 1)] if copies > 1 else stretches(deep or []):
+                    for k, v in zip(out, (i, th, start + a, start + z + WINDOW), strict=True):
+                        out[k].append(v)
             yield out
 
     spans = map_rows(spans_of(live.where(F.col("n") <= GROUP)), cut, "prefix long, id long, th long, start int, windows int, span binary")
     cold = map_rows(spans.repartition("prefix").sortWithinPartitions("prefix"), trees, "id long, th long, a int, b int")
-    windows = map_rows(spans_of(live.where(F.col("n") > GROUP)), whole_windows, "window binary, id long, th long, a int, b int")
-    windows = stage_table(windows, "windows")
-    deep = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    hot = windows.join(deep, "window").select("id", "th", "a", "b")
+    # Frequent prefixes: equal spans collapse to one with a count, so only different ones are taken apart.
+    often = map_rows(spans_of(live.where(F.col("n") > GROUP)), digests, "span binary, id long, th long, start int, windows int, hashes array<binary>")
+    kinds = often.groupBy("span").agg(F.count("*").alias("n"), F.first("hashes").alias("hashes"))
+    parts = kinds.select("span", "n", F.posexplode("hashes").alias("at", "window"))
+    deep = parts.groupBy("window").agg(F.sum("n").alias("t")).where("t > 1").select("window")
+    lone = parts.where("n = 1").join(deep, "window").groupBy("span").agg(F.collect_list("at").alias("deep"))
+    told = kinds.select("span", "n").join(lone, "span", "left")
+    hot = map_rows(often.drop("hashes").join(told, "span"), flag, "id long, th long, a int, b int")
     repeats = cold.unionByName(hot).groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
 
     def keep(batches: Iterator[dict]) -> Iterator[dict]:
@@ -189,5 +206,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     out[k].append(v)
             yield out
 
-    joined = rows.join(repeats, ["id", "th"], "left").select("doc_id", "text", "cuts")
+    joined = rows.join(repeats, ["id", "th"], "left").select("id", "th", "doc_id", "text", "cuts")
     return map_rows(joined, keep, "doc_id long, n_words long, n_removed long, kept_sha256 string")
