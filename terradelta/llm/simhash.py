@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -100,58 +101,93 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For similarity 0.8 and more one 64-bit fingerprint isn't enough: at 0.8 two texts differ in about 10 of
-#: 64 bits. So near_duplicates meets 12 independent fingerprints of 32 bits, each within radius 2.
-BLOCKS, BLOCK_BITS = 12, 32
-#: Pairs that meet by chance differ in about 192 of all 384 bits, those of similarity 0.8 in 58, give or take 7:
-#: beyond this many a pair isn't verified.
-MOST_APART = 104
+#: Shingles seen in several of about SAMPLE texts, HOT at most, come last in the order of shingles.
+SAMPLE, HOT, HOT_FROM = 4096, 16_384, 4
+#: Against rounding: thresholds are fractions of set sizes.
+EPS = 1e-9
 
 
-def block_keys(hashes: np.ndarray) -> list[int]:
-    """Independent 32-bit fingerprints of one text's shingles, each tagged with its number above."""
-    out = []
-    for n in range(BLOCKS // 2):
-        x = hashes * np.uint64(2 * n + 0x9E3779B97F4A7C15) if n else hashes
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        fp = fingerprint(x ^ (x >> np.uint64(29))) & ((1 << 64) - 1)
-        out += [(2 * n) << BLOCK_BITS | fp >> 32, (2 * n + 1) << BLOCK_BITS | fp & 0xFFFFFFFF]
-    return out
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted; a text without words has the one shingle 0."""
+    x = np.unique(shingle_hashes(text, words))
+    return x if len(x) else np.zeros(1, np.uint64)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+def frequent_shingles(texts: DataFrame, words: int) -> list[int]:
+    """The most frequent shingles in a sample of the distinct ``texts`` (th, text), most frequent last."""
+    n = max(texts.count(), 1)
+    part = texts.where(F.pmod(F.xxhash64("th"), F.lit(1 << 20)) < min(1 << 20, (SAMPLE << 20) // n + 1)).dropDuplicates(["th"])
+
+    def read(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            for t in b["text"]:
+                yield {"s": shingle_set(t, words).view(np.int64)}
+
+    counts = map_rows(part, read, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_FROM)
+    return [r.s for r in counts.orderBy(F.desc("n"), "s").limit(HOT).collect()][::-1]
+
+
+def prefix(x: np.ndarray, hot: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n shingles ``x`` (sorted) in one order for all texts: by hash, those
+    in ``hot`` (sorted) after all others, by ``rank``."""
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
+        hit = hot[at] == x
+        x = np.concatenate((x[~hit], x[hit][np.argsort(rank[at[hit]])]))
+    return x[: len(x) - math.ceil(similarity * len(x) - EPS) + 1]
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(th, doc_id, component_id, keep) for each distinct (text, doc_id) of ``docs``: th the text's XXH64,
     component_id the smallest doc_id of its group, keep true for one doc_id and text a group.
 
-    Texts whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity`` are linked
-    if they meet within ``radius`` bits in one of 12 fingerprints of 32 bits; each candidate is verified on
-    the whole sets. Expected share of pairs that meet: 0.77 at similarity 0.8, 0.93 at 0.85, 0.99 at 0.9,
-    0.9999 at 0.95. Equal texts are one node. Null and empty texts are equal; all texts without words
-    are alike. Null doc_id: the largest.
+    Groups are the connected components of all pairs of texts whose sets of ``words``-word shingles have a
+    Jaccard similarity of at least ``similarity``; none is missed. Such a pair shares a shingle among the
+    first n - ceil(similarity * n) + 1 of each set in any one order (prefix filter), so texts meet in buckets
+    by those shingles, frequent ones last. The shared ones of a pair bound its overlap; what can reach
+    the threshold is verified on the whole sets.
+
+    Buckets are settled in three rounds: each member is paired with the least, then with the member that has
+    most verified links, then all pairs left between different components of a bucket are formed. So
+    families cost a link a member, and still every pair that meets is verified, ruled out by its bound, or
+    joined through verified pairs. Equal texts are one node. Null and empty texts are equal; all texts without words are
+    alike. Null doc_id: the largest.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text")).withColumn("text", F.col("text").cast("binary"))
+    order = np.array(frequent_shingles(rows.select("th", "text"), words), np.int64).view(np.uint64)
+    rank = np.argsort(order)
+    hot = order[rank]
 
-    def prints(batches: Iterator[dict]) -> Iterator[dict]:
+    def prefixes(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"th": b["th"], "doc_id": b["doc_id"], "keys": [block_keys(np.unique(shingle_hashes(t, words))) for t in b["text"]]}
-
-    found = stage_table(map_rows(rows, prints, "th long, doc_id long, keys array<long>"), "blocks")
-    classes = stage_table(found.groupBy("th").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "classes")
-    nodes = classes.select(F.col("th").alias("node"), F.explode("keys").alias("key"))
-    keys = lambda n: classes.select(F.col("th").alias(n), F.col("keys").alias(f"{n}_keys"))
-    apart = F.aggregate(F.zip_with("a_keys", "b_keys", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    met = links(nodes, radius, BLOCK_BITS).join(keys("a"), "a").join(keys("b"), "b")
-    pairs = stage_table(met.where(apart <= MOST_APART).select("a", "b"), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-    texts = rows.select("th", "doc_id", "text").join(asked, "th").join(classes.select("th", F.col("first").alias("doc_id")), ["th", "doc_id"])
+            sets = [shingle_set(t, words) for t in b["text"]]
+            yield {"th": b["th"], "doc_id": b["doc_id"], "n": [len(x) for x in sets], "first": [prefix(x, hot, rank, similarity).view(np.int64) for x in sets]}
+
+    found = stage_table(map_rows(rows, prefixes, "th long, doc_id long, n long, first array<long>"), "prefixes")
+    classes = stage_table(found.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("first").alias("first")), "classes")
+    shared = classes.select("th", F.explode("first").alias("s")).repartition("s")
+    least = shared.groupBy("s").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a < b").select("s", "a")
+    shared = stage_table(shared.join(least, "s").select("s", "th", "a"), "shared")
+
+    def verified(met: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The pairs of ``met`` (a, b, a row a bucket they share) that are verified now, and those that hold."""
+        size = lambda n: classes.select(F.col("th").alias(n), F.col("n").alias(f"n_{n}"))
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("c"))
+        pairs = pairs.join(size("a"), "a").join(size("b"), "b")
+        low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+        most = F.col("c") + F.ceil(high * similarity - EPS) - 1
+        pairs = pairs.where((low >= high * similarity - EPS) & (most >= (low + high) * (similarity / (1 + similarity)) - EPS)).select("a", "b")
+        pairs = stage_table(pairs if before is None else pairs.join(before, ["a", "b"], "left_anti"), "pairs")
+        asked = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct().join(classes.select("th", "doc_id"), "th"), "asked")
+        texts = rows.join(asked, ["th", "doc_id"])
+        shingles = stage_table(map_rows(texts.select("th", "text"), sets, "th long, set binary").dropDuplicates(["th"]), "sets")
+        both = pairs.join(shingles.select(F.col("th").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("th").alias("b"), F.col("set").alias("y")), "b")
+        return pairs, stage_table(map_rows(both, verify, "a long, b long"), "links")
 
     def sets(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"th": b["th"], "set": [np.unique(shingle_hashes(t, words)).tobytes() for t in b["text"]]}
-
-    shingles = stage_table(map_rows(texts, sets, "th long, set binary").dropDuplicates(["th"]), "sets")
-    both = pairs.join(shingles.select(F.col("th").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("th").alias("b"), F.col("set").alias("y")), "b")
+            yield {"th": b["th"], "set": [shingle_set(t, words).tobytes() for t in b["text"]]}
 
     def verify(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -159,13 +195,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
             for u, v, x, y in zip(b["a"], b["b"], b["x"], b["y"], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                if same >= similarity * (len(x) + len(y) - same):
+                if same >= similarity * (len(x) + len(y) - same) - EPS:
                     out["a"].append(u)
                     out["b"].append(v)
             yield out
 
-    linked = components(map_rows(both, verify, "a long, b long"))
-    labels = classes.join(linked, classes["th"] == linked["node"], "left").select("th", "first", F.coalesce("root", "th").alias("root"))
+    def rooted(linked: DataFrame) -> DataFrame:
+        return shared.select("s", "th").join(linked, F.col("th") == F.col("node"), "left").select("s", "th", F.coalesce("root", "th").alias("root"))
+
+    tried, links_ = verified(shared.where("a <> th").select("a", F.col("th").alias("b")), None)
+    degrees = links_.select(F.explode(F.array("a", "b")).alias("th")).groupBy("th").agg(F.count("*").alias("links"))
+    open_ = rooted(components(links_)).join(degrees, "th", "left").select("s", "th", "root", F.coalesce("links", F.lit(0)).alias("links"))
+    lead = open_.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("links", "th", "root")).alias("lead")).where("low < high").select("s", "lead")
+    again, more = verified(open_.join(lead, "s").where("root <> lead.root").select(F.col("lead.th").alias("a"), F.col("th").alias("b")), tried)
+    tried, links_ = tried.unionByName(again), links_.unionByName(more)
+
+    open_ = rooted(components(links_))
+    left = open_.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
+    open_ = stage_table(open_.join(left, "s"), "open")
+    met = open_.select("s", F.col("th").alias("a"), F.col("root").alias("root_a")).join(open_.select("s", F.col("th").alias("b"), F.col("root").alias("root_b")), "s").where("root_a < root_b")
+    links_ = links_.unionByName(verified(met.select("a", "b"), tried)[1])
+
+    linked = components(links_)
+    labels = classes.join(linked, classes["th"] == linked["node"], "left").select("th", F.col("doc_id").alias("first"), F.coalesce("root", "th").alias("root"))
     best = labels.groupBy("root").agg(F.min(F.struct("first", "th")).alias("best"))
     labels = labels.join(best, "root").select("th", "best")
     out = found.select("th", "doc_id").distinct().join(labels, "th")

@@ -239,6 +239,40 @@ def test_near_duplicates_keep_one(spark, docs, nothing):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count() and simhash.drop_near_duplicates(nothing).count() == 0
 
 
+def shingle_components(texts):
+    """Brute force: groups of indexes linked by Jaccard 0.8 or more of five-word shingles."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    alike = lambda x, y: 10 * len(x & y) >= 8 * len(x | y)
+    root = union([(a, b) for a in range(len(sets)) for b in range(a) if alike(sets[a], sets[b])], range(len(sets)))
+    return sorted(sorted(n for n in range(len(sets)) if root(n) == r) for r in {root(n) for n in range(len(sets))})
+
+
+def near_components(spark, texts):
+    groups = defaultdict(list)
+    for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        groups[r.component_id].append(r.doc_id)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_near_duplicates_of_families(spark):
+    rng = random.Random(21)
+    texts = []
+    for family in range(3):
+        base = [f"f{family}w{rng.randrange(100_000)}" for _ in range(204)]
+        texts.append(" ".join(base))
+        for n in range(60):  # each at 0.82 from the base, about 0.68 from each other
+            edit = list(base)
+            for at in rng.sample(range(4, 200, 5), 4):
+                edit[at] = f"e{family}x{n}x{at}"
+            texts.append(" ".join(edit))
+    rng.shuffle(texts)
+    want = shingle_components(texts)
+    assert len(want) == 3 and near_components(spark, texts) == want
+
+
 def test_sharding(docs, rows, nothing, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET", 7)
     monkeypatch.setattr(sharding, "FAN_IN", 3)
