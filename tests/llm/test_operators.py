@@ -273,6 +273,17 @@ def test_near_duplicates_of_families(spark):
     assert len(want) == 3 and near_components(spark, texts) == want
 
 
+def test_near_duplicates_of_short_texts(spark):
+    rng = random.Random(22)
+    texts = []
+    for n in range(200):  # 4 against 5 shingles: similarity 0.8 exactly; and 3 against 4: 0.75
+        w = [f"s{n}w{rng.randrange(100_000)}" for _ in range(9)]
+        texts += [" ".join(w[:8]), " ".join(w)] if n % 4 else [" ".join(w[:7]), " ".join(w[:8])]
+    rng.shuffle(texts)
+    want = shingle_components(texts)
+    assert len(want) == 250 and near_components(spark, texts) == want
+
+
 def test_sharding(docs, rows, nothing, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET", 7)
     monkeypatch.setattr(sharding, "FAN_IN", 3)
