@@ -41,20 +41,20 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def encoding(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The byte-level BPE of a ``tokenizers`` file (its ids, special tokens in a text being plain text),
-    and for each id whether a sentence ends after it. The same ids as tokenizers' own encode, five
+    """The byte-level BPE of a ``tokenizers`` file (its ids, added tokens in a text being found first), and for
+    each id whether a sentence ends after it. The same ids as tokenizers' own encode by default, five
     times as fast on one core."""
     kept = _worker_cache()
     if path not in kept:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         letters = byte_alphabet()
         ranks = {bytes(letters[c] for c in word): n for word, n in spec["model"]["vocab"].items() if word not in special}
-        ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        ends = np.zeros(max([*spec["model"]["vocab"].values(), *special.values()]) + 1, bool)
         for word, n in ranks.items():
             ends[n] = word.rstrip(b" ")[-1:] in (b".", b"!", b"?", b"\n")
-        kept[path] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), ends
+        kept[path] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special), ends
     return kept[path]
 
 
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, sen
 
         for b in batches:
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = np.array([*bpe.encode_ordinary(text or ""), end_id], dtype="<u4")
+                ids = np.array([*bpe.encode(text or "", allowed_special="all"), end_id], dtype="<u4")
                 held.append((doc_id, 0, ids, len(ids)))
                 total += len(ids)
                 while total >= BLOCK:

@@ -333,6 +333,16 @@ def test_packing(docs, rows, nothing):
     assert packing.pack(nothing, TOKENIZER).count() == 0
 
 
+def test_packing_finds_added_tokens(spark):
+    t = Tokenizer.from_file(TOKENIZER)
+    texts = ["<|endoftext|>", "one<|endoftext|>two", "a <|endoftext|> b.\n<|endoftext|><|endoftext|> \n c", "<|endoftext|", "<|ENDOFTEXT|>", "tail  <|endoftext|>", "x <|endoftext|>  y", " \n\n<|endoftext|>\n\n z"]
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENIZER, size=64, inside=1e6, sentence=1e6).collect()
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in out if r.length == r.doc_tokens}
+    for n, x in enumerate(texts):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 0]
+        assert got[n] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_packing_cuts_are_optimal():
     rng = random.Random(4)
     for _ in range(20):
