@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +13,8 @@ from .common import n_words_of, stage_table
 #: Documents of one source and size are numbered within blocks of this many ids, so no window
 #: partition grows with a hot source or a hot size.
 ID_BLOCK = 4096
+#: Parts in which rows of one doc_id, source and size are numbered.
+PARTS = 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -73,11 +75,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
 
 
 def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mixed corpus: each row of ``docs``, all columns as they were, as often as ``mixed`` says. Rows that
-    share a doc_id share out its copies."""
-    copies = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("copies").alias("_copies"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    rows = rows.join(copies, rows["_row.doc_id"].eqNullSafe(copies["_id"]))
-    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("_id").orderBy(F.lit(0))))
-    rows = rows.withColumn("_times", F.get("_copies", F.col("_nth") - 1).cast("int")).where("_times > 0")
+    """The mixed corpus: each row of ``docs``, all columns as they were, as often as ``mixed`` says. Rows that share
+    doc_id, source and size share out the copies of these.
+
+    Such rows are numbered in parts by their text's hash, each part from where the one before it ends; the
+    numbers that get 0, 1, 2 ... copies are ranges of counts, so no list of rows or copies is gathered, and
+    rows with null doc_id spread over sizes and parts.
+    """
+    key = ["_id", "_no_id", "_source", "_no_source", "_size"]
+
+    def keyed(df: DataFrame, *more: Column) -> DataFrame:
+        own = (F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("source", F.lit("")), F.col("source").isNull(), F.col("size"))
+        return df.select(*[c.alias(k) for c, k in zip(own, key, strict=True)], *more)
+
+    ways = keyed(mixed, F.col("copies").cast("int").alias("_copies")).groupBy(*key, "_copies").agg(F.count("*").alias("n"))
+    ways = ways.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_copies", "n"))).alias("_ways"))  # an entry a number of copies
+    row = F.struct(*docs.columns).alias("_row")
+    part = F.pmod(F.xxhash64("text"), F.lit(PARTS)).alias("_part")
+    sized = docs.select(row, "doc_id", "source", "text", n_words_of(F.col("text")).alias("size"))
+    parts = keyed(sized, part).groupBy(*key, "_part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy(*key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("n").join(ways, key)
+    rows = keyed(sized, part, F.col("_row")).withColumn("_nth", F.row_number().over(W.partitionBy(*key, "_part").orderBy(F.lit(0))))
+    rows = rows.join(parts, [*key, "_part"]).withColumn("_nth", F.col("_nth") + F.col("_before"))
+    # Walk the ranges: what is left of the number after each, and the copies of the range it falls in.
+    start = F.struct(F.col("_nth").cast("long").alias("left"), F.lit(0).alias("times"))
+    step = lambda x, w: F.struct((x["left"] - w["n"]).alias("left"), F.when((x["left"] > 0) & (x["left"] <= w["n"]), w["_copies"]).otherwise(x["times"]).alias("times"))
+    rows = rows.withColumn("_times", F.aggregate("_ways", start, step)["times"]).where("_times > 0")
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

@@ -159,6 +159,18 @@ def test_mixing(docs, rows, nothing):
     assert made.columns == docs.columns and made.count() == sum(r.copies for r in out)
 
 
+def test_emitted_rows_take_their_own_copies(spark):
+    rng = random.Random(6)
+    made = [(None if n % 3 else n % 30, " ".join(f"w{n}" for _ in range(rng.randrange(0, 9))) or None, rng.choice(["a", "b", "c", None])) for n in range(600)]
+    d = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(3).cache()
+    mixed = mixing.mix(d).cache()
+    want = Counter()
+    for r in mixed.collect():
+        want[(r.doc_id, r.source, r.size)] += r.copies
+    got = Counter((r.doc_id, r.source, len(words(r.text))) for r in mixing.emit(d, mixed).collect())
+    assert got == +want
+
+
 def test_warc(spark, nothing):
     html = ["<p>a</p>", "<p>é</p>", "<p>a</p>", "", None, "x" * 300_000, "<p>a</p>", "\r\n\r\nWARC/1.1\r\n"]
     pages = [(n * 3, f"http://h/{n}?q=a b\r\nX: y", t, "clash") for n, t in enumerate(html)] + [(None, None, "<p>a</p>", None), (None, None, "only", None), (6, "http://h/again", "<p>a</p>", None), (18, None, "<p>a</p>", None), (18, None, "<p>a</p>", None)]
