@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from math import sqrt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import to_mercator
 from ..functions.text import uuid5
+from ..sources.staging import stage_table
 
 #: Fixed value: how near, in web-map metres, changes of one area stand.
 NEAR = 50_000.0
 #: Fixed value: the DNS namespace of name-based UUIDs, for areas' ids.
 NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
-_own: dict[str, str] = {}
-
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by a table in the folder that spark.checkpoint.dir names; an own folder where it is unset."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="terradelta-"))
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def clusters(pieces: DataFrame, near: float = NEAR) -> DataFrame:
     """Adds ``cluster`` to pieces (source_id, obs, piece, lon, lat): connected components of points within
@@ -45,7 +31,7 @@ def clusters(pieces: DataFrame, near: float = NEAR) -> DataFrame:
     x, y = to_mercator(F.col("lon"), F.col("lat"))
     side = near / sqrt(2)
     p = pieces.withColumn("x", x).withColumn("y", y).withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
-    p = shared_table(p, "pieces")
+    p = stage_table(p, "pieces")
     spread = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3) if (a, b) > (0, 0)]))
     ask = p.select("source_id", "obs", "cx", "cy", "x", "y", spread.alias("d"))
     ask = ask.select("source_id", "obs", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("cx") + F.col("d.a")).alias("cx"), (F.col("cy") + F.col("d.b")).alias("cy"))
@@ -53,15 +39,15 @@ def clusters(pieces: DataFrame, near: float = NEAR) -> DataFrame:
     met = met.where(F.pow(F.col("x1") - F.col("x"), 2) + F.pow(F.col("y1") - F.col("y"), 2) <= near * near)
     a, b = F.struct(F.col("ax").alias("cx"), F.col("ay").alias("cy")), F.struct("cx", "cy")
     link = met.select("source_id", "obs", a.alias("a"), b.alias("b")).distinct()
-    link = shared_table(link.unionByName(link.select("source_id", "obs", F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    label = shared_table(p.groupBy("source_id", "obs", b.alias("cell")).agg(F.min("piece").alias("label")), "labels")
+    link = stage_table(link.unionByName(link.select("source_id", "obs", F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    label = stage_table(p.groupBy("source_id", "obs", b.alias("cell")).agg(F.min("piece").alias("label")), "labels")
     key = ["source_id", "obs"]
     while True:
         heard = link.join(label.withColumnRenamed("cell", "b"), [*key, "b"]).groupBy(*key, F.col("a").alias("cell")).agg(F.min("label").alias("heard"))
         low = label.join(heard, [*key, "cell"], "left").select(*key, "cell", "label", F.least("label", F.coalesce("heard", "label")).alias("new"))
         jump = low.groupBy(*key, "label").agg(F.min("new").alias("to"))
         out = low.join(jump.select(*key, F.col("label").alias("new"), F.col("to").alias("far")), [*key, "new"], "left")
-        out = shared_table(out.select(*key, "cell", "label", F.least("new", F.coalesce("far", "new")).alias("new")), "labels")
+        out = stage_table(out.select(*key, "cell", "label", F.least("new", F.coalesce("far", "new")).alias("new")), "labels")
         moved = out.where("label <> new").limit(1).count()
         label = out.select(*key, "cell", F.col("new").alias("label"))
         if not moved:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import events as ev
-from ..operators.areas import shared_table
 from ..sources import readers
+from ..sources.staging import shared_path
 from .snapshot_queries import rings_of
 from .views import view as V
 
@@ -26,14 +24,6 @@ def add(name: str, fn, sql: str | None = None) -> None:
         O[name] = sql
 
 
-def shared_path(s, name: str) -> str:
-    """A fresh path in the shared folder for files that a query writes and reads again."""
-    folder = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return shared_table(s.range(1), "mark").inputFiles()[0].rsplit("/", 2)[0] + f"/{name}-{uuid.uuid4().hex}"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 add("events_near_region", lambda s, d: V(s, d, "geo_events").where(ev.near_region(F.col("lat"), F.col("lon"))).select("uuid"), f"SELECT uuid FROM {{geo_events}} WHERE {REGION}")
 add("events_of_day", lambda s, d: ev.day_query(V(s, d, "geo_events"), F.lit("2024-01-15").cast("date"), faction="f5", text="PLACE 1").select("uuid", "timestamp_text", "description"),
     f"SELECT uuid, timestamp_text, description FROM {{geo_events}} WHERE event_date = DATE '2024-01-15' AND {REGION} AND faction_id = 'f5' AND (contains(lower(description), 'place 1') OR contains(lower(equipment), 'place 1') OR contains(lower(units), 'place 1'))")
