@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_rows, shared_dir, stage_table
+from ..sources.staging import shared_path, stage_table
+from .common import map_rows
 
 #: Fixed values of the format: the skippable frame that holds a dictionary, and the revisit profile.
 DICTIONARY_FRAME = b"\x5d\x2a\x4d\x18"
@@ -192,5 +193,5 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     nth = F.row_number().over(W.partitionBy("at", "key").orderBy("url")) - 1
     joined = joined.withColumn("nth", nth).withColumn("revisit", ~(F.col("page_id").eqNullSafe(F.col("best")) & (F.col("nth") == 0)))
     joined = joined.select("page_id", "url", "payload", "nth", F.when(F.col("revisit"), F.col("best")).alias("refers_to"), "revisit")
-    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or shared_path(spark, "warc")
     return read_archives(write_archives(joined, folder, dictionary(rows, keys.count())))
