@@ -10,13 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import map_rows, stage_table
 
 #: Rows of one local kd-tree, rows of its buckets, and queries of one block.
 CHUNK, BUCKET, QUERIES = 8192, 64, 4096
-#: Buckets whose rows are verified between two stopping tests.
-STEP = 8
+#: Projected neighbours that are verified before the first stopping test, and twice as many before each next one.
+STEP = 64
+#: Against rounding: a share of the largest squared norm within which distances count as equal.
+EPS = 1e-9
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -29,6 +32,11 @@ def chi_square_quantile(p: float, dims: int) -> float:
     return high
 
 
+def box_gaps(low: np.ndarray, high: np.ndarray, point: np.ndarray) -> np.ndarray:
+    away = np.maximum(np.maximum(low - point, point - high), 0)
+    return (away * away).sum(axis=1)
+
+
 class Tree:
     """A kd-tree: points split at the median of their widest side until ``leaves`` boxes are left."""
 
@@ -74,13 +82,108 @@ class Tree:
 
     def gaps(self, point: np.ndarray) -> np.ndarray:
         """Squared distance from a point to each leaf's box."""
-        low, high = np.array(self.low), np.array(self.high)
-        away = np.maximum(np.maximum(low - point, point - high), 0)
-        return (away * away).sum(axis=1)
-
-
-def matrix(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+        return box_gaps(np.array(self.low), np.array(self.high), point)
+
+
+class Lift:
+    """Inner product as distance, then projected: rows get one more coordinate sqrt(M - |x|^2), M the largest squared
+    norm; a query is scaled to squared norm M and gets 0. Its squared distance to a row is then 2 M - 2 scale score.
+    The axes are Gaussian (2-stable) ones made orthogonal, so that projected over true squared distance is spread
+    as chi-square with as many degrees of freedom as axes, or less wide in few dimensions: the test errs to the safe side."""
+
+    def __init__(self, width: int, most: float, dims: int, seed: int):
+        dims = max(2, min(dims, width + 1) // 2 * 2)
+        self.width, self.most = width, most
+        frame = np.linalg.qr(np.random.default_rng(seed).standard_normal((width + 1, dims)))[0]
+        self.axes = frame * math.sqrt(width + 1)
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.axes[:-1] + np.sqrt(np.maximum(self.most - (x * x).sum(axis=1), 0))[:, None] * self.axes[-1]
+
+    def scale(self, q: np.ndarray) -> np.ndarray:
+        """By how much each query is scaled."""
+        return np.sqrt(self.most / (q * q).sum(axis=-1))
+
+    def queries(self, q: np.ndarray) -> np.ndarray:
+        return (q * self.scale(q)[..., None]) @ self.axes[:-1]
+
+    def reach(self, stop: float, scale: float, score: float) -> float:
+        """Squared projected distance at which a row that beats ``score`` has become unlikely."""
+        return stop * max(2 * self.most - 2 * scale * score, 0) + EPS * stop * self.most
+
+
+class Chunk:
+    """A kd-tree over the projections of distinct vectors, each with its ids: ``ids[offsets[n]:offsets[n + 1]]``. Rows are
+    kept in the order of the tree's buckets."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, offsets: np.ndarray, lift: Lift):
+        low = lift.rows(x)
+        tree = Tree(low, -(-len(x) // BUCKET))
+        order = np.concatenate(tree.rows)
+        self.ids, self.lift = ids, lift
+        self.x, self.low = x[order], low[order]
+        self.squares = (self.low * self.low).sum(axis=1)
+        self.begins, self.many = offsets[:-1][order], np.diff(offsets)[order]
+        self.sizes = np.array([len(r) for r in tree.rows])
+        self.boxes = [np.array([f(low[r], axis=0) for r in tree.rows]) for f in (np.min, np.max)]
+
+    def ids_of(self, rows: np.ndarray) -> np.ndarray:
+        many = self.many[rows]
+        shift = np.repeat(self.begins[rows] - (np.cumsum(many) - many), many)
+        return self.ids[shift + np.arange(len(shift))]
+
+    def within(self, boxes: np.ndarray, p: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of ``boxes`` (a mask) within ``reach`` of a projected query, nearest first, and how far away."""
+        if boxes.all():
+            away = self.squares - 2 * (self.low @ p) + p @ p
+            rows = np.flatnonzero(away < reach)
+            away = away[rows]
+        else:
+            rows = np.flatnonzero(np.repeat(boxes, self.sizes))
+            away = self.squares[rows] - 2 * (self.low[rows] @ p) + p @ p
+            rows, away = rows[away < reach], away[away < reach]
+        order = np.argsort(away, kind="stable")
+        return rows[order], away[order]
+
+    def find(self, q: np.ndarray, need: int, stop: float, bound: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and scores of the ``need`` best ids that score ``bound`` or more, and how many vectors were verified.
+        Buckets whose box comes near enough give their rows' projected distances; rows are verified in that order,
+        until the next lies beyond the reach of the ``need``-th best score so far."""
+        scale, p = float(self.lift.scale(q)), self.lift.queries(q)
+        ids, scores, seen, limit = np.empty(0, np.int64), np.empty(0), 0, bound
+        slack = EPS * math.sqrt(self.lift.most * float(q @ q))  # fast products differ from exact ones by rounding
+        gaps = box_gaps(*self.boxes, p)
+        done = np.zeros(len(gaps), bool)
+        open_ = gaps < (self.lift.reach(stop, scale, limit) if limit > -np.inf else np.inf)
+        if limit == -np.inf:  # the nearest buckets give a first bound
+            near = np.argsort(gaps, kind="stable")
+            open_[near[int(np.searchsorted(np.cumsum(self.sizes[near]), 4 * need)) + 1 :]] = False
+        while (open_ & ~done).any():
+            rows, away = self.within(open_ & ~done, p, self.lift.reach(stop, scale, limit) if limit > -np.inf else np.inf)
+            done |= open_
+            at, step = 0, max(STEP, need)
+            while at < len(rows):
+                reach = self.lift.reach(stop, scale, limit) if limit > -np.inf else np.inf
+                take = rows[at : at + int(np.searchsorted(away[at : at + step], reach))]
+                if not len(take):
+                    break
+                seen += len(take)
+                at, step = at + step, 2 * step
+                take = take[self.x[take] @ q >= limit - slack]
+                s = dot(self.x[take], q)
+                take, s = take[s >= limit], s[s >= limit]
+                if not len(take):
+                    continue
+                ids = np.concatenate((ids, self.ids_of(take)))
+                scores = np.concatenate((scores, np.repeat(s, self.many[take])))
+                order = np.lexsort((ids, -scores))
+                ids, scores = ids[order], scores[order]
+                once = np.sort(np.unique(ids, return_index=True)[1])[:need]
+                ids, scores = ids[once], scores[once]
+                if len(ids) == need:
+                    limit = max(limit, float(scores[-1]))
+            open_ = gaps < (self.lift.reach(stop, scale, limit) if limit > -np.inf else np.inf)
+        return ids, scores, seen
 
 
 def dot(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -94,134 +197,127 @@ def valid(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 8, confidence: float = 0.99, sample: int = 16_384, seed: int = 7) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every`` the ``k`` rows of
-    largest inner product found among all other rows, nearest first, ties to the smaller vec_id.
+def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 32, confidence: float = 0.83, sample: int = 16_384, seed: int = 7, count_verified: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each vec_id divisible by ``every`` the ``k`` other vec_ids of largest
+    inner product found among all rows, nearest first, ties to the smaller vec_id.
 
-    Inner product becomes distance by one more coordinate: rows get sqrt(M - |x|^2), M the largest squared
-    norm, queries 0. Gaussian (2-stable) projections to ``dims`` dimensions then make projected over true
-    squared distance chi-square with ``dims`` degrees of freedom. The kd-tree over projections is fitted on
-    about ``sample`` rows (chosen by hash of vec_id; their projections alone reach the driver) and indexes
-    every row; its leaves are cut into chunks of about
-    8,192 rows, each with a kd-tree of its own in its task. A query first searches its home leaf: buckets in
-    order of projected distance, their rows verified by exact inner products, until a nearer row beyond
-    the next bucket has probability under 1 - ``confidence`` by the chi-square test at the k-th distance
-    so far. That distance bounds which other leaves it visits, under the same test. No number of
-    candidates is capped, and recall is measured against brute force in tests.
+    Vectors are lifted and projected to ``dims`` dimensions (see Lift). The kd-tree over projections is fitted on
+    about ``sample`` distinct vectors (chosen by their hash; their projections alone reach the driver) and indexes
+    every row; its leaves are cut into chunks of about 8,192 vectors, each with a kd-tree of its own in its task.
+    A query first searches its home leaf: projected neighbours are verified one after the other by exact inner
+    products, until a row that beats the k-th best so far has, at the next projected distance, a chance under
+    1 - ``confidence`` by the chi-square test. The k-th score found bounds which other leaves it visits, under the
+    same test. Nothing is capped: ``confidence`` alone governs recall, which tests measure against brute force.
 
-    Vectors null, empty, zero or with null or non-finite components, null vec_id, and vectors of another than
-    the commonest length take no part. Rows that share a query's vec_id count as the query's own.
+    Equal vectors are searched and verified once: a vector keeps its k + 1 smallest vec_ids, as no other of them can be
+    among a query's first k. So a vector that a third of all rows share costs what any other costs.
+
+    Repeated vec_ids: each counts once in a query's result, with its best score; a query takes the least of its
+    vectors, and all rows of its own vec_id count as its own. Vectors null, empty, zero or with null or non-finite
+    components, null vec_id, and vectors of another than the commonest length take no part. Fewer candidates than
+    ``k``: all of them. Empty table: no rows. Other columns, whatever their names, are not read.
+    ``count_verified`` adds ``verified``: how many distinct vectors the query's search compared whole.
     """
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    v = v.where(F.col("vec_id").isNotNull() & valid(F.col("x"))).withColumn("nn", F.aggregate("x", F.lit(0.0), lambda a, b: a + b * b))
-    found = v.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.max("nn").alias("most")).orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("x"))
+    small = v.schema["x"].dataType.elementType == FloatType()  # floats are kept as such and computed as doubles
+    v = v.withColumn("x", F.transform("x", lambda x: x.cast("double"))).where(F.col("vec_id").isNotNull() & valid(F.col("x")))
+    norm = F.aggregate("x", F.lit(0.0), lambda a, b: a + b * b)
+    found = v.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("most")).orderBy(F.desc("n"), "d").first()
     if found is None:
-        return v.sparkSession.createDataFrame([], schema)
+        return v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double" + ", verified long" * count_verified)
     width, count, most = found
     v = v.where(F.size("x") == width)
-    axes = np.random.default_rng(seed).standard_normal((width + 1, dims))
-    stop = chi_square_quantile(confidence, dims)
-
-    def lifted(x: np.ndarray) -> np.ndarray:
-        return x @ axes[:-1] + np.sqrt(np.maximum(most - (x * x).sum(axis=1), 0))[:, None] * axes[-1]
+    lift = Lift(width, most, dims, seed)
+    stop = chi_square_quantile(confidence, lift.axes.shape[1])
+    need, kind = k + 1, np.dtype("<f4" if small else "<f8")
+    matrix = lambda blobs: np.frombuffer(b"".join(blobs), kind).reshape(-1, width).astype(float)
 
     def project(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"vec_id": b["vec_id"], "p": lifted(np.array(b["x"], float).reshape(-1, width)).tolist()}
+            yield {"p": lift.rows(np.array(b["x"], float).reshape(-1, width)).tolist()}
 
-    drawn = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, count // sample))) == 0).select("vec_id", "x")
-    some = sorted((r.vec_id, r.p) for r in map_rows(drawn, project, "vec_id long, p array<double>").limit(2 * sample).collect())
-    top = Tree(np.array([p for _, p in some], float).reshape(-1, dims), min(-(-count // CHUNK), sample // 16) or 1)
+    drawn = v.where(F.pmod(F.xxhash64("x"), F.lit(max(1, count // sample))) == 0).select("x")
+    some = sorted(r.p for r in map_rows(drawn, project, "p array<double>").distinct().collect())
+    points = np.array(some, float).reshape(-1, lift.axes.shape[1])
+    top = Tree(points, max(1, min(-(-count // CHUNK), sample // 16)))
 
     def assign(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             x = np.array(b["x"], float).reshape(-1, width)
-            yield {"vec_id": b["vec_id"], "leaf": top.leaf_of(lifted(x)), "x": [r.tobytes() for r in x]}
+            yield {"vec_id": b["vec_id"], "leaf": top.leaf_of(lift.rows(x)), "x": [r.tobytes() for r in x.astype(kind)]}
 
-    rows = stage_table(map_rows(v.select("vec_id", "x"), assign, "vec_id long, leaf long, x binary"), "leaves")
-    chunks = {r.leaf: -(-r.n // CHUNK) for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
+    rows = stage_table(map_rows(v.select("vec_id", "x"), assign, "vec_id long, leaf long, x binary").distinct(), "vectors")
+    nth = F.row_number().over(W.partitionBy("x").orderBy("vec_id"))  # cut to k + 1 a vector before the shuffle, too
+    kinds = rows.withColumn("nth", nth).where(F.col("nth") <= need).groupBy("x", "leaf").agg(F.collect_list("vec_id").alias("ids"))
+    kinds = stage_table(kinds, "leaves")
+    chunks = {r.leaf: -(-r.n // CHUNK) for r in kinds.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
     lookup = lambda d: F.element_at(F.create_map(*[F.lit(z) for p in d.items() for z in p]), F.col("leaf"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), lookup(chunks)))
-    queries = rows.where(F.col("vec_id") % every == 0)
+    kinds = kinds.withColumn("chunk", F.pmod(F.xxhash64("x"), lookup(chunks)))
+
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
+    leaders = queries.groupBy("x").agg(F.min("vec_id").alias("leader"))
+    members = stage_table(queries.join(leaders, "x").select(F.col("vec_id").alias("query_id"), "leader"), "members")
+
+    def at_home(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            q = matrix(b["x"])
+            yield {"leader": b["leader"], "leaf": top.leaf_of(lift.queries(q)), "q": b["x"], "bound": np.full(len(q), -np.inf)}
+
+    ask = "leader long, leaf long, q binary, bound double"
+    asked = stage_table(map_rows(leaders.select("leader", "x"), at_home, ask), "home")
 
     def visit(asked: DataFrame) -> DataFrame:
-        """Searches (query_id, leaf, q, bound, home) against their leaves; bound is a score to beat."""
+        """(leader, vec_id, score, verified) of searches (leader, leaf, q, bound) against their leaves; bound is a score to
+        reach. A row without vec_id tells what a visit verified."""
         load = {r.leaf: -(-r.n // QUERIES) for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-        if not load:
-            return asked.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
         load |= {n: 0 for n in chunks if n not in load}
-        blocks, parts = lookup(load), lookup(chunks)
-        held = rows.where(blocks > 0).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select("leaf", "chunk", "block", "vec_id", "x")
-        put = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), blocks).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
+        blocks, parts = lookup(load), F.coalesce(lookup(chunks), F.lit(0))
+        held = kinds.where(blocks > 0).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select("leaf", "chunk", "block", "x", "ids")
+        put = asked.where(parts > 0).withColumn("block", F.pmod(F.xxhash64("leader", F.lit(1)), blocks).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
 
         def run(data: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
             if not len(data) or not len(asks):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            ids, x = data["vec_id"].to_numpy(), matrix(data["x"].tolist())
-            low = lifted(x)
-            tree = Tree(low, -(-len(x) // BUCKET))
-            order = np.concatenate(tree.rows)
-            ends = np.cumsum([len(r) for r in tree.rows])
-            begins = ends - [len(r) for r in tree.rows]
-            boxes = [np.array([f(low[r], axis=0) for r in tree.rows]) for f in (np.min, np.max)]
-            out = []
-            for query_id, blob, bound in zip(asks["query_id"], asks["q"], asks["bound"], strict=True):
-                q = np.frombuffer(blob, np.float64)
-                p, qq = q @ axes[:-1], float(q @ q)
-                away = np.maximum(np.maximum(boxes[0] - p, p - boxes[1]), 0)
-                gap = (away * away).sum(axis=1)
-                near = np.argsort(gap, kind="stable")
-                best_ids, best = np.empty(0, np.int64), np.empty(0)
-                limit = bound
-                for at in range(0, len(near), STEP):
-                    if gap[near[at]] >= stop * max(qq + most - 2 * limit, 0):
-                        break
-                    take = np.concatenate([order[begins[n] : ends[n]] for n in near[at : at + STEP]])
-                    take = take[ids[take] != query_id]
-                    s = dot(x[take], q)
-                    good = s >= limit
-                    best_ids, best = np.concatenate((best_ids, ids[take][good])), np.concatenate((best, s[good]))
-                    if len(best) > k:
-                        first = np.lexsort((best_ids, -best))[:k]
-                        best_ids, best = best_ids[first], best[first]
-                    if len(best) == k:
-                        limit = max(limit, float(best.min()))
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": best_ids, "score": best}))
-            return pd.concat(out)
+                return pd.DataFrame({"leader": [], "vec_id": [], "score": [], "verified": []})
+            many = np.array([len(i) for i in data["ids"]])
+            chunk = Chunk(matrix(data["x"].tolist()), np.concatenate(data["ids"].tolist()), np.concatenate(([0], np.cumsum(many))), lift)
+            asks = asks.sort_values("leader")
+            got = [chunk.find(q, need, stop, bound) for q, bound in zip(matrix(asks["q"].tolist()), asks["bound"], strict=True)]
+            n = [len(g[0]) for g in got]
+            hits = pd.DataFrame({"leader": np.repeat(asks["leader"].to_numpy(), n), "vec_id": pd.array(np.concatenate([g[0] for g in got]), "Int64"), "score": np.concatenate([g[1] for g in got]), "verified": 0})
+            told = pd.DataFrame({"leader": asks["leader"].to_numpy(), "vec_id": pd.array([None] * len(asks), "Int64"), "score": 0.0, "verified": [g[2] for g in got]})
+            return pd.concat([hits, told])
 
         keys = ["leaf", "chunk", "block"]
-        return put.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(lambda a, d: run(d, a), "query_id long, vec_id long, score double")
+        return put.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(lambda a, d: run(d, a), "leader long, vec_id long, score double, verified long")
 
-    home = queries.select(F.col("vec_id").alias("query_id"), "x")
+    def best(rows: DataFrame, owner: str, most: int) -> DataFrame:
+        place = F.row_number().over(W.partitionBy(owner).orderBy(F.desc("score"), "vec_id"))
+        return rows.withColumn("rank", place).where(F.col("rank") <= most)
 
-    def at_home(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            x = matrix(b["x"]) if b["x"] else np.empty((0, width))
-            yield {"query_id": b["query_id"], "leaf": top.leaf_of(x @ axes[:-1]), "q": b["x"], "bound": np.full(len(x), -np.inf)}
+    def scores(found: DataFrame) -> DataFrame:
+        return found.where("vec_id IS NOT NULL").groupBy("leader", "vec_id").agg(F.max("score").alias("score"))
 
-    asked = stage_table(map_rows(home, at_home, "query_id long, leaf long, q binary, bound double").where(F.col("leaf").isin(list(chunks))), "home")
     near = stage_table(visit(asked), "near")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    bounds = near.withColumn("r", place).where(F.col("r") == k).select("query_id", F.col("score").alias("found"))
-    homes = asked.select("query_id", F.col("leaf").alias("was"))
-    told = home.join(homes, "query_id", "left").join(bounds, "query_id", "left")
+    bounds = best(scores(near), "leader", need).where(F.col("rank") == need).select("leader", F.col("score").alias("found"))
+    told = asked.join(bounds, "leader", "left").select("leader", "q", F.col("leaf").alias("was"), F.coalesce("found", F.lit(float("-inf"))).alias("found"))
 
     def abroad(batches: Iterator[dict]) -> Iterator[dict]:
         known = np.array(sorted(chunks))
         for b in batches:
-            out: dict[str, list] = {n: [] for n in ("query_id", "leaf", "q", "bound")}
-            for query_id, blob, was, bound in zip(b["query_id"], b["x"], b["was"], b["found"], strict=True):
-                q = np.frombuffer(blob, np.float64)
-                limit = -np.inf if bound is None else bound
-                reach = stop * max(float(q @ q) + most - 2 * limit, 0)
-                gaps = top.gaps(q @ axes[:-1])
-                for leaf in known[gaps[known] <= reach].tolist():
+            out: dict[str, list] = {n: [] for n in ("leader", "leaf", "q", "bound")}
+            q = matrix(b["q"])
+            for leader, blob, was, bound, p, scale in zip(b["leader"], b["q"], b["was"], b["found"], lift.queries(q), lift.scale(q), strict=True):
+                gaps = top.gaps(p)
+                for leaf in known[gaps[known] <= lift.reach(stop, scale, bound)].tolist():
                     if leaf != was:
-                        for n, value in zip(out, (query_id, leaf, blob, limit), strict=True):
+                        for n, value in zip(out, (leader, leaf, blob, bound), strict=True):
                             out[n].append(value)
             yield out
 
-    others = stage_table(map_rows(told, abroad, "query_id long, leaf long, q binary, bound double"), "abroad")
-    all_found = near.unionByName(visit(others))
-    return all_found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    others = stage_table(map_rows(told, abroad, ask), "abroad")
+    everything = stage_table(near.unionByName(visit(others)), "found") if count_verified else near.unionByName(visit(others))
+    kept = best(scores(everything), "leader", need).drop("rank")
+    out = best(members.join(kept, "leader").where("vec_id <> query_id"), "query_id", k)
+    if count_verified:
+        out = out.join(everything.groupBy("leader").agg(F.sum("verified").alias("verified")), "leader")
+    return out.select("query_id", "rank", "vec_id", "score", *["verified"] * count_verified)
