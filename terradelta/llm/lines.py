@@ -31,95 +31,73 @@ def line_hashes(text: str | None) -> tuple[list[int], list[int], list[int]]:
     return at, hashes, words
 
 
-def windows_of(hashes: list[int], words: list[int], run_words: int) -> list[tuple[int, int, int, int]]:
-    """For each line that has one, its window: the shortest run from it with at least ``run_words`` words, as
-    (first, last, place of the least hash in it, hash of the run). Any repeated run with that many words
-    holds a whole window, so both of its places select the same least line as their fingerprint."""
+def windows_of(hashes: list[int], words: list[int], run_words: int) -> dict[int, list[dict]]:
+    """The windows of a text by their fingerprint: place of the line -> (run, first, last).
+
+    Each line opens a window, the shortest run from it with at least ``run_words`` words, and closes one, the
+    shortest run up to it. Every line of a repeated run with that many words lies in a window within the run:
+    in the one it closes or, if that begins before the run, in the one that the run's first line opens. A window's
+    fingerprint is its least line hash, the last of equals; equal windows select the same line."""
     total = [0, *accumulate(words)]
     raw = np.array(hashes, np.int64).tobytes()
-    out, last = [], 0
-    for first in range(len(hashes)):
-        last = max(last, first)
-        while last < len(hashes) and total[last + 1] - total[first] < run_words:
+    found, last, first = set(), 0, 0
+    for n in range(len(hashes)):
+        last = max(last, n)
+        while last < len(hashes) and total[last + 1] - total[n] < run_words:
             last += 1
-        if last == len(hashes):
-            break
-        least = min(range(first, last + 1), key=lambda i: (hashes[i], -i))
-        h = xxhash.xxh64_intdigest(raw[8 * first : 8 * (last + 1)], seed=1)
-        out.append((first, last, least, h - (1 << 64) if h >> 63 else h))
+        if last < len(hashes):
+            found.add((n, last))
+        if total[n + 1] >= run_words:
+            while total[n + 1] - total[first + 1] >= run_words:
+                first += 1
+            found.add((first, n))
+    out: dict[int, list[dict]] = {}
+    for a, z in sorted(found):
+        least = min(range(a, z + 1), key=lambda i: (hashes[i], -i))
+        h = xxhash.xxh64_intdigest(raw[8 * a : 8 * (z + 1)], seed=1)
+        out.setdefault(least, []).append({"run": h - (1 << 64) if h >> 63 else h, "first": a, "last": z})
     return out
 
 
 def repeated_runs(rows: DataFrame, run_words: int) -> DataFrame:
-    """(id, th, cuts): for each distinct document the runs of lines (first, last) to delete."""
-
-    def read(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            found = [line_hashes(t)[1:] for t in b["text"]]
-            yield {"id": b["id"], "th": b["th"], "hashes": [f[0] for f in found], "words": [f[1] for f in found]}
-
-    lines = map_rows(rows.select("id", "th", "text"), read, "id long, th long, hashes array<long>, words array<int>")
-    lines = stage_table(lines.dropDuplicates(["id", "th"]), "lines")
+    """(id, th, cuts): for each document that has any, the runs of lines (first, last) that stand earlier, too."""
 
     def winnow(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("id", "th", "first", "last", "least", "run", "print")}
-            for i, th, hashes, words in zip(b["id"], b["th"], b["hashes"], b["words"], strict=True):
-                before = -1
-                for first, last, least, run in windows_of(hashes, words, run_words):
-                    for k, v in zip(out, (i, th, first, last, least != before, run, hashes[least]), strict=True):
+            out: dict[str, list] = {k: [] for k in ("id", "th", "print", "windows")}
+            for i, th, text in zip(b["id"], b["th"], b["text"], strict=True):
+                _, hashes, words = line_hashes(text)
+                for least, windows in windows_of(hashes, words, run_words).items():
+                    for k, v in zip(out, (i, th, hashes[least], windows), strict=True):
                         out[k].append(v)
-                    before = least
             yield out
 
-    windows = stage_table(map_rows(lines, winnow, "id long, th long, first int, last int, least boolean, run long, print long"), "windows")
-    # Fingerprints: each selected place once. Those that occur once hold no repeat.
-    often = windows.where("least").groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    met = windows.join(often, "print").select("id", "th", "first", "last", "run")
+    prints = map_rows(rows.select("id", "th", "text"), winnow, "id long, th long, print long, windows array<struct<run: long, first: int, last: int>>")
+    prints = stage_table(prints, "prints")
+    # Fingerprints that one place selects hold no repeat. Positions of the others are joined, window by window.
+    often = stage_table(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "often")
+    met = prints.join(often, "print").select("id", "th", F.explode("windows").alias("w")).select("id", "th", "w.*")
     place = F.struct("id", "th", "first")
-    source = met.groupBy("run").agg(F.min(place).alias("source"), F.count("*").alias("n")).where("n > 1").select("run", "source")
-    pairs = met.join(source, "run").where(place > F.col("source"))
-    pairs = pairs.select("id", "th", F.col("source.id").alias("id0"), F.col("source.th").alias("th0"), (F.col("first") - F.col("source.first")).alias("shift"), "first", "last")
-    diagonals = pairs.groupBy("id", "th", "id0", "th0", "shift").agg(F.collect_list(F.struct("first", "last")).alias("matches"))
-    own = lines.select("id", "th", "hashes")
-    early = lines.select(F.col("id").alias("id0"), F.col("th").alias("th0"), F.col("hashes").alias("hashes0"))
-    diagonals = diagonals.join(own, ["id", "th"]).join(early, ["id0", "th0"])
-
-    def extend(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            out: dict[str, list] = {k: [] for k in ("id", "th", "a", "b")}
-            for i, th, shift, matches, q, p in zip(*(b[k] for k in ("id", "th", "shift", "matches", "hashes", "hashes0")), strict=True):
-                until = -1
-                for m in sorted(matches, key=lambda m: m["first"]):
-                    a, z = m["first"], m["last"]
-                    if z <= until:
-                        continue
-                    while a > until + 1 and a - shift > 0 and q[a - 1] == p[a - 1 - shift]:
-                        a -= 1
-                    while z + 1 < len(q) and z + 1 - shift < len(p) and q[z + 1] == p[z + 1 - shift]:
-                        z += 1
-                    until = z
-                    for k, v in zip(out, (i, th, a, z), strict=True):
-                        out[k].append(v)
-            yield out
-
-    runs = map_rows(diagonals.select("id", "th", "shift", "matches", "hashes", "hashes0"), extend, "id long, th long, a int, b int")
-    return runs.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
+    source = met.groupBy("run").agg(F.min(place).alias("source"), F.max(place).alias("end")).where("source < end").select("run", "source")
+    later = met.join(stage_table(source, "sources"), "run").where(place > F.col("source"))
+    return later.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
 
 
 def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """(row, kept_text, n_lines, n_removed) for every row of ``docs`` (row: all its columns, as a struct): later
     copies of repeated runs of lines go.
 
-    A run is consecutive lines with a word; it counts from ``run_words`` words on, and shorter ones stay.
-    Each window (see windows_of) is matched with the first place, by doc_id and line, where its lines
-    stand; the match is extended line by line both ways; the later run is deleted. n_lines counts lines
+    A run is consecutive lines with a word; it counts from ``run_words`` words on, and shorter ones stay. A line goes
+    if it lies in such a run whose lines also stand at an earlier place (by doc_id, then line; in the same text,
+    too, even if they overlap). Each window of a run (see windows_of) finds its own first place, so a run is
+    extended both ways as far as any earlier place agrees, not only that of its first lines. n_lines counts lines
     with a word; blank lines stay and don't break runs. Lines are equal if their bytes are.
 
-    Null text: comes back null, no lines. Empty text: no lines. Null doc_id: comes last. Repeated rows: the
-    first stays, the others lose every line if they have ``run_words`` words. Empty table: no rows.
-    Windows are counted and their first places found map-side; a line on a third of all documents is an
-    ordinary skewed equi-join, against one row.
+    Null text: comes back null, no lines. Empty text: no lines. Null doc_id: comes last. Rows that share a doc_id: in
+    order of their texts' hash. Repeated rows: one stays, the others lose every line if they have ``run_words``
+    words. Empty table: no rows. Columns of any name are kept inside ``row``. A text costs two windows a line at most,
+    whatever repeats in it. First places are found map-side; a line on a third of all documents is an ordinary
+    skewed equi-join, against one row.
     """
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"),
@@ -140,7 +118,7 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
                 if nth > 1 and sum(words) >= run_words:
                     gone = set(at)
                 else:
-                    gone = {at[n] for c in cuts or () for n in range(c["a"], c["b"] + 1)}
+                    gone = {at[n] for c in cuts or () for n in range(c["first"], c["last"] + 1)}
                 kept_text.append(text if not gone else "\n".join(line for n, line in enumerate(text.split("\n")) if n not in gone))
                 n_lines.append(len(at))
                 n_removed.append(len(gone))

@@ -71,13 +71,12 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 
 OP4 = rf"""WITH a AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL) t),
 l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sum(nw) OVER (PARTITION BY doc_id ORDER BY pos) AS cum FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw FROM a) t WHERE nw > 0),
-w AS (SELECT x.doc_id, x.i, min(y.i) AS j FROM l x JOIN l y ON x.doc_id = y.doc_id AND y.i >= x.i AND y.cum - x.cum + x.nw >= 10 GROUP BY 1, 2),
+w AS (SELECT x.doc_id, x.i, min(y.i) AS j FROM l x JOIN l y ON x.doc_id = y.doc_id AND y.i >= x.i AND y.cum - x.cum + x.nw >= 10 GROUP BY 1, 2
+ UNION SELECT y.doc_id, max(x.i), y.i FROM l x JOIN l y ON x.doc_id = y.doc_id AND y.i >= x.i AND y.cum - x.cum + x.nw >= 10 GROUP BY 1, 3),
 h AS (SELECT w.doc_id, w.i, w.j, md5(string_agg(line, chr(10) ORDER BY l.i)) AS h FROM w JOIN l ON l.doc_id = w.doc_id AND l.i BETWEEN w.i AND w.j GROUP BY 1, 2, 3),
 s AS (SELECT h, min(ROW(doc_id, i)) AS src FROM h GROUP BY 1),
-m AS (SELECT h.doc_id AS q, h.i, src[1] AS p, h.i - src[2] AS shift FROM h JOIN s USING (h) WHERE ROW(h.doc_id, h.i) > src),
-e AS (SELECT g.q, g.p, g.shift, x.i, x.i - row_number() OVER (PARTITION BY g.q, g.p, g.shift ORDER BY x.i) AS island FROM (SELECT DISTINCT q, p, shift FROM m) g JOIN l x ON x.doc_id = g.q JOIN l y ON y.doc_id = g.p AND y.i = x.i - g.shift AND y.line = x.line),
-f AS (SELECT DISTINCT e.q, e.p, e.shift, e.island FROM e JOIN m ON m.q = e.q AND m.p = e.p AND m.shift = e.shift AND m.i = e.i),
-z AS (SELECT DISTINCT l.doc_id, l.pos FROM e JOIN f USING (q, p, shift, island) JOIN l ON l.doc_id = e.q AND l.i = e.i),
+m AS (SELECT h.doc_id, h.i, h.j FROM h JOIN s USING (h) WHERE ROW(h.doc_id, h.i) > src),
+z AS (SELECT DISTINCT l.doc_id, l.pos FROM m JOIN l ON l.doc_id = m.doc_id AND l.i BETWEEN m.i AND m.j),
 k AS (SELECT a.doc_id, string_agg(a.line, chr(10) ORDER BY a.pos) AS kept FROM a LEFT JOIN z ON z.doc_id = a.doc_id AND z.pos = a.pos WHERE z.pos IS NULL GROUP BY 1)
 SELECT d.doc_id, (SELECT count(*) FROM l WHERE l.doc_id = d.doc_id) AS n_lines, (SELECT count(*) FROM z WHERE z.doc_id = d.doc_id) AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.kept, '')) END AS kept_sha256 FROM documents d LEFT JOIN k USING (doc_id)"""
 
