@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
+from operator import add
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -105,6 +107,8 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 SAMPLE, HOT, HOT_FROM = 4096, 16_384, 4
 #: Against rounding: thresholds are fractions of set sizes.
 EPS = 1e-9
+#: Longs of the short parity bitmap of a set, and bits a member of the long one.
+PARITY, WIDE = 8, 2
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -137,6 +141,36 @@ def prefix(x: np.ndarray, hot: np.ndarray, rank: np.ndarray, similarity: float)
     return x[: len(x) - math.ceil(similarity * len(x) - EPS) + 1]
 
 
+def parity(x: np.ndarray) -> np.ndarray:
+    """A bitmap of a set, as longs, WIDE bits a member and at least PARITY longs: each member flips the bit that its hash
+    names. Two sets' bitmaps differ in at most as many bits as the sets differ in members, so they bound the sets'
+    overlap from above."""
+    longs = max(PARITY, 1 << (max(len(x) * WIDE // 64, 1) - 1).bit_length())
+    bits = np.bincount((x % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(bits.astype(np.uint8)).view(">u8").astype(np.uint64)
+
+
+def folded(bits: np.ndarray, longs: int) -> np.ndarray:
+    """The bitmap that the same set has in fewer longs (both a power of two)."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, longs), axis=0)
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ, in the length of the shorter."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    n = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, n) ^ folded(b, n)).sum())
+
+
+def may_reach(similarity: float, a: str, b: str) -> Column:
+    """Whether sizes and bitmaps (``n_…``, ``bits_…``) let two sets reach ``similarity``: neither is too small for the
+    other, and |x| + |y| less the bits that differ is at least twice the overlap that they need."""
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    differ = reduce(add, [F.bit_count(F.get(f"bits_{a}", F.lit(k)).bitwiseXOR(F.get(f"bits_{b}", F.lit(k)))) for k in range(PARITY)])
+    sized = F.least(n_a, n_b) >= F.greatest(n_a, n_b) * similarity - EPS
+    return sized & ((n_a + n_b - differ) / 2 >= (n_a + n_b) * (similarity / (1 + similarity)) - EPS)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(th, doc_id, component_id, keep) for each distinct (text, doc_id) of ``docs``: th the text's XXH64,
     component_id the smallest doc_id of its group, keep true for one doc_id and text a group.
@@ -144,14 +178,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     Groups are the connected components of all pairs of texts whose sets of ``words``-word shingles have a
     Jaccard similarity of at least ``similarity``; none is missed. Such a pair shares a shingle among the
     first n - ceil(similarity * n) + 1 of each set in any one order (prefix filter), so texts meet in buckets
-    by those shingles, frequent ones last. The shared ones of a pair bound its overlap; what can reach
-    the threshold is verified on the whole sets.
+    by those shingles, frequent ones last. Sizes, bitmaps and the place of the shingle in both sets bound a
+    pair's overlap; what can reach the threshold is verified on the whole sets.
 
     Buckets are settled in three rounds: each member is paired with the least, then with the member that has
-    most verified links, then all pairs left between different components of a bucket are formed. So
-    families cost a link a member, and still every pair that meets is verified, ruled out by its bound, or
-    joined through verified pairs. Equal texts are one node. Null and empty texts are equal; all texts without words are
-    alike. Null doc_id: the largest.
+    most verified links; then members of different components of a bucket are compared by their bounds inside the
+    join, and only pairs that no bound rules out come out of it. So families cost a link a member, and still every
+    pair that meets is verified, ruled out by a bound, or joined through verified pairs. Equal texts are one node.
+    Null and empty texts are equal; all texts without words are alike. Null doc_id: the largest. Repeated rows: one.
+    Empty table: no rows. Of the columns only doc_id and text are read, so others may have any name.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text")).withColumn("text", F.col("text").cast("binary"))
@@ -162,22 +197,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     def prefixes(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             sets = [shingle_set(t, words) for t in b["text"]]
-            yield {"th": b["th"], "doc_id": b["doc_id"], "n": [len(x) for x in sets], "first": [prefix(x, hot, rank, similarity).view(np.int64) for x in sets]}
+            wide = [parity(x) for x in sets]
+            yield {"th": b["th"], "doc_id": b["doc_id"], "n": [len(x) for x in sets], "bits": [folded(p, PARITY).view(np.int64) for p in wide], "wide": [p.tobytes() for p in wide], "first": [prefix(x, hot, rank, similarity).view(np.int64) for x in sets]}
 
-    found = stage_table(map_rows(rows, prefixes, "th long, doc_id long, n long, first array<long>"), "prefixes")
-    classes = stage_table(found.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("first").alias("first")), "classes")
-    shared = classes.select("th", F.explode("first").alias("s")).repartition("s")
+    found = stage_table(map_rows(rows, prefixes, "th long, doc_id long, n long, bits array<long>, wide binary, first array<long>"), "prefixes")
+    classes = stage_table(found.groupBy("th").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "bits", "wide", "first")]), "classes")
+    shared = classes.select("th", F.posexplode("first").alias("at", "s")).repartition("s")
     least = shared.groupBy("s").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a < b").select("s", "a")
-    shared = stage_table(shared.join(least, "s").select("s", "th", "a"), "shared")
+    shared = stage_table(shared.join(least, "s").select("s", "th", "at", "a"), "shared")
+
+    def sized(n: str, *which: str) -> DataFrame:
+        return classes.select(F.col("th").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("n", *which)])
 
     def verified(met: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """The pairs of ``met`` (a, b, a row a bucket they share) that are verified now, and those that hold."""
-        size = lambda n: classes.select(F.col("th").alias(n), F.col("n").alias(f"n_{n}"))
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("c"))
-        pairs = pairs.join(size("a"), "a").join(size("b"), "b")
-        low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-        most = F.col("c") + F.ceil(high * similarity - EPS) - 1
-        pairs = pairs.where((low >= high * similarity - EPS) & (most >= (low + high) * (similarity / (1 + similarity)) - EPS)).select("a", "b")
+        """The pairs of ``met`` (a, b) that are verified now, and those that hold."""
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(sized("a", "bits"), "a").join(sized("b", "bits"), "b").where(may_reach(similarity, "a", "b")).select("a", "b")
+        pairs = map_rows(pairs.join(sized("a", "wide"), "a").join(sized("b", "wide"), "b"), closer, "a long, b long")
         pairs = stage_table(pairs if before is None else pairs.join(before, ["a", "b"], "left_anti"), "pairs")
         asked = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct().join(classes.select("th", "doc_id"), "th"), "asked")
         texts = rows.join(asked, ["th", "doc_id"])
@@ -185,6 +221,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         both = pairs.join(shingles.select(F.col("th").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("th").alias("b"), F.col("set").alias("y")), "b")
         return pairs, stage_table(map_rows(both, verify, "a long, b long"), "links")
 
+    def closer(batches: Iterator[dict]) -> Iterator[dict]:
+        """The pairs that their long bitmaps let reach the similarity."""
+        for b in batches:
+            n = np.array(b["n_a"], float) + np.array(b["n_b"], float)
+            far = np.array([apart(x, y) for x, y in zip(b["wide_a"], b["wide_b"], strict=True)], float)
+            near = (n - far) / 2 >= n * (similarity / (1 + similarity)) - EPS
+            yield {k: np.array(b[k], np.int64)[near] for k in ("a", "b")}
+
     def sets(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             yield {"th": b["th"], "set": [shingle_set(t, words).tobytes() for t in b["text"]]}
@@ -201,7 +245,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             yield out
 
     def rooted(linked: DataFrame) -> DataFrame:
-        return shared.select("s", "th").join(linked, F.col("th") == F.col("node"), "left").select("s", "th", F.coalesce("root", "th").alias("root"))
+        return shared.select("s", "th", "at").join(linked, F.col("th") == F.col("node"), "left").select("s", "th", "at", F.coalesce("root", "th").alias("root"))
 
     tried, links_ = verified(shared.where("a <> th").select("a", F.col("th").alias("b")), None)
     degrees = links_.select(F.explode(F.array("a", "b")).alias("th")).groupBy("th").agg(F.count("*").alias("links"))
@@ -213,7 +257,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     open_ = rooted(components(links_))
     left = open_.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
     open_ = stage_table(open_.join(left, "s"), "open")
-    met = open_.select("s", F.col("th").alias("a"), F.col("root").alias("root_a")).join(open_.select("s", F.col("th").alias("b"), F.col("root").alias("root_b")), "s").where("root_a < root_b")
+    # A pair's first common shingle leaves no more than the rest of either set; every true pair passes there.
+    side = lambda n: open_.select("s", F.col("th").alias(n), F.col("root").alias(f"root_{n}"), F.col("at").alias(f"at_{n}")).join(sized(n, "bits"), n)
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - EPS
+    x, y = stage_table(side("a"), "sides"), side("b")
+    met = x.join(y, (x["s"] == y["s"]) & (F.col("root_a") < F.col("root_b")) & rest & may_reach(similarity, "a", "b"))
     links_ = links_.unionByName(verified(met.select("a", "b"), tried)[1])
 
     linked = components(links_)
