@@ -99,13 +99,16 @@ CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE
 OP10 = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 g AS (SELECT doc_id, i FROM (SELECT doc_id, i, list_slice(w, i, i + 4) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5) t) u QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 c AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM g) t GROUP BY 1),
-r AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN c USING (doc_id)),
+r AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN c USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM r),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM f GROUP BY 1),
-t AS (SELECT sum(n) AS nn, sum(bad) / sum(n) AS mean, sum(n * (bad / n) * (bad / n)) AS npp, count(*) AS k, sum(n * n) AS n2 FROM h),
+x AS (SELECT source, 'base' AS rule, base_failed AS failed FROM f UNION ALL SELECT source, 'symbols', 10 * n_symbols > n_words FROM f UNION ALL SELECT source, 'lines', 10 * n_dup_lines > 3 * n_lines FROM f
+ UNION ALL SELECT source, 'words', word_chars < 3 * n_words OR word_chars > 10 * n_words FROM f),
+h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS bad FROM x GROUP BY 1, 2),
+t AS (SELECT rule, sum(n) AS nn, sum(bad) / sum(n) AS mean, sum(n * (bad / n) * (bad / n)) AS npp, count(*) AS k, sum(n * n) AS n2 FROM h GROUP BY 1),
 v AS (SELECT *, CASE WHEN nn - n2 / nn > 0 THEN (npp - nn * mean * mean - mean * (1 - mean) * (k - 1)) / (nn - n2 / nn) ELSE 0 END AS var FROM t),
-s AS (SELECT mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM v)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (bad + mean * strength) / (n + strength) <= 0.5 AS kept FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, s"""
+s AS (SELECT rule, mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM v),
+g2 AS (SELECT source, max((bad + mean * strength) / (n + strength)) <= 0.5 AS host_kept FROM h JOIN s USING (rule) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept FROM f JOIN g2 ON f.source IS NOT DISTINCT FROM g2.source"""
 
 #: SQL has no trained grammar, approximate search, XXH64, differencing or tokenizer: tests/llm checks those.
 ORACLES: dict[str, str] = {"op3_substring_dedup": OP3, "op4_line_dedup": OP4, "op5_mix_sources": OP5, "op6_warc": OP6, "op10_host_rules": OP10}
