@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexical transducer turns the words of a clause into symbols (insult, harm, intent, target, negation,
-reported speech). Four small transducers over these symbols mark what follows an intent, a target, a
-negation or a reporting verb; they are composed into one machine whose arcs emit, for each insult or threat,
-the pattern it stands in. A document's score combines the weights of its matched patterns.
+The words of a clause become symbols (insult, harm, intent, target, negation, reported speech). Five small transducers
+read them: one emits insults, one threats, one whom they are aimed at, one negation, one reported speech. They are
+composed into one machine; each of its arcs that emits an insult or a threat carries the weight of the pattern it
+emits. A document's score comes from the weights of the patterns that its clauses match, not from its words.
 """
 
 from __future__ import annotations
@@ -30,46 +30,109 @@ TARGET = "you your yours yourself u ur he she they him her them du dich dein dei
 NEGATION = "not no never isn't aren't don't nobody without nicht kein keine nie niemals ohne pas jamais sans aucun nunca jamás sin ningún"
 REPORTED = "said says called calls quoted wrote claimed told according sagte nannte schrieb laut dit appelle écrit selon dijo llamó escribió según"
 
-OTHER, INSULT, HARMS, INTENDS, TARGETS, NEGATES, REPORTS = range(7)
-#: How many words a mark reaches: intent, target, negation; reported speech reaches the clause's end.
-REACH = (4, 5, 3)
+OTHER, INSULT, HARMS, INTENDS, TARGETS, NEGATES, REPORTS = SYMBOLS = range(7)
+#: How many words an intent, a target and a negation reach, and an insult or a threat to a target after it;
+#: reported speech reaches the clause's end.
+INTENT_REACH, TARGET_REACH, NEGATION_REACH, AIM_REACH = 4, 5, 3, 3
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"«»„“”]")
-CLAUSE_END = re.compile(r"[.!?;:\n…]")
+CLAUSE_ENDS = ".!?;:\n…"
+CLAUSE_END = re.compile(f"[{CLAUSE_ENDS}]")
+NOTHING: frozenset[str] = frozenset()
 
 
-def countdown(symbol: int, reach: int) -> dict[tuple[int, int], int]:
-    """A transducer whose state is how many more words ``symbol`` marks: (state, symbol) -> state."""
-    return {(s, x): reach if x == symbol else max(s - 1, 0) for s in range(reach + 1) for x in range(7)}
+@dataclass(frozen=True)
+class Transducer:
+    """``arcs[state][symbol]`` is (next state, what it emits); state 0 is the start of a clause."""
 
+    arcs: list[list[tuple[int, frozenset[str]]]]
 
-def latch(symbol: int) -> dict[tuple[int, int], int]:
-    """A transducer that marks all that follows ``symbol`` in the clause."""
-    return {(s, x): int(s or x == symbol) for s in (0, 1) for x in range(7)}
+    def __matmul__(self, other: Transducer) -> Transducer:
+        """Both reading the same symbols: states are pairs that can be reached, emissions are united."""
+        number, arcs, todo = {(0, 0): 0}, [], [(0, 0)]
+        for a, b in todo:
+            row = []
+            for x in SYMBOLS:
+                (to_a, out_a), (to_b, out_b) = self.arcs[a][x], other.arcs[b][x]
+                if (to_a, to_b) not in number:
+                    number[to_a, to_b] = len(number)
+                    todo.append((to_a, to_b))
+                row.append((number[to_a, to_b], out_a | out_b))
+            arcs.append(row)
+        return Transducer(arcs)
+
+
+def emitting(states: int, step) -> Transducer:
+    """From step(state, symbol) -> (next state, emission or None)."""
+    return Transducer([[(to, frozenset([out]) if out else NOTHING) for to, out in (step(s, x) for x in SYMBOLS)] for s in range(states)])
+
+
+def insult() -> Transducer:
+    """Emits each insult."""
+    return emitting(1, lambda s, x: (0, "insult" if x == INSULT else None))
+
+
+def threat(reach: int = INTENT_REACH) -> Transducer:
+    """Emits harm that an intent announces; the state is how many more words it reaches."""
+    return emitting(reach + 1, lambda s, x: (reach if x == INTENDS else max(s - 1, 0), "threat" if x == HARMS and s else None))
+
+
+def target(reach: int = TARGET_REACH, aim: int = AIM_REACH) -> Transducer:
+    """Emits that an insult or harm stands after a target, or that a target follows one: a state for each pair of
+    words that the target and the insult still reach."""
+
+    def step(s: int, x: int) -> tuple[int, str | None]:
+        near, open_ = divmod(s, aim + 1)
+        bad = x in (INSULT, HARMS)
+        out = "targeted" if bad and near else "aimed" if x == TARGETS and open_ else None
+        near = reach if x == TARGETS else max(near - 1, 0)
+        open_ = aim if bad else 0 if x == TARGETS else max(open_ - 1, 0)
+        return near * (aim + 1) + open_, out
+
+    return emitting((reach + 1) * (aim + 1), step)
+
+
+def negation(reach: int = NEGATION_REACH) -> Transducer:
+    """Emits that a word is negated."""
+    return emitting(reach + 1, lambda s, x: (reach if x == NEGATES else max(s - 1, 0), "negated" if s else None))
+
+
+def reported() -> Transducer:
+    """Emits that a word stands in reported speech."""
+    return emitting(2, lambda s, x: (int(s or x == REPORTS), "reported" if s else None))
+
+
+#: What an arc can emit: what it is (``aimed``: a target follows an insult or harm), then its marks.
+KINDS, MARKS = ("insult", "threat", "aimed"), ("targeted", "negated", "reported")
+PATTERNS = [(kind, *marks) for kind in KINDS for marks in product((False, True), repeat=len(MARKS))]
 
 
 def compose() -> list[list[tuple[int, int]]]:
-    """The product of the mark transducers with the one that emits insults and threats: for each state and
-    symbol the next state and the emitted pattern (0 none; else 1 + its bits: threat, targeted, negated,
-    reported). State 0 is the start of a clause."""
-    parts = [countdown(INTENDS, REACH[0]), countdown(TARGETS, REACH[1]), countdown(NEGATES, REACH[2]), latch(REPORTS)]
-    states = list(product(range(REACH[0] + 1), range(REACH[1] + 1), range(REACH[2] + 1), (0, 1)))
-    number = {s: n for n, s in enumerate(states)}
-    table = []
-    for s in states:
-        arcs = []
-        for x in range(7):
-            to = number[tuple(part[k, x] for part, k in zip(parts, s, strict=True))]
-            intent, target, negated, reported = map(bool, s)
-            emits = x == INSULT or (x == HARMS and (intent or target))
-            arcs.append((to, 1 + (x == HARMS) + 2 * target + 4 * negated + 8 * reported if emits else 0))
-        table.append(arcs)
-    return table
+    """The composed machine: for each state and symbol the next state and the number of the pattern its arc emits (-1:
+    none). Harm alone emits nothing."""
+    machine = insult() @ threat() @ target() @ negation() @ reported()
+    number = {p: n for n, p in enumerate(PATTERNS)}
+
+    def pattern(out: frozenset[str]) -> int:
+        kind = next((k for k in KINDS if k in out), None)
+        return -1 if kind is None else number[(kind, *(m in out for m in MARKS))]
+
+    return [[(to, pattern(out)) for to, out in row] for row in machine.arcs]
+
+
+#: What the grammar alone expects, before labels: base log-odds, weights of an insult, a threat and an aimed
+#: one, and what each mark adds.
+BASE, KIND_WEIGHTS, MARK_WEIGHTS = -3.0, (2.0, 2.5, 1.0), (0.5, -1.0, -0.7)
+PRIOR = [BASE] + [KIND_WEIGHTS[KINDS.index(p[0])] + sum(w for w, on in zip(MARK_WEIGHTS, p[1:], strict=True) if on) for p in PATTERNS]
+HARM_WEIGHT = 1.5
+#: Weights of the strongest clause, and of the share of clauses that match, before labels.
+PRIOR += [0.5, 0.5]
 
 
 @dataclass
 class Grammar:
-    """The weighted grammar: log-odds of each insult word and stem (``word*``), and the arc weights: a
-    logistic over the document's sums (see sums_of), in their order after the intercept."""
+    """The weighted grammar: the strength (log-odds) of each insult word and stem (``word*``), and the base, the
+    weight of each pattern's arcs, in the order of PATTERNS, and those of the strongest clause and of the share
+    of clauses that match."""
 
     insults: dict[str, float]
     arcs: list[float]
@@ -84,52 +147,52 @@ class Grammar:
         stems = {w[:-1]: v for w, v in self.insults.items() if w.endswith("*")}
         return find, words, whole, stems, sorted({len(s) for s in stems}, reverse=True), compose()
 
-    def chance(self, sums: tuple) -> float:
+    def chance(self, sums: list[float]) -> float:
         """That a text with these sums is toxic."""
-        z = self.arcs[0] + sum(a * v for a, v in zip(self.arcs[1:], sums[:5], strict=True))
+        z = self.arcs[0] + sum(a * v for a, v in zip(self.arcs[1:], sums, strict=True))
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
-#: What the grammar alone expects, before labels: base log-odds, weight of an insult, of one that is negated
-#: or reported, of one that is a threat or aimed at somebody, of the strongest one, of the text's length.
-PRIOR = (-3.0, 2.5, 1.0, 0.5, 0.5, 0.0)
-HARM_WEIGHT = 1.5
-
-
-def sums_of(text: str, machine: tuple) -> tuple[float, float, float, float, float, int]:
-    """Weights of a text's matched patterns: logs of the sums of plain, damped (negated or reported) and marked
-    ones (threat or targeted), the largest; the log of its length; the number of matches. Only clauses in which an insult
-    or harm word begins a word are parsed, each once, from start to end."""
-    find, words, whole, stems, lengths, table = machine
+def matched(clause: list[str], machine: tuple) -> list[tuple[int, float]]:
+    """The patterns (number, strength) that the composed machine emits over the words of a clause."""
+    _, words, whole, stems, lengths, table = machine
+    state, last, out = 0, HARM_WEIGHT, []
+    for w in clause:
+        strength = whole.get(w)
+        if strength is None:
+            strength = next((stems[w[:k]] for k in lengths if w[:k] in stems), None)
+        x = INSULT if strength is not None else REPORTS if w in '"«»„“”' else words.get(w, OTHER)
+        if x == HARMS:
+            strength = HARM_WEIGHT
+        last = strength if strength is not None else last  # an aimed pattern is as strong as what it aims
+        state, pattern = table[state][x]
+        if pattern >= 0:
+            out.append((pattern, last))
+    return out
+
+
+def sums_of(text: str, machine: tuple) -> tuple[list[float], int]:
+    """For each pattern the logarithm of the strengths of its matches in all clauses, the logarithms of the
+    strength of the strongest clause and of the share of clauses that match; and the number of matches. Only clauses in which an
+    insult or harm word begins a word are parsed, each once; the text is read from start to end."""
     low = text.lower()
-    plain = damped = marked = most = 0.0
-    matches, until = 0, -1
-    for end, n in find.iter(low):
+    sums = [0.0] * len(PATTERNS)
+    strongest, hits, matches, until = 0.0, 0, 0, 0
+    for end, n in machine[0].iter(low):
         start = end - n + 1
         if start < until or (start and low[start - 1].isalpha()):
             continue
-        a = max(low.rfind(c, 0, start) for c in ".!?;:\n…") + 1
+        a = max(max(low.rfind(c, until, start) for c in CLAUSE_ENDS) + 1, until)
         stop = CLAUSE_END.search(low, start)
         until = stop.start() if stop else len(low)
-        state = 0
-        for w in WORDS.findall(low, a, until):
-            weight = whole.get(w)
-            if weight is None:
-                weight = next((stems[w[:k]] for k in lengths if w[:k] in stems), None)
-            x = INSULT if weight is not None else REPORTS if w in '"«»„“”' else words.get(w, OTHER)
-            state, pattern = table[state][x]
-            if pattern:
-                weight = HARM_WEIGHT if weight is None else weight
-                bits = pattern - 1
-                matches += 1
-                most = max(most, weight)
-                if bits & 12:
-                    damped += weight
-                else:
-                    plain += weight
-                if bits & 3:
-                    marked += weight
-    return math.log1p(plain), math.log1p(damped), math.log1p(marked), most, math.log1p(len(low)), matches
+        found = matched(WORDS.findall(low, a, until), machine)
+        for pattern, strength in found:
+            sums[pattern] += strength
+        matches += len(found)
+        hits += bool(found)
+        strongest = max(strongest, sum(strength for _, strength in found))
+    share = math.log((hits + 1) / (sum(map(low.count, CLAUSE_ENDS)) + 2)) if hits else 0.0
+    return [*(math.log1p(max(v, 0.0)) for v in sums), math.log1p(strongest), share], matches
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 0.5, rounds: int = 50) -> np.ndarray:
@@ -151,12 +214,12 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float =
     return b
 
 
-def learn(texts: DataFrame, min_share: float = 0.5, max_features: int = 20_000) -> Grammar:
+def learn(texts: DataFrame, min_share: float = 0.5) -> Grammar:
     """Fit insults and arc weights on labelled rows (text, toxic): the bounded sample that ``fit`` draws.
 
     Candidates are words and stems of 4 to 8 letters, counted by document; kept are those whose documents
     are toxic in at least ``min_share`` of cases and more often than chance allows over a million candidates
-    (log-likelihood ratio). At most ``max_features`` of them, and six sums a sample row, reach the driver.
+    (log-likelihood ratio). They, bounded by the sample, and a sum a pattern and sample row reach the driver.
     """
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
@@ -174,7 +237,7 @@ def learn(texts: DataFrame, min_share: float = 0.5, max_features: int = 20_000)
     counts = map_rows(texts.select("text", "toxic"), count, "feature string, clean long, bad long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
     rate = F.col("bad") / (F.col("bad") + F.col("clean"))
     ratio = F.col("bad") * F.log(rate / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - rate) / (1 - share))).otherwise(0.0)
-    kept = counts.where((F.col("bad") >= 3) & (rate >= max(min_share, share)) & (ratio > math.log(1e6))).orderBy(ratio.desc(), "feature").limit(max_features).collect()
+    kept = counts.where((F.col("bad") >= 3) & (rate >= max(min_share, share)) & (ratio > math.log(1e6))).orderBy("feature").collect()
     odds = lambda bad, clean: math.log((bad + share) / (clean + 1 - share)) - math.log(share / (1 - share))
     insults = {w: 3.0 for w in INSULTS.split()} | {r.feature: odds(r.bad, r.clean) for r in kept}
     grammar = Grammar(insults, list(PRIOR))
@@ -182,7 +245,7 @@ def learn(texts: DataFrame, min_share: float = 0.5, max_features: int = 20_000)
     def match(batches: Iterator[dict]) -> Iterator[dict]:
         machine = grammar.compiled()
         for b in batches:
-            yield {"toxic": b["toxic"], "sums": [sums_of(t or "", machine)[:5] for t in b["text"]]}
+            yield {"toxic": b["toxic"], "sums": [sums_of(t or "", machine)[0] for t in b["text"]]}
 
     rows = map_rows(texts.select("text", "toxic"), match, "toxic int, sums array<double>").collect()
     if rows:
@@ -211,7 +274,7 @@ def score(docs: DataFrame, grammar: Grammar, threshold: float = 0.3) -> DataFram
         machine = grammar.compiled()
         for b in batches:
             sums = [sums_of(text or "", machine) for text in b["text"]]
-            yield {"doc_id": b["doc_id"], "score": [grammar.chance(s) for s in sums], "matches": [s[5] for s in sums]}
+            yield {"doc_id": b["doc_id"], "score": [grammar.chance(s) for s, _ in sums], "matches": [n for _, n in sums]}
 
     scored = map_rows(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, matches int")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -225,6 +288,6 @@ def keep_clean(docs: DataFrame, grammar: Grammar, threshold: float = 0.3) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = grammar.compiled()
         for b in batches:
-            yield b.filter(pa.array([grammar.chance(sums_of(t or "", machine)) < threshold for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([grammar.chance(sums_of(t or "", machine)[0]) < threshold for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
