@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -49,78 +50,143 @@ def test_components(spark):
     assert got == {n: least[root(n)] for e in chain if e[0] != e[1] for n in e}
 
 
-@pytest.mark.parametrize("group", [512, 2])
-def test_substrings(docs, rows, nothing, monkeypatch, group):
-    monkeypatch.setattr(substrings, "GROUP", group)
-    got = Counter(map(tuple, substrings.remove_repeats(docs).collect()))
+def brute_substrings(rows):
     counts = Counter(tuple(w[i : i + 35]) for r in rows for w in [(r[1] or "").encode().split()] for i in range(len(w) - 34))
     want = Counter()
     for r in rows:
         w = (r[1] or "").encode().split()
         assert len(w) == len(words(r[1]))
         gone = {j for i in range(len(w) - 34) if counts[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
-        kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
-        want[(r[0], len(w), len(gone), hashlib.sha256(kept).hexdigest())] += 1
-    assert got == want
-    assert substrings.remove_repeats(nothing).count() == 0
+        kept = b" ".join(x for j, x in enumerate(w) if j not in gone).decode()
+        want[(r[0], len(w), len(gone), kept)] += 1
+    return want
 
 
-def test_suffix_tree_finds_maximal_depth():
-    a = [b"w%d" % n for n in range(50)]
-    found = substrings.subtree_repeats([a, [b"x", *a[1:40]], [b"y"] * 36], [16, 6, 2])
-    assert found == [[1, 2, 3, 4, 5], [1, 2, 3, 4, 5], [0, 1]] or [sorted(f) for f in found] == [[1, 2, 3, 4, 5], [1, 2, 3, 4, 5], [0, 1]]
+@pytest.mark.parametrize("group", [1 << 20, 700])
+def test_substrings(docs, rows, nothing, monkeypatch, group):
+    monkeypatch.setattr(substrings, "GROUP_BYTES", group)
+    out = substrings.remove_repeats(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out) == brute_substrings(rows)
+    assert all(sum(c.b - c.a for c in r.removed) == r.n_removed for r in out)
+    assert substrings.remove_repeats(nothing).count() == 0
 
 
-def brute_lines(rows, need):
-    """Positions deleted, by a direct reading of the rule, rows in order of doc_id (none last)."""
-    seqs = []
-    for k, r in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, xxhash.xxh64_intdigest((x[1][1] or "").encode()))):
-        ls = [(n, x) for n, x in enumerate((r[1] or "").split("\n")) if words(x)]
-        seqs.append((k, [x for _, x in ls], [len(words(x)) for _, x in ls], [n for n, _ in ls]))
-    return seqs
+@pytest.mark.parametrize("group", [1 << 20, 2000])
+def test_substrings_of_a_passage_in_many_texts(spark, monkeypatch, group):
+    monkeypatch.setattr(substrings, "GROUP_BYTES", group)
+    rng = random.Random(31)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(80)]
+    texts = []
+    for n in range(120):  # cut at other places, between other words; some differ by one word in the middle
+        part = list(passage[rng.randrange(0, 30) : rng.randrange(50, 81)])
+        if n % 5 == 0:
+            part[20] = f"own{n}"
+        texts.append(" ".join([f"a{n}x{k}" for k in range(rng.randrange(0, 40))] + part + [f"b{n}x{k}" for k in range(rng.randrange(0, 40))]))
+    texts += ["again and again we go " * 30, "x " * 200, "x " * 36, "x " * 35]
+    made = list(enumerate(texts))
+    out = substrings.remove_repeats(spark.createDataFrame(made, "doc_id long, text string").repartition(4))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out.collect()) == brute_substrings(made)
+
+
+def test_substrings_of_many_equal_rows(spark):
+    text = " ".join(f"w{n}" for n in range(120))
+    d = spark.range(10_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).when(F.col("id") % 5 == 1, F.lit(None)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    d = d.unionByName(spark.createDataFrame([(1, "before " + text + " after")], "doc_id long, text string"))
+    out = substrings.remove_repeats(d).groupBy("n_words", "n_removed", "kept_text").count().collect()
+    assert sorted(map(tuple, out)) == [(120, 120, "", 10_000), (122, 120, "before after", 1)]
+
+
+def test_suffix_tree_against_sorting():
+    rng = random.Random(12)
+    groups = [[[rng.randrange(3) for _ in range(rng.randrange(1, 30))] for _ in range(rng.randrange(1, 5))] for _ in range(20)] + [[[1] * 40, [1] * 39 + [2]]]
+    flat, ends, group = [], [], []
+    for n, g in enumerate(groups):
+        for span in g:
+            ends += [len(flat) + len(span)] * (len(span) + 1)
+            group += [n] * (len(span) + 1)
+            flat += [*span, 99]
+    live = np.array(flat) != 99
+    order, depth = substrings.suffix_tree(np.array(flat), np.array(ends), np.array(group), live)
+    suffix = lambda p: flat[p : ends[p]]
+    keys = [(group[p], suffix(p)) for p in order]
+    assert keys == sorted(keys) and len(order) == live.sum()
+    common = lambda x, y: next((n for n, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    want = [0] + [common(a[1], b[1]) if a[0] == b[0] else 0 for a, b in zip(keys, keys[1:], strict=False)]
+    assert depth.tolist() == want
+    # Internal nodes of depth 3 or more: each word sequence that is followed by different words, or an end, somewhere.
+    nodes = {(tuple(suffix(order[first])[:d]), group[order[first]], last - first + 1) for d, first, last in substrings.deep_nodes(depth, 3)}
+    counts = Counter((tuple(k[1][:d]), k[0]) for k in keys for d in range(3, len(k[1]) + 1))
+    follow = defaultdict(set)
+    for g, s in keys:
+        for d in range(3, len(s) + 1):
+            follow[(tuple(s[:d]), g)].add((s[d],) if d < len(s) else ("end", len(follow[(tuple(s[:d]), g)])))
+    assert nodes == {(*k, counts[k]) for k in counts if counts[k] > 1 and len(follow[k]) > 1}
+
+
+def brute_lines(texts):
+    """For texts in order the places of lines that go: all runs of lines of 10 words or more that stand earlier, taken
+    line by line, each as long as it gets."""
+    seqs = [[(n, x) for n, x in enumerate((t or "").split("\n")) if words(x)] for t in texts]
+    places = defaultdict(list)
+    for d, seq in enumerate(seqs):
+        for n, (_, x) in enumerate(seq):
+            places[x].append((d, n))
+    gone = [set() for _ in texts]
+    for d, seq in enumerate(seqs):
+        for n, (_, x) in enumerate(seq):
+            for e, m in places[x]:
+                if (e, m) >= (d, n):
+                    break
+                if n and m and seqs[d][n - 1][1] == seqs[e][m - 1][1]:
+                    continue  # not the start of this match
+                k = 0
+                while n + k < len(seq) and m + k < len(seqs[e]) and seq[n + k][1] == seqs[e][m + k][1]:
+                    k += 1
+                if sum(len(words(y)) for _, y in seq[n : n + k]) >= 10:
+                    gone[d] |= {at for at, _ in seq[n : n + k]}
+    return gone
+
+
+def lines_left(text, gone):
+    return text if text is None or not gone else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
 
 
 def test_lines(docs, rows, nothing):
-    out = lines.dedup_lines(docs)
-    got = Counter((r.row["doc_id"], r.kept_text, r.n_lines, r.n_removed) for r in out.collect())
-    # Rows that share doc_id and text are one document; its later copies lose everything once it is long enough.
-    distinct = {}
-    for r in rows:
-        distinct.setdefault((r[0], r[1] or ""), []).append(r)
-    # Order as the operator's: doc_id, then the text's hash in Spark.
+    got = Counter((r.row["doc_id"], r.kept_text, r.n_lines, r.n_removed) for r in lines.dedup_lines(docs).collect())
+    # Order: doc_id (null last), then the text's hash in Spark; a repeated row comes after its first.
     hashes = {(r.doc_id, r.text or ""): r.h for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("h")).collect()}
-    order = sorted(distinct, key=lambda k: (k[0] is None, k[0] or 0, hashes[k]))
-    seqs = {k: lines.line_hashes(k[1]) for k in order}
-    first = {}
-    windows = {k: lines.windows_of(s[1], s[2], 10) for k, s in seqs.items()}
-    for k in order:
-        for a, z, _, _ in windows[k]:
-            first.setdefault(tuple(seqs[k][1][a : z + 1]), (k, a))
-    want = Counter()
-    for k in order:
-        at, h, w = seqs[k]
-        gone = set()
-        for a, z, _, _ in windows[k]:
-            p, b = first[tuple(h[a : z + 1])]
-            if (p, b) == (k, a):
-                continue
-            hp, x, y, shift = seqs[p][1], a, z, a - b
-            while x > 0 and x - shift > 0 and h[x - 1] == hp[x - 1 - shift]:
-                x -= 1
-            while y + 1 < len(h) and y + 1 - shift < len(hp) and h[y + 1] == hp[y + 1 - shift]:
-                y += 1
-            gone |= set(range(x, y + 1))
-        for nth, r in enumerate(distinct[k]):
-            mine = set(range(len(h))) if nth and sum(w) >= 10 else gone
-            cut = {at[n] for n in mine}
-            kept = r[1] if r[1] is None or not cut else "\n".join(x for n, x in enumerate(r[1].split("\n")) if n not in cut)
-            want[(r[0], kept, len(at), len(mine))] += 1
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[(r[0], r[1] or "")]))
+    gone = brute_lines([r[1] for r in order])
+    want = Counter((r[0], lines_left(r[1], g), sum(bool(words(x)) for x in (r[1] or "").split("\n")), len(g)) for r, g in zip(order, gone, strict=True))
     assert got == want
     assert any(n for _, _, _, n in got) and lines.dedup_lines(nothing).count() == 0
     again = lines.without_repeats(docs)
     assert again.columns == docs.columns and again.count() == len(rows)
 
 
+def test_lines_of_random_texts(spark):
+    rng = random.Random(41)
+    pool = [" ".join(f"w{k}x{j}" for j in range(rng.choice([1, 2, 3, 5, 8, 11]))) for k in range(14)]
+    texts = ["\n".join(rng.choice([*pool, ""]) for _ in range(rng.randrange(0, 25))) for _ in range(60)]
+    out = {r.row["doc_id"]: (r.kept_text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    gone = brute_lines(texts)
+    assert out == {n: (lines_left(t, g), len(g)) for n, (t, g) in enumerate(zip(texts, gone, strict=True))}
+
+
+def test_lines_after_a_common_first_line(spark):
+    head, tail = "one two three four five six seven eight nine ten", "short tail"
+    made = [(1, f"{head}\nother end"), (2, f"{head}\n{tail}\nsecond own"), (3, f"{head}\n{tail}\nthird own")]
+    out = {r.row["doc_id"]: r.kept_text for r in lines.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert out == {1: made[0][1], 2: f"{tail}\nsecond own", 3: "third own"}
+
+
+def test_lines_of_one_text_that_repeats_itself(spark):
+    line = "the very same line of words that this text says again and again"
+    made = [(1, "\n".join([line] * 50_000)), (2, "\n".join(["ab cd"] * 50_000))]
+    out = {r.row["doc_id"]: (r.kept_text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert out == {1: (line, 49_999), 2: ("ab cd", 49_999)}
+
+
 def test_short_runs_and_clean_lines_stay(spark):
     d = spark.createDataFrame([(1, "yes\nfine words that stand here only once in all of this\nyes"), (2, "yes\nother words that stand here only once in all of that")], "doc_id long, text string")
     assert all(r.n_removed == 0 for r in lines.dedup_lines(d).collect())
@@ -398,34 +464,110 @@ def test_host_rules(docs, rows, nothing):
 
 def test_bad_hosts_lose_their_documents(spark):
     good = [(n, " ".join(f"w{n}x{k}" for k in range(40)), f"good{n % 5}") for n in range(200)]
-    bad = [(1000 + n, "too short" if n % 10 else " ".join(f"b{n}x{k}" for k in range(40)), "bad") for n in range(50)]
-    out = host_rules.judge(spark.createDataFrame(good + bad, "doc_id long, text string, source string")).collect()
-    assert all(r.kept == (r.doc_id < 1000) for r in out)
+    fine = lambda n: " ".join(f"b{n}x{k}" for k in range(40))
+    bad = {
+        "short": lambda n: "too short",
+        "symbols": lambda n: fine(n) + " ##### %%%%",
+        "lines": lambda n: "\n".join(["menu"] * 20) + "\n" + fine(n),
+        "words": lambda n: " ".join(f"{k}" for k in range(n * 100, n * 100 + 99)).replace(" ", " a "),
+    }
+    rows_ = good + [(1000 * (k + 1) + n, spoil(n) if n % 10 else fine(n), host) for k, (host, spoil) in enumerate(bad.items()) for n in range(50)]
+    d = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    assert all(r.kept == (r.doc_id < 1000) for r in host_rules.judge(d).collect())
+
+
+def test_host_rates_are_shrunk_by_their_rules_priors(spark):
+    rng = random.Random(8)
+    rows_ = []
+    for h in range(30):
+        p = rng.random()
+        rows_ += [(f"h{h}", rng.random() < p, rng.random() < 0.1, False, True) for _ in range(rng.randrange(1, 60))]
+    flags = ("base_failed", "symbols_failed", "lines_failed", "words_failed")
+    out = host_rules.host_verdicts(spark.createDataFrame(rows_, "source string, " + ", ".join(f"{f} boolean" for f in flags)))
+    got = {r.source: r for r in out.collect()}
+    by_host = defaultdict(list)
+    for r in rows_:
+        by_host[r[0]].append(r[1:])
+    for j, rule in enumerate(host_rules.RULES):
+        n = {h: len(v) for h, v in by_host.items()}
+        bad = {h: sum(x[j] for x in v) for h, v in by_host.items()}
+        total, mean = sum(n.values()), sum(bad.values()) / len(rows_)
+        noise = mean * (1 - mean)
+        var = (sum(n[h] * (bad[h] / n[h] - mean) ** 2 for h in n) - noise * (len(n) - 1)) / (total - sum(v * v for v in n.values()) / total)
+        strength = min(max(noise / var - 1, 1.0), 1e6) if var > 1e-15 else 1e6
+        for h in n:
+            assert got[h].host_rates[rule] == pytest.approx((bad[h] + mean * strength) / (n[h] + strength), rel=1e-6)
+    assert not any(r.host_kept for r in got.values())  # the last rule fails everywhere
+
+
+def found_by_query(out):
+    got = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    return got
+
+
+def recall(got, ids, x, every=20, k=20):
+    hits = total = 0
+    for n in np.flatnonzero(ids % every == 0):
+        s = (x * x[n]).sum(axis=1)
+        best = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[n]][:k]
+        score = dict(zip(ids.tolist(), s.tolist(), strict=True))
+        assert len(got[ids[n]]) == k and all(v == pytest.approx(score[i], abs=1e-12) for i, v in got[ids[n]])
+        assert got[ids[n]] == sorted(got[ids[n]], key=lambda p: (-p[1], p[0]))
+        hits += len({i for i, _ in got[ids[n]]} & set(ids[best].tolist()))
+        total += k
+    return hits / total
 
 
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.standard_normal((1500, 16)) + c for c in rng.standard_normal((4, 16)) * 2] + [np.repeat(rng.standard_normal((1, 16)) * 3, 400, axis=0)])
     rows_ = [(n, v.tolist(), 1) for n, v in enumerate(x)] + [(9001, None, 1), (9020, [0.0] * 16, 1), (9040, [float("nan")] * 16, 1), (9060, [1.0] * 15 + [None], 1), (9080, [float("inf")] * 16, 1), (9100, [1.0, 2.0], 1), (None, [1.0] * 16, 1), (9120, [], 1)]
-    out = neighbours.search(spark.createDataFrame(rows_, "vec_id long, embedding array<double>, leaf int").repartition(5)).collect()
-    got = defaultdict(list)
-    for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
-        got[r.query_id].append((r.vec_id, r.score))
-    hits = total = 0
-    ids = np.arange(len(x))
-    for q in range(0, len(x), 20):
-        s = (x * x[q]).sum(axis=1)
-        order = [i for i in np.lexsort((ids, -s)) if i != q][:20]
-        assert len(got[q]) == 20 and all(b == pytest.approx(s[a], abs=1e-12) for a, b in got[q])
-        assert got[q] == sorted(got[q], key=lambda p: (-p[1], p[0]))
-        hits += len({a for a, _ in got[q]} & set(order))
-        total += 20
-    assert hits / total >= 0.98 and set(got) == set(range(0, len(x), 20))
+    got = found_by_query(neighbours.search(spark.createDataFrame(rows_, "vec_id long, embedding array<double>, leaf int").repartition(5)).collect())
+    assert set(got) == set(range(0, len(x), 20)) and recall(got, np.arange(len(x)), x) >= 0.93
     few = neighbours.search(spark.createDataFrame([(20, [1.0, 0.0]), (3, [0.5, 0.5]), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")).collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(few, key=lambda r: r.rank)] == [(20, 1, 3, 0.5), (20, 2, 4, 0.0)]
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_over_several_leaves(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CHUNK", 256)
+    monkeypatch.setattr(neighbours, "QUERIES", 16)
+    e = common.table(spark, "/root/testdata/sf0.1", "embeddings")
+    pdf = e.toPandas()
+    got = found_by_query(neighbours.search(e).collect())
+    assert recall(got, pdf.vec_id.to_numpy(), np.stack(pdf.embedding).astype(float)) >= 0.93
+
+
+def test_neighbours_of_repeated_ids_and_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 8))
+    rows_ = [(n, v.tolist()) for n, v in enumerate(x)]
+    rows_ += [(20, x[20].tolist())] * 2 + [(7, (x[20] * 2).tolist()), (7, x[5].tolist()), (40, x[20].tolist())]  # a row thrice, an id with three vectors, one vector under two ids
+    rows_ += [(1000 + n, x[3].tolist()) for n in range(50)]
+    got = found_by_query(neighbours.search(spark.createDataFrame(rows_, "vec_id long, embedding array<double>"), confidence=0.999).collect())
+    vectors = defaultdict(list)
+    for i, v in rows_:
+        vectors[i].append(v)
+    for q in [i for i in vectors if i % 20 == 0]:
+        mine = np.array(min(vectors[q], key=lambda v: np.array(v).tobytes()))
+        best = sorted((-max(float((np.array(v) * mine).sum()) for v in vs), i) for i, vs in vectors.items() if i != q)[:20]
+        assert [i for i, _ in got[q]] == [i for _, i in best] and [v for _, v in got[q]] == pytest.approx([-v for v, _ in best])
+
+
+def test_search_stops_early_and_more_so_in_larger_tables(spark):
+    rng = np.random.default_rng(5)
+    shares = []
+    for n in (2000, 16_000):
+        x = rng.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        out = neighbours.search(spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), every=200, count_verified=True).collect()
+        assert recall(found_by_query(out), np.arange(n), x, every=200) >= 0.9
+        shares.append(np.mean([r.verified for r in out if r.rank == 1]) / n)
+    assert shares[0] < 0.5 and shares[1] < 0.3 and shares[1] < 0.7 * shares[0]
+
+
 def test_chi_square():
     assert neighbours.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
 
@@ -433,7 +575,7 @@ def test_chi_square():
 def test_toxicity_held_out(spark):
     d = common.table(spark, "/root/testdata/sf0.1", "documents")
     labels = common.table(spark, "/root/testdata/sf0.1", "labels")
-    out = toxicity.score(d, toxicity.fit(d, labels)).join(labels, "doc_id").collect()
+    out = toxicity.score(d.join(labels.select("doc_id"), "doc_id"), toxicity.fit(d, labels)).join(labels, "doc_id").collect()
     held = [r for r in out if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
     assert sum(r.predicted == r.toxic for r in held) / len(held) > 0.97
@@ -441,15 +583,72 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted for r in bad) / len(bad) > 0.9 and all(0 <= r.score <= 1 for r in out)
 
 
+def grammar(**more):
+    return toxicity.Grammar({w: 3.0 for w in toxicity.INSULTS.split()} | more, list(toxicity.PRIOR))
+
+
 def test_grammar_patterns():
-    g = toxicity.Grammar({w: 3.0 for w in toxicity.INSULTS.split()} | {"zorg*": 2.0}, list(toxicity.PRIOR))
+    g = grammar(**{"zorg*": 2.0})
+    m = g.compiled()
+    score = lambda t: g.chance(toxicity.sums_of(t, m)[0])
+    nothing = score("A fine day.")
+    assert score("You are an idiot.") > score("An idiot.") > score("This is not an idiot.") > nothing
+    assert score("An idiot came.") > score('They said "idiot" to nobody') and score("He said: nothing. An idiot!") > score('He said nothing of an idiot')
+    assert score("I will kill you") > score("They will kill time") > score("They kill time") == nothing
+    assert score("kill you") > nothing == score("kill it here and there for you")
+    assert score("the zorgling came") > nothing == score("a morzorg came") and nothing < 0.3 < score("You are an idiot.")
+    assert score("") == nothing == score("idiotic")
+
+
+def brute_patterns(clause, insults):
+    """The patterns of a clause, each read off the words around it."""
+    kinds = {w: k for k, ws in (("intent", toxicity.INTENT), ("target", toxicity.TARGET), ("negation", toxicity.NEGATION), ("report", toxicity.REPORTED), ("harm", toxicity.HARM)) for w in ws.split()}
+    of = ["insult" if w in insults else "report" if w in '"«»„“”' else kinds.get(w) for w in clause]
+    near = lambda n, what, reach: what in of[max(0, n - reach) : n]
+    out = []
+    for n, what in enumerate(of):
+        kind = "insult" if what == "insult" else "threat" if what == "harm" and near(n, "intent", 4) else None
+        bad = [k for k in range(max(0, n - 3), n) if of[k] in ("insult", "harm") and "target" not in of[k + 1 : n]]
+        if what == "target" and bad:
+            kind = "aimed"
+        if kind:
+            out.append((kind, what in ("insult", "harm") and near(n, "target", 5), near(n, "negation", 3), "report" in of[:n]))
+    return out
+
+
+def test_grammar_against_a_direct_reading():
+    g = grammar()
+    m = g.compiled()
+    rng = random.Random(17)
+    pool = ["idiot", "scum", "kill", "hurt", "will", "shall", "you", "they", "not", "never", "said", '"', "day", "blue", "tree", "stone"]
+    seen = set()
+    for _ in range(3000):
+        clause = [rng.choice(pool) for _ in range(rng.randrange(1, 14))]
+        got = [toxicity.PATTERNS[p] for p, _ in toxicity.matched(clause, m)]
+        assert got == brute_patterns(clause, {"idiot", "scum"}), clause
+        seen |= set(got)
+    assert len(seen) >= 20 and all(p in toxicity.PATTERNS for p in seen)
+
+
+def test_clauses_are_found_wherever_they_stand():
+    g = grammar()
     m = g.compiled()
-    score = lambda t: g.chance(toxicity.sums_of(t, m))
-    assert score("You are an idiot.") > score("An idiot.") > score("This is not an idiot.") > score("A fine day.")
-    assert score("He said: nothing. An idiot!") > score('They said "idiot" to nobody')
-    assert score("I will kill you") > score("They kill time") == score("A fine day!!!!") or score("I will kill you") > score("A fine day")
-    assert score("the zorgling came") > score("a morzorg came") and score("") == score("") < 0.3
-    assert score("idiotic") <= score("an idiot")
+    rng = random.Random(18)
+    for _ in range(300):
+        text = "".join(rng.choice(["You are an idiot", "he will kill you", "a blue day", "no scum", ". ", "! ", ";", "\n", " and ", "… "]) for _ in range(rng.randrange(1, 12)))
+        want = Counter(p for c in toxicity.CLAUSE_END.split(text.lower()) for p, _ in toxicity.matched(toxicity.WORDS.findall(c), m))
+        sums, n = toxicity.sums_of(text, m)
+        assert n == sum(want.values()) and {p for p in range(len(toxicity.PATTERNS)) if sums[p]} == set(want)
+
+
+def test_grammar_reads_long_texts_once():
+    m = grammar().compiled()
+    took = []
+    for n in (40_000, 160_000):
+        began = time.process_time()
+        assert toxicity.sums_of("some idiot went by; " * n, m)[1] == n and toxicity.sums_of("some idiot went by " * n, m)[1] == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
 
 
 def test_toxicity_hard_cases(spark, docs, nothing):
