@@ -11,12 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import boxes_meet, grid_cells, ground_distance
-from .overlay import overlap_pairs, overlay_pairs
+from ..sources.staging import stage_table
+from .overlay import overlap_pairs
+from .pieces import change_pieces
 
 #: The least overlap of a feature that changed its id, and the confidence such a pair can have.
 OVERLAP, CROSS_ID_CONFIDENCE = 0.90, 0.90
-#: A piece below all three is a sliver: square metres, metres, roundness.
-SLIVER_AREA, SLIVER_RADIUS, SLIVER_ROUNDNESS = 500_000, 50, 0.01
 
 SIDE = ("feature_id", "logical_key", "layer_key", "content_hash", "confidence", "geometry_hash", "props_hash", "w", "s", "e", "n")
 
@@ -81,8 +81,9 @@ def cross_id(old: DataFrame, new: DataFrame, overlap: Column | None = None, step
 
 
 def cross_id_shapes(old: DataFrame, new: DataFrame, shapes: DataFrame, step: float = 0.25) -> DataFrame:
-    """J5 on polygons: as cross_id, the overlap being that of the shapes (source_id, feature_id, rings). Only pairs that
-    agree in layer and properties and whose boxes meet and are of like size get to the overlay helper."""
+    """J5 on polygons: as cross_id, the overlap being that of the shapes (source_id, feature_id, kind, rings). Only pairs of
+    polygons that agree in layer and properties and whose boxes meet get to the overlay helper."""
+    shapes = shapes.where("kind = 'polygon'")
     o, n = ([F.col(f"{p}_{c}") for c in ("w", "s", "e", "n")] for p in ("old", "new"))
     area = lambda b: (b[2] - b[0]) * (F.sin(F.radians(b[3])) - F.sin(F.radians(b[1])))
     # Polygons that overlap by 0.9 needn't have boxes that do; but boxes that don't meet rule it out.
@@ -95,26 +96,12 @@ def cross_id_shapes(old: DataFrame, new: DataFrame, shapes: DataFrame, step: flo
     return met.join(measured, "pair_id").where(F.col("overlap") >= OVERLAP).select("source_id", "obs", "old_feature_id", "new_feature_id", "priority", "overlap", "distance")
 
 
-def drop_immaterial(changed: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Changes without moved pairs whose pieces are all slivers (or that moved nowhere); other changes stay.
-    Only moved pairs' shapes are fetched and overlaid."""
-    moved = changed.where((F.col("change_type") == "modified") & F.col("moved"))
-    pairs = moved.select("source_id", "obs", "old_feature_id", "new_feature_id").withColumn("pair_id", F.concat_ws("\n", "source_id", "obs", "old_feature_id", "new_feature_id"))
-    mine = shapes.select("source_id", F.col("feature_id").alias("old_feature_id"), F.col("rings").alias("old_rings"))
-    theirs = shapes.select("source_id", F.col("feature_id").alias("new_feature_id"), F.col("rings").alias("new_rings"))
-    pieces = overlay_pairs(pairs.join(mine, ["source_id", "old_feature_id"]).join(theirs, ["source_id", "new_feature_id"]))
-    kept = pieces.where(material(F.col("area"), F.col("radius"), F.col("perimeter"), F.lit(True))).select("pair_id").distinct()
-    kept = pairs.join(kept, "pair_id").select("source_id", "obs", "old_feature_id", "new_feature_id")
-    real = moved.join(kept, ["source_id", "obs", "old_feature_id", "new_feature_id"], "left_semi")
-    return changed.where((F.col("change_type") != "modified") | ~F.col("moved")).unionByName(real)
-
-
 def box_overlap(o: list[Column], n: list[Column]) -> Column:
-    """Intersection over union of two boxes on the sphere (equal-area: longitude by sine of latitude)."""
+    """Intersection over union of two boxes on the sphere (equal-area: longitude by sine of latitude); null without area."""
     band = lambda s, t: F.sin(F.radians(t)) - F.sin(F.radians(s))
     area = lambda w, s, e, t: (e - w) * band(s, t)
     both = F.greatest(F.least(o[2], n[2]) - F.greatest(o[0], n[0]), F.lit(0.0)) * F.greatest(band(F.greatest(o[1], n[1]), F.least(o[3], n[3])), F.lit(0.0))
-    return both / (area(*o) + area(*n) - both)
+    return F.try_divide(both, area(*o) + area(*n) - both)
 
 
 def mutual_best(candidates: DataFrame) -> DataFrame:
@@ -125,14 +112,26 @@ def mutual_best(candidates: DataFrame) -> DataFrame:
     return ranked.where("a = 1 AND b = 1").select("source_id", "obs", "old_feature_id", "new_feature_id", "priority")
 
 
-def changes(features: DataFrame, cross: bool = True) -> DataFrame:
+def changes(features: DataFrame, shapes: DataFrame | None = None, cross: bool = True) -> DataFrame:
     """All changes: pairs with a change of geometry, visible properties or layer are modified, the unpaired
-    removed or added. A pair's confidence is the lesser of its sides', at most 0.9 across ids."""
+    removed or added. A pair's confidence is the lesser of its sides', at most 0.9 across ids.
+
+    With ``shapes`` (source_id, feature_id, kind, rings) polygons are paired across ids by their true overlap, a moved
+    pair counts only if a material piece of it changed (P6), and each change gets the bounds w, s, e, n of
+    its pieces. Without, boxes stand for shapes. Sides and pairs are staged, as each is read several times.
+    """
+    return material_changes(features, shapes, cross)[0]
+
+
+def material_changes(features: DataFrame, shapes: DataFrame | None, cross: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """The changes, and with ``shapes`` their pieces (see pieces.change_pieces)."""
     old, new = split_unchanged(features)
+    sides = stage_table(old.withColumn("side", F.lit("old")).unionByName(new.withColumn("side", F.lit("new"))), "sides")
+    old, new = sides.where("side = 'old'").drop("side"), sides.where("side = 'new'").drop("side")
     found = same_base(old, new)
     if cross:
-        found = found.unionByName(cross_id(old, new))
-    pairs = mutual_best(found)
+        found = found.unionByName(cross_id(old, new) if shapes is None else cross_id_shapes(old, new, shapes))
+    pairs = stage_table(mutual_best(found), "pairs")
     o, n = _side(old, "old", "source_id", "obs"), _side(new, "new", "source_id", "obs")
     both = pairs.join(o, ["source_id", "obs", "old_feature_id"]).join(n, ["source_id", "obs", "new_feature_id"])
     moved = F.col("old_geometry_hash") != F.col("new_geometry_hash")
@@ -144,12 +143,19 @@ def changes(features: DataFrame, cross: bool = True) -> DataFrame:
     come = n.join(pairs, ["source_id", "obs", "new_feature_id"], "left_anti").withColumn("change_type", F.lit("added")).withColumn("confidence", F.col("new_confidence"))
     every = both.unionByName(gone, allowMissingColumns=True).unionByName(come, allowMissingColumns=True)
     key = F.when(F.col("change_type") == "removed", F.col("old_logical_key")).otherwise(F.col("new_logical_key"))
-    return every.withColumn("logical_key", key)
+    every = every.withColumn("logical_key", key)
+    if shapes is None:
+        return every, None
+    every = stage_table(every.withColumn("change_id", F.concat_ws("\n", "source_id", "obs", F.coalesce("old_feature_id", F.lit("")), F.coalesce("new_feature_id", F.lit("")))), "changes")
+    pieces = stage_table(change_pieces(every, shapes), "change-pieces")
+    box = pieces.groupBy("change_id").agg(F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n"))
+    return every.join(box, "change_id"), pieces
 
 
 def change_counts(changed: DataFrame, observations: DataFrame) -> DataFrame:
     """A1: per observation the changes by kind and their envelope; a baseline (obs 0) or quiet one has zeros."""
-    side = lambda f, c: f(F.coalesce(f"new_{c}", f"old_{c}"))
+    bounded = "w" in changed.columns
+    side = lambda f, c: f(c if bounded else F.coalesce(f"new_{c}", f"old_{c}"))
     n = changed.groupBy("source_id", "obs").agg(*[F.count_if(F.col("change_type") == k).alias(k) for k in ("added", "removed", "modified")], side(F.min, "w").alias("w"), side(F.min, "s").alias("s"), side(F.max, "e").alias("e"), side(F.max, "n").alias("n"))
     return observations.select("source_id", "obs").join(n, ["source_id", "obs"], "left").fillna(0, ["added", "removed", "modified"])
 
@@ -164,13 +170,6 @@ def style_changes(layers: DataFrame) -> DataFrame:
     return both.groupBy("source_id", "obs").agg(F.count_if(~F.col("old").eqNullSafe(F.col("new"))).alias("style_count"))
 
 
-def material(area: Column, radius: Column, perimeter: Column, is_polygon: Column) -> Column:
-    """Whether a piece is material: not a polygon, or not small, thin and ragged at once."""
-    roundness = F.when(perimeter != 0, 4 * 3.141592653589793 * area / (perimeter * perimeter))
-    sliver = (area < SLIVER_AREA) & (radius < SLIVER_RADIUS) & (roundness < SLIVER_ROUNDNESS)
-    return ~(is_polygon & F.coalesce(sliver, F.lit(False)))
-
-
 def phases(changed: DataFrame) -> DataFrame:
     """What to draw of each change: added after, removed before, moved both, restyled style."""
     kind = F.col("change_type")

@@ -88,7 +88,7 @@ def _metres(x1: float, y1: float, x2: float, y2: float) -> float:
 
 def difference_pieces(a: list, b: list) -> list[dict]:
     """The connected pieces of A without B ('before') and B without A ('after'), each with area, perimeter,
-    the radius of about the largest circle inside, box and an inner point."""
+    the radius of about the largest circle inside, box, an inner point and its geometry as trapezoids."""
     parts = [t for t in trapezoids(a, b) if t[1] != BOTH]
     by_slab: dict[int, list[int]] = {}
     for n, t in enumerate(parts):
@@ -132,9 +132,11 @@ def difference_pieces(a: list, b: list) -> list[dict]:
         radius, (px, py) = _inner_circle([parts[n] for n in group], seg)
         t = np.array([parts[n] for n in group])
         deg = lambda y: math.degrees(math.asin(max(-1, min(1, y))))
+        exact = lambda x: round(x, 9)  # bounds come back as they were given, without the noise of radians
         out.append({
             "phase": "before" if parts[group[0]][1] == ONLY_A else "after", "area": sum(_area(parts[n]) for n in group), "perimeter": perimeter, "radius": radius,
-            "w": math.degrees(t[:, [4, 6]].min()), "s": deg(t[:, 2].min()), "e": math.degrees(t[:, [5, 7]].max()), "n": deg(t[:, 3].max()), "lon": math.degrees(px), "lat": deg(py),
+            "w": exact(math.degrees(t[:, [4, 6]].min())), "s": exact(deg(t[:, 2].min())), "e": exact(math.degrees(t[:, [5, 7]].max())), "n": exact(deg(t[:, 3].max())), "lon": math.degrees(px), "lat": deg(py),
+            "geometry": [[{"x": math.degrees(x), "y": deg(y)} for x, y in ((l0, y0), (r0, y0), (r1, y1), (l1, y1))] for _, _, y0, y1, l0, r0, l1, r1 in (parts[n] for n in group)],
         })
     return out
 
@@ -181,9 +183,9 @@ def overlay_pairs(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [{"pair_id": i} | piece for i, o, n in zip(b["pair_id"], b["old_rings"], b["new_rings"], strict=True) for piece in difference_pieces(_rings(o), _rings(n))]
-            yield pd.DataFrame(rows, columns=["pair_id", "phase", "area", "perimeter", "radius", "w", "s", "e", "n", "lon", "lat"])
+            yield pd.DataFrame(rows, columns=["pair_id", "phase", "area", "perimeter", "radius", "w", "s", "e", "n", "lon", "lat", "geometry"])
 
-    return pairs.select("pair_id", "old_rings", "new_rings").mapInPandas(run, "pair_id string, phase string, area double, perimeter double, radius double, w double, s double, e double, n double, lon double, lat double")
+    return pairs.select("pair_id", "old_rings", "new_rings").mapInPandas(run, "pair_id string, phase string, area double, perimeter double, radius double, w double, s double, e double, n double, lon double, lat double, geometry array<array<struct<x: double, y: double>>>")
 
 
 def overlap_pairs(pairs: DataFrame) -> DataFrame:

@@ -71,9 +71,15 @@ add("events_instants", lambda s, d: V(s, d, "geo_events").withColumn("t", F.when
     "SELECT uuid, CASE WHEN event_id % 3 = 1 THEN timestamp_text ELSE substr(timestamp_text, 1, 10) || ' 00:00:00' END AS at, CASE WHEN event_id % 3 = 1 AND timestamp_text NOT LIKE '% 00:00:00' THEN 'minute' ELSE 'day' END AS kind FROM {geo_events}")
 
 add("text_links", lambda s, d: V(s, d, "texts").select("id", F.array_join(text.urls(F.col("text")), " ").alias("links"), text.status_id(F.get(text.urls(F.col("text")), 0)).alias("status"), text.channel_post(F.get(text.urls(F.col("text")), 1)).alias("post")),
-    "SELECT id, 'https://x.com/user' || CAST(id AS VARCHAR) || '/status/' || CAST(id * 7 AS VARCHAR) || ' https://t.me/ch' || CAST(id % 9 AS VARCHAR) || '/' || CAST(id AS VARCHAR) AS links, CAST(id * 7 AS VARCHAR) AS status, 'ch' || CAST(id % 9 AS VARCHAR) || '/' || CAST(id AS VARCHAR) AS post FROM {texts}")
+    r"""WITH u AS (SELECT id, list_filter(list_transform(regexp_extract_all(text, 'https?://[^\s<>"\x27]+'), lambda x: regexp_replace(x, '[.)\],;:!?]+$', '')), lambda x: x <> '') AS l FROM {texts})
+SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS links, CAST(id * 7 AS VARCHAR) AS status, 'ch' || CAST(id % 9 AS VARCHAR) || '/' || CAST(id AS VARCHAR) AS post FROM u""")
+
+NUMBER = r"(-?\d+\.\d+)"
+FORMS = (rf"(?is){NUMBER}\s*[°º]?\s*[Nn].*?{NUMBER}\s*[°º]?\s*[Ee]", rf"(?is)lat(?:itude)?\s*[:=]\s*{NUMBER}.*?lon(?:gitude)?\s*[:=]\s*{NUMBER}", rf"(?is)!3d{NUMBER}!4d{NUMBER}", rf"(?is)@{NUMBER},{NUMBER}", rf"{NUMBER}\s*,\s*{NUMBER}")
+PAIR = "".join(f"WHEN regexp_matches(text, '{f}') THEN [CAST(regexp_extract(text, '{f}', 1) AS DOUBLE), CAST(regexp_extract(text, '{f}', 2) AS DOUBLE), {k}] " for k, f in enumerate(FORMS))
 add("text_coordinates", lambda s, d: V(s, d, "texts").select("id", text.coordinates(F.col("text")).alias("c")).select("id", "c.lat", "c.lon"),
-    "SELECT id, CAST('48.' || CAST(100 + id % 800 AS VARCHAR) AS DOUBLE) AS lat, CAST('37.' || CAST(100 + id % 700 AS VARCHAR) AS DOUBLE) AS lon FROM {texts}")
+    f"""WITH p AS (SELECT id, CASE {PAIR} END AS p FROM {{texts}}), q AS (SELECT id, p[3] = {len(FORMS) - 1} AS bare, p[3] = {len(FORMS) - 1} AND abs(p[1]) > 90 AND abs(p[2]) <= 90 AS swap, p FROM p),
+r AS (SELECT id, bare, CASE WHEN swap THEN p[2] ELSE p[1] END AS lat, CASE WHEN swap THEN p[1] ELSE p[2] END AS lon FROM q) SELECT id, CASE WHEN NOT bare OR abs(lat) <= 90 AND abs(lon) <= 180 THEN lat END AS lat, CASE WHEN NOT bare OR abs(lat) <= 90 AND abs(lon) <= 180 THEN lon END AS lon FROM r""")
 add("text_names", lambda s, d: V(s, d, "texts").select("id", F.array_join(text.split_names(F.col("names")), "|").alias("names")), "SELECT id, split_part(names, ', ', 1) || '|' || split_part(split_part(names, ', ', 2), ';', 1) AS names FROM {texts}")
 add("tile_ids", lambda s, d: V(s, d, "geo_events").select("uuid", text.tile_id(F.col("uuid")).alias("tile_id")), "SELECT uuid, CAST('0x' || substr(md5(uuid), 1, 15) AS BIGINT) AS tile_id FROM {geo_events}")
 add("row_hashes", lambda s, d: V(s, d, "geo_events").select("uuid", text.row_hash(F.col("uuid"), F.col("icon_id")).alias("h")), "SELECT uuid, sha256(uuid || chr(31) || coalesce(icon_id, chr(0))) AS h FROM {geo_events}")

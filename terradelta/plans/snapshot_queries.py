@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.text import uuid5, visible_properties
 from ..operators import areas as ar
-from ..operators import diff, feed, identity, overlay, snapshots, tiles
+from ..operators import diff, feed, identity, overlay, pieces, snapshots, tiles
 from ..sources import readers
 from .views import view as V
 
@@ -18,36 +18,48 @@ DIFF = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY source_id, obs, b
 old_left AS (SELECT a.* REPLACE (a.obs + 1 AS obs) FROM o a LEFT JOIN o b ON a.source_id = b.source_id AND b.obs = a.obs + 1 AND a.base_key = b.base_key AND a.content_hash = b.content_hash AND a.ordinal = b.ordinal AND a.layer_key = b.layer_key WHERE a.obs < a.last AND b.obs IS NULL),
 new_left AS (SELECT a.* FROM o a LEFT JOIN o b ON a.source_id = b.source_id AND b.obs = a.obs - 1 AND a.base_key = b.base_key AND a.content_hash = b.content_hash AND a.ordinal = b.ordinal AND a.layer_key = b.layer_key WHERE a.obs > 0 AND b.obs IS NULL),
 base_pairs AS (SELECT a.source_id, a.obs, a.feature_id AS old_id, b.feature_id AS new_id, 0 AS priority, 0.0 AS overlap, 2 * 6371008.8 * asin(sqrt(least(pow(sin(radians((b.s + b.n) / 2 - (a.s + a.n) / 2) / 2), 2) + cos(radians((a.s + a.n) / 2)) * cos(radians((b.s + b.n) / 2)) * pow(sin(radians((b.w + b.e) / 2 - (a.w + a.e) / 2) / 2), 2), 1.0))) AS distance FROM old_left a JOIN new_left b USING (source_id, obs, base_key)),
-boxes_met AS (SELECT a.source_id, a.obs, a.feature_id AS old_id, b.feature_id AS new_id, greatest(least(a.e, b.e) - greatest(a.w, b.w), 0.0) * greatest(sin(radians(least(a.n, b.n))) - sin(radians(greatest(a.s, b.s))), 0.0) AS i, (a.e - a.w) * (sin(radians(a.n)) - sin(radians(a.s))) + (b.e - b.w) * (sin(radians(b.n)) - sin(radians(b.s))) AS u, 2 * 6371008.8 * asin(sqrt(least(pow(sin(radians((b.s + b.n) / 2 - (a.s + a.n) / 2) / 2), 2) + cos(radians((a.s + a.n) / 2)) * cos(radians((b.s + b.n) / 2)) * pow(sin(radians((b.w + b.e) / 2 - (a.w + a.e) / 2) / 2), 2), 1.0))) AS distance FROM old_left a JOIN new_left b USING (source_id, obs, layer_key, props_hash) WHERE a.base_key <> b.base_key AND a.w <= b.e AND b.w <= a.e AND a.s <= b.n AND b.s <= a.n),
+boxes_met AS (SELECT a.source_id, a.obs, a.feature_id AS old_id, b.feature_id AS new_id, greatest(least(a.e, b.e) - greatest(a.w, b.w), 0.0) * greatest(sin(radians(least(a.n, b.n))) - sin(radians(greatest(a.s, b.s))), 0.0) AS i, (a.e - a.w) * (sin(radians(a.n)) - sin(radians(a.s))) + (b.e - b.w) * (sin(radians(b.n)) - sin(radians(b.s))) AS u, 2 * 6371008.8 * asin(sqrt(least(pow(sin(radians((b.s + b.n) / 2 - (a.s + a.n) / 2) / 2), 2) + cos(radians((a.s + a.n) / 2)) * cos(radians((b.s + b.n) / 2)) * pow(sin(radians((b.w + b.e) / 2 - (a.w + a.e) / 2) / 2), 2), 1.0))) AS distance FROM old_left a JOIN new_left b USING (source_id, obs, layer_key, props_hash) WHERE a.kind = 'polygon' AND b.kind = 'polygon' AND a.base_key <> b.base_key AND a.w <= b.e AND b.w <= a.e AND a.s <= b.n AND b.s <= a.n),
 cross_pairs AS (SELECT source_id, obs, old_id, new_id, 1 AS priority, i / (u - i) AS overlap, distance FROM boxes_met WHERE i / (u - i) >= 0.90),
 candidates AS (SELECT * FROM base_pairs UNION ALL SELECT * FROM cross_pairs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id, obs, old_id ORDER BY priority, round(overlap, 9) DESC, round(distance, 6), new_id) AS ra, row_number() OVER (PARTITION BY source_id, obs, new_id ORDER BY priority, round(overlap, 9) DESC, round(distance, 6), old_id) AS rb FROM candidates),
 best AS (SELECT * FROM ranked WHERE ra = 1 AND rb = 1),
 changed AS (
- SELECT n.source_id, n.obs, n.logical_key, 'modified' AS change_type, p.old_id, p.new_id, CASE WHEN p.priority = 1 THEN least(o.confidence, n.confidence, 0.9) ELSE least(o.confidence, n.confidence) END AS confidence, o.geometry_hash <> n.geometry_hash AS moved, n.w, n.s, n.e, n.n, o.layer_key AS old_layer, n.layer_key AS new_layer
- FROM best p JOIN old_left o ON o.source_id = p.source_id AND o.obs = p.obs AND o.feature_id = p.old_id JOIN new_left n ON n.source_id = p.source_id AND n.obs = p.obs AND n.feature_id = p.new_id WHERE o.geometry_hash <> n.geometry_hash OR o.props_hash <> n.props_hash OR o.layer_key <> n.layer_key
- UNION ALL SELECT source_id, obs, logical_key, 'removed', feature_id, NULL, confidence, NULL, w, s, e, n, layer_key, NULL FROM old_left WHERE NOT EXISTS (SELECT 1 FROM best p WHERE p.source_id = old_left.source_id AND p.obs = old_left.obs AND p.old_id = old_left.feature_id)
- UNION ALL SELECT source_id, obs, logical_key, 'added', NULL, feature_id, confidence, NULL, w, s, e, n, NULL, layer_key FROM new_left WHERE NOT EXISTS (SELECT 1 FROM best p WHERE p.source_id = new_left.source_id AND p.obs = new_left.obs AND p.new_id = new_left.feature_id)) """
-CELL_AREAS = """, placed AS (SELECT *, (w + e) / 2 AS lon, (s + n) / 2 AS lat FROM changed WHERE change_type <> 'modified' OR moved), xy AS (SELECT *, radians(lon) * 6378137.0 AS x, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0 AS y FROM placed) """
+ SELECT n.source_id, n.obs, n.logical_key, 'modified' AS change_type, p.old_id, p.new_id, CASE WHEN p.priority = 1 THEN least(o.confidence, n.confidence, 0.9) ELSE least(o.confidence, n.confidence) END AS confidence, o.geometry_hash <> n.geometry_hash AS moved,
+  least(o.w, n.w) AS w, n.s, greatest(o.e, n.e) AS e, n.n, o.layer_key AS old_layer, n.layer_key AS new_layer, n.kind, n.place
+ FROM best p JOIN old_left o ON o.source_id = p.source_id AND o.obs = p.obs AND o.feature_id = p.old_id JOIN new_left n ON n.source_id = p.source_id AND n.obs = p.obs AND n.feature_id = p.new_id
+ WHERE CASE WHEN o.geometry_hash <> n.geometry_hash THEN n.kind <> 'polygon' OR abs(o.w - n.w) > 0.001 ELSE o.props_hash <> n.props_hash OR o.layer_key <> n.layer_key END
+ UNION ALL SELECT source_id, obs, logical_key, 'removed', feature_id, NULL, confidence, NULL, w, s, e, n, layer_key, NULL, kind, place FROM old_left WHERE NOT EXISTS (SELECT 1 FROM best p WHERE p.source_id = old_left.source_id AND p.obs = old_left.obs AND p.old_id = old_left.feature_id)
+ UNION ALL SELECT source_id, obs, logical_key, 'added', NULL, feature_id, confidence, NULL, w, s, e, n, NULL, layer_key, kind, place FROM new_left WHERE NOT EXISTS (SELECT 1 FROM best p WHERE p.source_id = new_left.source_id AND p.obs = new_left.obs AND p.new_id = new_left.feature_id)) """
+#: Pieces of changes: a moved feature has one on each side, another change one.
+PIECES = DIFF + """, pieces AS (SELECT *, unnest(CASE WHEN change_type = 'added' THEN ['after'] WHEN change_type = 'removed' THEN ['before'] WHEN moved THEN ['before', 'after'] ELSE ['style'] END) AS phase FROM changed) """
 
 
-def changed_pieces(s, d) -> DataFrame:
-    c = diff.changes(V(s, d, "features"))
-    side = lambda x: F.coalesce(f"new_{x}", f"old_{x}")
-    return c.select("source_id", "obs", "logical_key", "change_type", F.concat_ws("|", "logical_key", "change_type").alias("piece"), *[side(x).alias(x) for x in "wsen"], "moved", "confidence", "old_feature_id", "new_feature_id", "old_layer_key", "new_layer_key")
+def rings_of(w, s_, e, n):
+    return F.array(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((w, s_), (e, s_), (e, n), (w, n))]))
+
+
+def shapes(s, d) -> DataFrame:
+    """The shapes of the features view: boxes, their diagonals, their corners."""
+    w, t, e, n = (F.col(c) for c in "wsen")
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    rings = F.when(F.col("kind") == "point", F.array(F.array(at(w, t)))).when(F.col("kind") == "line", F.array(F.array(at(w, t), at(e, n)))).otherwise(rings_of(w, t, e, n))
+    return V(s, d, "features").select("source_id", "feature_id", "kind", rings.alias("rings"))
+
+
+def changed_rows(s, d) -> DataFrame:
+    return diff.changes(V(s, d, "features"), shapes(s, d))
 
 
 def change_counts_per_observation(s, d) -> DataFrame:
-    f = V(s, d, "features")
-    out = diff.change_counts(diff.changes(f), V(s, d, "observations"))
+    out = diff.change_counts(changed_rows(s, d), V(s, d, "observations"))
     return out.select("source_id", "obs", "added", "removed", "modified", *[F.round(c, 6).alias(c) for c in "wsen"])
 
 
-def areas_of(s, d) -> DataFrame:
-    """Change areas: pieces thinned to a grid by kind, so that several areas exist on the driver's tables."""
-    p = changed_pieces(s, d).where("change_type <> 'modified'")
-    p = p.withColumn("lon", (F.col("w") + F.col("e")) / 2 * 3 - 60).withColumn("lat", (F.col("s") + F.col("n")) / 2 * 3 - 90)
-    return ar.change_areas(ar.clusters(p))
+def clustered_pieces(s, d) -> DataFrame:
+    """The pieces of all changes, in clusters; a piece's name tells its feature, kind of change and side."""
+    found = diff.material_changes(V(s, d, "features"), shapes(s, d))[1]
+    name = F.concat_ws("|", "logical_key", "change_type", "phase", F.round("w", 6).cast("string"))
+    return ar.clusters(found.withColumn("piece", name))
 
 
 def feed_areas(s, d) -> DataFrame:
@@ -62,7 +74,7 @@ def feed_sources(s, d) -> DataFrame:
 def payloads(s, d) -> DataFrame:
     """Overlay payloads made of the features view: one a source and observation."""
     f = V(s, d, "features")
-    ring = lambda *cs: F.concat(F.lit("[["), F.concat_ws(",", *[F.format_string("[%.2f,%.2f]", x, y) for x, y in cs]), F.lit("]]"))
+    ring = lambda *cs: F.concat(F.lit("[["), F.concat_ws(",", *[F.format_string("[%.4f,%.4f]", x, y) for x, y in cs]), F.lit("]]"))
     w, t, e, n = (F.col(c) for c in "wsen")
     feature = F.struct(F.lit("Feature").alias("type"), F.col("feature_id").alias("id"), F.struct(F.lit("Polygon").alias("type"), ring((w, t), (e, t), (e, n), (w, n), (w, t)).alias("coordinates")).alias("geometry"), F.create_map(F.lit("Name"), F.col("base_key"), F.lit("v"), F.col("v").cast("string")).alias("properties"))
     layer = f.groupBy("source_id", "obs", "layer_key").agg(F.array_sort(F.collect_list(feature), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("features"))
@@ -71,10 +83,6 @@ def payloads(s, d) -> DataFrame:
     return kept.select(F.col("source_id").alias("mapper_id"), F.lit("2024-01-01").cast("timestamp").alias("captured_at"), F.col("obs").alias("run_id"), F.transform(F.array_sort(F.transform("ls", lambda x: F.struct(x["layer_key"].alias("k"), x["l"]["id"].alias("id"), x["l"]["label"].alias("label"), x["l"]["geom_type"].alias("geom_type"), x["l"]["data"].alias("data"))), lambda a, b: F.when(a["k"] < b["k"], -1).otherwise(1)), lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"), x["geom_type"].alias("geom_type"), F.create_map(F.lit("fill"), F.lit("#fff")).alias("paint"), x["data"].alias("data"))).alias("layers"))
 
 
-def rings_of(w, s_, e, n):
-    return F.array(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((w, s_), (e, s_), (e, n), (w, n))]))
-
-
 def pair_rings(s, d) -> DataFrame:
     p = V(s, d, "places")
     x, y = F.col("lon"), F.col("lat")
@@ -138,29 +146,25 @@ def left_over(s, d):
 add("unpaired_by_content", left_over, DIFF.rsplit(",\nbase_pairs", 1)[0] + " SELECT source_id, obs, feature_id, 'old' AS side FROM old_left UNION ALL SELECT source_id, obs, feature_id, 'new' FROM new_left")
 add("same_base_candidates", lambda s, d: diff.same_base(*diff.split_unchanged(V(s, d, "features"))).select("source_id", "obs", "old_feature_id", "new_feature_id", F.round("distance", 3).alias("distance")),
     DIFF.rsplit(",\nboxes_met", 1)[0] + " SELECT source_id, obs, old_id AS old_feature_id, new_id AS new_feature_id, round(distance, 3) AS distance FROM base_pairs")
-add("cross_id_candidates", lambda s, d: diff.cross_id(*diff.split_unchanged(V(s, d, "features"))).select("source_id", "obs", "old_feature_id", "new_feature_id", F.round("overlap", 6).alias("overlap")),
+add("cross_id_candidates", lambda s, d: diff.cross_id(*[x.where("kind = 'polygon'") for x in diff.split_unchanged(V(s, d, "features"))]).select("source_id", "obs", "old_feature_id", "new_feature_id", F.round("overlap", 6).alias("overlap")),
     DIFF.rsplit(",\ncandidates", 1)[0] + " SELECT source_id, obs, old_id AS old_feature_id, new_id AS new_feature_id, round(overlap, 6) AS overlap FROM cross_pairs")
 def best_pairs(s, d):
     old, new = diff.split_unchanged(V(s, d, "features"))
-    return diff.mutual_best(diff.same_base(old, new).unionByName(diff.cross_id(old, new)))
+    return diff.mutual_best(diff.same_base(old, new).unionByName(diff.cross_id_shapes(old, new, shapes(s, d))))
 
 
 add("mutual_best_pairs", best_pairs, DIFF.rsplit(",\nchanged", 1)[0] + " SELECT source_id, obs, old_id AS old_feature_id, new_id AS new_feature_id, priority FROM best")
-def box_shapes(s, d) -> DataFrame:
-    return V(s, d, "features").select("source_id", "feature_id", rings_of(F.col("w"), F.col("s"), F.col("e"), F.col("n")).alias("rings"))
-
-
-add("cross_id_polygons", lambda s, d: diff.cross_id_shapes(*diff.split_unchanged(V(s, d, "features")), box_shapes(s, d)).select("source_id", "obs", "old_feature_id", "new_feature_id", F.round("overlap", 6).alias("overlap")),
+add("cross_id_polygons", lambda s, d: diff.cross_id_shapes(*diff.split_unchanged(V(s, d, "features")), shapes(s, d)).select("source_id", "obs", "old_feature_id", "new_feature_id", F.round("overlap", 6).alias("overlap")),
     DIFF.rsplit(",\ncandidates", 1)[0] + " SELECT source_id, obs, old_id AS old_feature_id, new_id AS new_feature_id, round(overlap, 6) AS overlap FROM cross_pairs")
-add("material_feature_changes", lambda s, d: diff.drop_immaterial(diff.changes(V(s, d, "features")), box_shapes(s, d)).select("source_id", "obs", "logical_key", "change_type", "old_feature_id", "new_feature_id"),
-    DIFF + "SELECT c.source_id, c.obs, c.logical_key, change_type, old_id AS old_feature_id, new_id AS new_feature_id FROM changed c LEFT JOIN {features} o ON o.source_id = c.source_id AND o.feature_id = c.old_id LEFT JOIN {features} f ON f.source_id = c.source_id AND f.feature_id = c.new_id WHERE change_type <> 'modified' OR NOT moved OR o.w <> f.w OR o.s <> f.s")
-add("feature_changes", lambda s, d: changed_pieces(s, d).select("source_id", "obs", "logical_key", "change_type", "old_feature_id", "new_feature_id", "confidence"),
+add("material_feature_changes", lambda s, d: changed_rows(s, d).where("moved").select("source_id", "obs", "logical_key", "old_feature_id", "new_feature_id", *[F.round(c, 6).alias(c) for c in "wsen"]),
+    DIFF + "SELECT source_id, obs, logical_key, old_id AS old_feature_id, new_id AS new_feature_id, round(w, 6) AS w, round(s, 6) AS s, round(e, 6) AS e, round(n, 6) AS n FROM changed WHERE moved")
+add("feature_changes", lambda s, d: changed_rows(s, d).select("source_id", "obs", "logical_key", "change_type", "old_feature_id", "new_feature_id", "confidence"),
     DIFF + "SELECT source_id, obs, logical_key, change_type, old_id AS old_feature_id, new_id AS new_feature_id, confidence FROM changed")
 add("change_counts_per_observation", change_counts_per_observation,
     DIFF + "SELECT x.source_id, x.obs, count(*) FILTER (change_type = 'added') AS added, count(*) FILTER (change_type = 'removed') AS removed, count(*) FILTER (change_type = 'modified') AS modified, round(min(w), 6) AS w, round(min(s), 6) AS s, round(max(e), 6) AS e, round(max(n), 6) AS n FROM {observations} x LEFT JOIN changed c ON c.source_id = x.source_id AND c.obs = x.obs GROUP BY 1, 2")
 add("layer_style_changes", lambda s, d: diff.style_changes(V(s, d, "layers")),
     "WITH l AS (SELECT *, max(obs) OVER (PARTITION BY source_id) AS last FROM {layers}), o AS (SELECT source_id, obs + 1 AS obs, layer_key, label, geometry_type, paint FROM l WHERE obs < last), n AS (SELECT * FROM l WHERE obs > 0) SELECT source_id, obs, count(*) FILTER (o.label IS DISTINCT FROM n.label OR o.geometry_type IS DISTINCT FROM n.geometry_type OR o.paint IS DISTINCT FROM n.paint) AS style_count FROM o FULL JOIN n USING (source_id, obs, layer_key) GROUP BY 1, 2")
-add("change_phases", lambda s, d: diff.phases(changed_pieces(s, d)).groupBy("source_id", "obs", "change_type", "phase").agg(F.count("*").alias("n")),
+add("change_phases", lambda s, d: diff.phases(changed_rows(s, d)).groupBy("source_id", "obs", "change_type", "phase").agg(F.count("*").alias("n")),
     DIFF + "SELECT source_id, obs, change_type, phase, count(*) AS n FROM (SELECT source_id, obs, change_type, unnest(CASE WHEN change_type = 'added' THEN ['after'] WHEN change_type = 'removed' THEN ['before'] WHEN moved THEN ['before', 'after'] ELSE ['style'] END) AS phase FROM changed) t GROUP BY ALL")
 
 
@@ -170,25 +174,41 @@ def paints(s, d):
 
 
 LOOKS = ", looks AS (SELECT f.source_id, f.obs, f.feature_id, f.layer_key, coalesce(CASE WHEN v <> 0 THEN '#' || lpad(CAST(b AS VARCHAR), 6, '0') END, l.paint) AS color FROM {features} f JOIN {layers} l ON l.source_id = f.source_id AND l.obs = f.obs AND l.layer_key = f.layer_key), ph AS (SELECT *, unnest(CASE WHEN change_type = 'added' THEN ['after'] WHEN change_type = 'removed' THEN ['before'] WHEN moved THEN ['before', 'after'] ELSE ['style'] END) AS phase FROM changed), st AS (SELECT p.source_id, p.obs, p.logical_key, p.phase, coalesce(k.color, '#666666') AS color FROM ph p LEFT JOIN looks k ON k.source_id = p.source_id AND k.obs = CASE WHEN phase = 'before' THEN p.obs - 1 ELSE p.obs END AND k.feature_id = CASE WHEN phase = 'before' THEN p.old_id ELSE p.new_id END AND k.layer_key = CASE WHEN phase = 'before' THEN old_layer ELSE new_layer END) "
-add("styled_changes", lambda s, d: diff.styled(changed_pieces(s, d), paints(s, d)).select("source_id", "obs", "logical_key", "phase", "color"), DIFF + LOOKS + "SELECT source_id, obs, logical_key, phase, color FROM st")
-add("removed_colors", lambda s, d: diff.removed_colors(diff.styled(changed_pieces(s, d), paints(s, d))), DIFF + LOOKS + "SELECT DISTINCT source_id, obs, lower(color) AS color FROM st WHERE phase = 'before' AND regexp_matches(color, '^#[0-9a-fA-F]{6}$')")
+add("styled_changes", lambda s, d: diff.styled(changed_rows(s, d), paints(s, d)).select("source_id", "obs", "logical_key", "phase", "color"), DIFF + LOOKS + "SELECT source_id, obs, logical_key, phase, color FROM st")
+add("removed_colors", lambda s, d: diff.removed_colors(diff.styled(changed_rows(s, d), paints(s, d))), DIFF + LOOKS + "SELECT DISTINCT source_id, obs, lower(color) AS color FROM st WHERE phase = 'before' AND regexp_matches(color, '^#[0-9a-fA-F]{6}$')")
 
 
 def cell_areas(s, d):
     """One area a source, observation and 2-degree cell of the changes."""
-    p = changed_pieces(s, d).withColumn("area", F.concat_ws(":", F.floor(F.col("w") / 2), F.floor(F.col("s") / 2)))
+    p = changed_rows(s, d).withColumn("area", F.concat_ws(":", F.floor(F.col("w") / 2), F.floor(F.col("s") / 2)))
     return p.groupBy("source_id", "obs", "area").agg(F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n"))
 
 
-add("unchanged_context", lambda s, d: diff.unchanged_context(cell_areas(s, d), V(s, d, "features"), changed_pieces(s, d)).groupBy("source_id", "obs", "area").agg(F.count("*").alias("n"), F.min("feature_id").alias("first")),
+add("unchanged_context", lambda s, d: diff.unchanged_context(cell_areas(s, d), V(s, d, "features"), changed_rows(s, d)).groupBy("source_id", "obs", "area").agg(F.count("*").alias("n"), F.min("feature_id").alias("first")),
     DIFF + ", a AS (SELECT source_id, obs, CAST(CAST(floor(w / 2) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(s / 2) AS BIGINT) AS VARCHAR) AS area, min(w) - 0.25 AS w, min(s) - 0.25 AS s, max(e) + 0.25 AS e, max(n) + 0.25 AS n FROM changed GROUP BY 1, 2, 3), q AS (SELECT DISTINCT a.source_id, a.obs, a.area, f.feature_id FROM a JOIN {features} f ON f.source_id = a.source_id AND f.obs = a.obs AND a.w <= f.e AND f.w <= a.e AND a.s <= f.n AND f.s <= a.n WHERE NOT EXISTS (SELECT 1 FROM changed c WHERE c.source_id = f.source_id AND c.obs = f.obs AND c.new_id = f.feature_id)) SELECT source_id, obs, area, count(*) AS n, min(feature_id) AS first FROM (SELECT *, row_number() OVER (PARTITION BY source_id, obs, area ORDER BY feature_id) AS r FROM q) t WHERE r <= 2000 GROUP BY 1, 2, 3")
 add("layer_default_paint", lambda s, d: diff.layer_paint(V(s, d, "features").select("source_id", "layer_key", F.concat_ws(":", F.format_string("%04d", F.col("obs")), "feature_id").alias("position"), F.lit("Polygon").alias("geometry_type"), F.create_map(F.lit("fill_color"), F.format_string("#%06d", F.col("b"))).alias("properties")), V(s, d, "observations").select("source_id").distinct().withColumn("paint", F.create_map(F.lit("line_width"), F.lit("3")))).select("source_id", "layer_key", F.col("paint")["fill_color"].alias("fill"), F.col("paint")["line_width"].alias("width"), F.col("paint")["line_color"].alias("line")),
     "SELECT source_id, layer_key, '#' || lpad(CAST(arg_min(b, (obs, feature_id)) AS VARCHAR), 6, '0') AS fill, '3' AS width, '#333333' AS line FROM {features} GROUP BY 1, 2")
 add("change_detail", lambda s, d: diff.detail(cell_areas(s, d), V(s, d, "observations"), V(s, d, "observations").select("source_id").distinct().withColumn("title", F.concat(F.lit("Source "), "source_id")), V(s, d, "layers")).select("source_id", "obs", "area", "title", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after")),
     DIFF + ", a AS (SELECT DISTINCT source_id, obs, CAST(CAST(floor(w / 2) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(s / 2) AS BIGINT) AS VARCHAR) AS area FROM changed), h AS (SELECT source_id, obs, string_agg(label, '|' ORDER BY ordinal) AS labels FROM {layers} GROUP BY 1, 2) SELECT a.source_id, a.obs, a.area, 'Source ' || a.source_id AS title, p.labels AS before, q.labels AS after FROM a LEFT JOIN h p ON p.source_id = a.source_id AND p.obs = a.obs - 1 LEFT JOIN h q ON q.source_id = a.source_id AND q.obs = a.obs")
 
-add("change_areas", lambda s, d: areas_of(s, d).select("source_id", "obs", "ordinal", "cluster", "added", "removed", "modified", F.size("members").alias("n_members"), *[F.round(c, 6).alias(c) for c in "wsen"]),
-    "WITH RECURSIVE " + DIFF[5:] + ", xy AS (SELECT source_id, obs, logical_key, change_type, logical_key || '|' || change_type AS piece, w, s, e, n, radians((w + e) / 2 * 3 - 60) * 6378137.0 AS x, ln(tan(pi() / 4 + radians((s + n) / 2 * 3 - 90) / 2)) * 6378137.0 AS y FROM changed WHERE change_type <> 'modified'), spots AS (SELECT source_id, obs, x, y, min(piece) AS piece FROM xy GROUP BY 1, 2, 3, 4), links AS MATERIALIZED (SELECT a.source_id, a.obs, a.piece AS a, b.piece AS b FROM spots a JOIN spots b ON a.source_id = b.source_id AND a.obs = b.obs AND abs(a.x - b.x) <= 50000 AND abs(a.y - b.y) <= 50000 WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 50000.0 * 50000.0), reach AS (SELECT source_id, obs, a, b FROM links UNION SELECT r.source_id, r.obs, r.a, l.b FROM reach r JOIN links l ON l.source_id = r.source_id AND l.obs = r.obs AND l.a = r.b), comp AS (SELECT source_id, obs, a, min(b) AS cluster FROM reach GROUP BY 1, 2, 3), member AS (SELECT x.*, c.cluster FROM xy x JOIN spots p USING (source_id, obs, x, y) JOIN comp c ON c.source_id = x.source_id AND c.obs = x.obs AND c.a = p.piece), grouped AS (SELECT source_id, obs, cluster, count(DISTINCT CASE WHEN change_type = 'added' THEN logical_key END) AS added, count(DISTINCT CASE WHEN change_type = 'removed' THEN logical_key END) AS removed, count(DISTINCT CASE WHEN change_type = 'modified' THEN logical_key END) AS modified, CAST(count(DISTINCT piece) AS INTEGER) AS n_members, min(w) AS w, min(s) AS s, max(e) AS e, max(n) AS n FROM member GROUP BY 1, 2, 3) SELECT source_id, obs, CAST(row_number() OVER (PARTITION BY source_id, obs ORDER BY w, s, e, n, cluster) - 1 AS INTEGER) AS ordinal, cluster, added, removed, modified, n_members, round(w, 6) AS w, round(s, 6) AS s, round(e, 6) AS e, round(n, 6) AS n FROM grouped")
+#: Places of one neighbourhood stand 0.3 degrees apart, so only those next to each other are linked; others are far off.
+AREAS = PIECES + """, spots AS (SELECT DISTINCT source_id, obs, place FROM pieces), runs_ AS (SELECT *, CAST(floor(place / 4) AS BIGINT) AS hood, place - row_number() OVER (PARTITION BY source_id, obs, CAST(floor(place / 4) AS BIGINT) ORDER BY place) AS island FROM spots),
+member AS (SELECT p.*, r.hood, r.island FROM pieces p JOIN runs_ r USING (source_id, obs, place)),
+grouped AS (SELECT source_id, obs, hood, island, count(DISTINCT CASE WHEN change_type = 'added' THEN logical_key END) AS added, count(DISTINCT CASE WHEN change_type = 'removed' THEN logical_key END) AS removed, count(DISTINCT CASE WHEN change_type = 'modified' THEN logical_key END) AS modified, count(DISTINCT logical_key || '|' || change_type) AS n_members, min(w) AS w, min(s) AS s, max(e) AS e, max(n) AS n FROM member GROUP BY 1, 2, 3, 4) """
+add("change_areas", lambda s, d: ar.change_areas(clustered_pieces(s, d)).select("source_id", "obs", "ordinal", "added", "removed", "modified", "n_members", *[F.round(c, 6).alias(c) for c in "wsen"]),
+    AREAS + "SELECT source_id, obs, CAST(row_number() OVER (PARTITION BY source_id, obs ORDER BY w, s, e, n) - 1 AS INTEGER) AS ordinal, added, removed, modified, n_members, round(w, 6) AS w, round(s, 6) AS s, round(e, 6) AS e, round(n, 6) AS n FROM grouped")
+add("area_members", lambda s, d: ar.area_members(clustered_pieces(s, d)).groupBy("source_id", "obs", "logical_key", "change_type").agg(F.count("*").alias("areas")),
+    AREAS + "SELECT source_id, obs, logical_key, change_type, count(DISTINCT (hood, island)) AS areas FROM member GROUP BY 1, 2, 3, 4")
+
+
+def area_pieces(s, d) -> DataFrame:
+    """The pieces of change areas, cut to them, with what they cover; a cut piece keeps a polygon's vertices at least."""
+    found = clustered_pieces(s, d)
+    out = pieces.clipped(found, ar.change_areas(found))
+    return out.groupBy("source_id", "obs", "change_type", "phase", "kind").agg(F.count("*").alias("n"), F.min(F.size(F.flatten("geometry"))).alias("least_points"))
+
+
+add("area_pieces", area_pieces, PIECES + "SELECT source_id, obs, change_type, phase, kind, count(*) AS n, CASE kind WHEN 'polygon' THEN 4 WHEN 'line' THEN 2 ELSE 1 END AS least_points FROM pieces GROUP BY 1, 2, 3, 4, 5")
 add("style_areas", lambda s, d: ar.with_style_areas(cell_areas(s, d).withColumn("ordinal", F.lit(0)), diff.style_changes(V(s, d, "layers")), V(s, d, "features").groupBy("source_id", "obs").agg(F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n"))).where("style_count > 0").select("source_id", "obs", "style_count", "ordinal", *[F.round(c, 6).alias(c) for c in "wsen"]),
     DIFF + ", a AS (SELECT source_id, obs, count(DISTINCT CAST(CAST(floor(w / 2) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(s / 2) AS BIGINT) AS VARCHAR)) AS k FROM changed GROUP BY 1, 2), l AS (SELECT *, max(obs) OVER (PARTITION BY source_id) AS last FROM {layers}), lo AS (SELECT source_id, obs + 1 AS obs, layer_key, label, geometry_type, paint FROM l WHERE obs < last), ln_ AS (SELECT * FROM l WHERE obs > 0), st AS (SELECT source_id, obs, count(*) FILTER (lo.label IS DISTINCT FROM ln_.label OR lo.geometry_type IS DISTINCT FROM ln_.geometry_type OR lo.paint IS DISTINCT FROM ln_.paint) AS style_count FROM lo FULL JOIN ln_ USING (source_id, obs, layer_key) GROUP BY 1, 2), bb AS (SELECT source_id, obs, min(w) AS w, min(s) AS s, max(e) AS e, max(n) AS n FROM {features} GROUP BY 1, 2) SELECT st.source_id, st.obs, style_count, CAST(coalesce(k, 0) AS INTEGER) AS ordinal, round(w, 6) AS w, round(s, 6) AS s, round(e, 6) AS e, round(n, 6) AS n FROM st LEFT JOIN bb ON bb.source_id = st.source_id AND bb.obs = st.obs LEFT JOIN a ON a.source_id = st.source_id AND a.obs = st.obs WHERE style_count > 0")
 
@@ -202,14 +222,14 @@ add("feed_status", lambda s, d: feed.status(feed_areas(s, d), (F.lit("1998-01-01
 add("identity_fold", lambda s, d: identity.fold_identities(V(s, d, "features").select("source_id", "obs", "base_key", F.col("feature_id").alias("row_id"), "content_hash", "confidence", ((F.col("w") + F.col("e")) / 2).alias("lon"), ((F.col("s") + F.col("n")) / 2).alias("lat"))))
 add("visible_properties", lambda s, d: V(s, d, "features").select("source_id", "obs", "feature_id", "layer_key", visible_properties(F.create_map(F.lit("NAME"), F.col("base_key"), F.lit("updated_at"), F.col("content_hash"), F.lit("Fill_Color"), F.col("v").cast("string"))).alias("m")).select("source_id", "obs", "feature_id", "layer_key", F.size("m").alias("n"), F.col("m")["name"].alias("name"), F.col("m")["fill_color"].alias("fill")),
     "SELECT source_id, obs, feature_id, layer_key, 2 AS n, base_key AS name, CAST(v AS VARCHAR) AS fill FROM {features}")
-add("material_changes", lambda s, d: overlay.overlay_pairs(pair_rings(s, d)).where(diff.material(F.col("area"), F.col("radius"), F.col("perimeter"), F.lit(True))).groupBy("pair_id").agg(F.count("*").alias("pieces")),
+add("material_changes", lambda s, d: overlay.overlay_pairs(pair_rings(s, d)).where(pieces.material(F.col("area"), F.col("radius"), F.col("perimeter"), F.lit(True))).groupBy("pair_id").agg(F.count("*").alias("pieces")),
     "SELECT point_id AS pair_id, 2 AS pieces FROM {places} WHERE k % 7 <> 0")
 add("overlap_ratios", lambda s, d: overlay.overlap_pairs(pair_rings(s, d)).select("pair_id", F.round("overlap", 6).alias("overlap")),
     "SELECT point_id AS pair_id, round((0.1 - (k % 7) * 0.001) / (0.1 + (k % 7) * 0.001), 6)::DOUBLE AS overlap FROM {places}")
 add("overlay_pieces", lambda s, d: overlay.overlay_pairs(pair_rings(s, d)).join(pair_rings(s, d).select("pair_id", "lat", "k"), "pair_id").select("pair_id", "phase", F.round(F.col("area") / 1e6, 4).alias("area_km2"), F.round("w", 6).alias("w"), F.round("e", 6).alias("e")),
     "SELECT point_id AS pair_id, phase, round(radians((k % 7) * 0.001) * (sin(radians(lat + 0.1)) - sin(radians(lat))) * 6371008.8 * 6371008.8 / 1e6, 4) AS area_km2, round(CASE WHEN phase = 'before' THEN lon ELSE lon + 0.1 END, 6) AS w, round(CASE WHEN phase = 'before' THEN lon + (k % 7) * 0.001 ELSE lon + 0.1 + (k % 7) * 0.001 END, 6) AS e FROM {places}, (VALUES ('before'), ('after')) v(phase) WHERE k % 7 <> 0")
-add("tile_assignment", lambda s, d: tiles.assign(V(s, d, "features").where("obs = 0"), 8).select("source_id", "feature_id", "z", "x", "y"),
-    "WITH p AS (SELECT source_id, feature_id, layer_key, w - 360.0 / 256 * 64 / 4096 AS w, s - 360.0 / 256 * 64 / 4096 AS s, e + 360.0 / 256 * 64 / 4096 AS e, n + 360.0 / 256 * 64 / 4096 AS n FROM {features} WHERE obs = 0), q AS (SELECT *, CAST(floor((w / 360 + 0.5) * 256) AS BIGINT) AS x0, CAST(floor((e / 360 + 0.5) * 256) AS BIGINT) AS x1, CAST(floor((0.5 - ln(tan(pi() / 4 + radians(n) / 2)) / (2 * pi())) * 256) AS BIGINT) AS y0, CAST(floor((0.5 - ln(tan(pi() / 4 + radians(s) / 2)) / (2 * pi())) * 256) AS BIGINT) AS y1 FROM p) SELECT source_id, feature_id, 8 AS z, x, unnest(range(y0, y1 + 1)) AS y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM q) t")
+add("tile_assignment", lambda s, d: tiles.assign(V(s, d, "features"), 8).select("source_id", "obs", "feature_id", "z", "x", "y"),
+    "WITH p AS (SELECT source_id, obs, feature_id, layer_key, w - 360.0 / 256 * 64 / 4096 AS w, s - 360.0 / 256 * 64 / 4096 AS s, e + 360.0 / 256 * 64 / 4096 AS e, n + 360.0 / 256 * 64 / 4096 AS n FROM {features}), q AS (SELECT *, CAST(floor((w / 360 + 0.5) * 256) AS BIGINT) AS x0, CAST(floor((e / 360 + 0.5) * 256) AS BIGINT) AS x1, CAST(floor((0.5 - ln(tan(pi() / 4 + radians(n) / 2)) / (2 * pi())) * 256) AS BIGINT) AS y0, CAST(floor((0.5 - ln(tan(pi() / 4 + radians(s) / 2)) / (2 * pi())) * 256) AS BIGINT) AS y1 FROM p) SELECT source_id, obs, feature_id, 8 AS z, x, unnest(range(y0, y1 + 1)) AS y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM q) t")
 add("tile_coordinates", lambda s, d: tiles.in_tile(V(s, d, "places").withColumn("z", F.lit(6)).withColumn("x", geo.tile_of(F.col("lon"), F.col("lat"), 6)[0]).withColumn("y", geo.tile_of(F.col("lon"), F.col("lat"), 6)[1])).select("point_id", "x", "y", "tx", "ty"),
     "WITH p AS (SELECT point_id, (lon / 360 + 0.5) * 64 AS px, (0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * 64 AS py FROM {places}) SELECT point_id, CAST(floor(px) AS BIGINT) AS x, CAST(floor(py) AS BIGINT) AS y, CAST(round((px - floor(px)) * 4096) AS INTEGER) AS tx, CAST(round((py - floor(py)) * 4096) AS INTEGER) AS ty FROM p")
 add("simplified_lines", lambda s, d: tiles.simplify_lines(V(s, d, "places").withColumn("line_id", F.concat(F.lit("l"), (F.col("k") % 40).cast("string"))).withColumn("m", F.struct("k", geo.to_mercator(F.col("lon"), F.col("lat"))[0].alias("x"), geo.to_mercator(F.col("lon"), F.col("lat"))[1].alias("y"))).groupBy("line_id").agg(F.array_sort(F.collect_list("m")).alias("p")).select("line_id", F.transform("p", lambda p: p["x"]).alias("xs"), F.transform("p", lambda p: p["y"]).alias("ys"), F.lit(False).alias("closed")), 6).select("line_id", "n_points", "n_kept"))
@@ -218,4 +238,4 @@ add("overlay_payload_features", lambda s, d: readers.overlay_features(payloads(s
 add("overlay_feature_hashes", lambda s, d: readers.overlay_features(payloads(s, d)).select(readers.feature_hash(F.col("geometry"), F.col("properties")).alias("h"), "source_id").groupBy("source_id").agg(F.count("*").alias("n"), F.count_distinct("h").alias("n_distinct")),
     "SELECT source_id, count(*) AS n, count(DISTINCT (base_key, v, g)) AS n_distinct FROM {features} GROUP BY 1")
 add("area_ids", lambda s, d: feed_areas(s, d).select("area_id", uuid5(ar.NAMESPACE, F.col("area_id")).alias("uuid")),
-    "SELECT area_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(instr('0123456789abcdef', substr(h, 17, 1)) - 1 AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT area_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(area_id)) AS h FROM (SELECT md5(source_id || ':' || CAST(run_id AS VARCHAR)) AS area_id FROM {stored}) t) u")
+    "SELECT area_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(instr('0123456789abcdef', substr(h, 17, 1)) - 1 AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT area_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(area_id)) AS h FROM (SELECT md5(source_id || ':' || CAST(run_id AS VARCHAR)) AS area_id FROM {stored}) t) u")

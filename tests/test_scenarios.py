@@ -3,12 +3,13 @@
 import datetime as dt
 import json
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from terradelta.functions import geo, text
-from terradelta.operators import areas, diff, events, identity, markets, overlay, snapshots, tiles
+from terradelta.operators import areas, diff, events, identity, markets, overlay, pieces, snapshots, tiles
 from terradelta.sources import readers
 
 
@@ -102,7 +103,7 @@ def test_sliver_and_material(spark):
     strip = overlay.difference_pieces(old, box(35.8, 47.4998, 36.0, 47.6))
     edge = overlay.difference_pieces(old, box(35.8, 47.51, 36.0, 47.6))
     assert [p["phase"] for p in strip] == ["after"] and [p["phase"] for p in edge] == ["before"]
-    kept = lambda p: one(spark, m=diff.material(F.lit(p["area"]), F.lit(p["radius"]), F.lit(p["perimeter"]), F.lit(True))).m
+    kept = lambda p: one(spark, m=pieces.material(F.lit(p["area"]), F.lit(p["radius"]), F.lit(p["perimeter"]), F.lit(True))).m
     assert not kept(strip[0]) and kept(edge[0])
 
 
@@ -222,3 +223,93 @@ def test_empty_inputs(spark):
     f = spark.createDataFrame(features([{"obs": 0, "logical_key": "a", "content_hash": "1"}])).limit(0)
     assert diff.changes(f).count() == 0
     assert snapshots.run_status(spark.createDataFrame([], "source_id string, run_id long, observed_at timestamp, content_hash string")).count() == 0
+
+
+FEATURE = "source_id string, obs long, feature_id string, logical_key string, layer_key string, content_hash string, confidence double, geometry_hash string, props_hash string, w double, s double, e double, n double"
+SHAPE = "source_id string, feature_id string, kind string, rings array<array<struct<x: double, y: double>>>"
+
+
+def diffed(spark, *rows):
+    """rows: (obs, key, kind, rings as point lists, look) -> changes and pieces with their shapes."""
+    feats, shapes = [], []
+    for obs, key, kind, rings, look in rows:
+        xs, ys = [x for r in rings for x, _ in r], [y for r in rings for _, y in r]
+        i = f"{key}@{obs}"
+        feats.append(("s", obs, i, key, "control", f"{kind}{rings}{look}", 1.0, f"{kind}{rings}", look, *map(float, (min(xs), min(ys), max(xs), max(ys)))))
+        shapes.append(("s", i, kind, [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]))
+    changed, found = diff.material_changes(spark.createDataFrame(feats, FEATURE), spark.createDataFrame(shapes, SHAPE))
+    return sorted((r.logical_key, r.change_type, round(r.confidence, 2)) for r in changed.collect()), found
+
+
+def rect(w, s, e, n):
+    return [(w, s), (e, s), (e, n), (w, n)]
+
+
+def test_rotated_polygon_id_is_one_modified_change(spark):
+    changed, found = diffed(spark, (0, "old-global-id", "polygon", [rect(35.8, 47.5, 35.9, 47.6)], ""), (1, "new-global-id", "polygon", [rect(35.8, 47.5, 35.91, 47.6)], ""))
+    assert changed == [("new-global-id", "modified", 0.9)]
+    assert [(p.phase, round(p.w, 6), round(p.e, 6)) for p in found.collect()] == [("after", 35.9, 35.91)]
+    # Boxes that overlap are not enough: a triangle covers half of its box.
+    changed, _ = diffed(spark, (0, "a", "polygon", [rect(35.8, 47.5, 35.9, 47.6)], ""), (1, "b", "polygon", [[(35.8, 47.5), (35.9, 47.5), (35.8, 47.6)]], ""))
+    assert [c[:2] for c in changed] == [("a", "removed"), ("b", "added")]
+
+
+def test_hairline_moves_of_polygons_go_and_moves_of_points_and_lines_stay(spark):
+    old = rect(35.8, 47.5, 36.0, 47.6)
+    changed, found = diffed(
+        spark,
+        (0, "hair", "polygon", [old], ""), (1, "hair", "polygon", [rect(35.8, 47.4998, 36.0, 47.6)], "painted"),
+        (0, "edge", "polygon", [rect(45.8, 47.5, 46.0, 47.6)], ""), (1, "edge", "polygon", [rect(45.8, 47.51, 46.0, 47.6)], ""),
+        (0, "dot", "point", [[(1, 1), (2, 2)]], ""), (1, "dot", "point", [[(1, 1), (2, 2.0001)]], ""),
+        (0, "way", "line", [[(0, 0), (1, 0), (2, 0)]], ""), (1, "way", "line", [[(0, 0), (1, 0), (1, 1)]], ""),
+        (0, "back", "line", [[(5, 5), (6, 5)]], ""), (1, "back", "line", [[(6, 5), (5, 5)]], ""),
+        (0, "look", "polygon", [rect(55.8, 47.5, 56.0, 47.6)], ""), (1, "look", "polygon", [rect(55.8, 47.5, 56.0, 47.6)], "painted"),
+        (0, "kind", "point", [[(9, 9)]], ""), (1, "kind", "line", [[(9, 9), (9.5, 9)]], ""),
+    )
+    assert [c[0] for c in changed] == ["dot", "edge", "kind", "look", "way"]
+    got = sorted((p.logical_key, p.phase, p.kind, round(p.w, 4), round(p.s, 4), round(p.e, 4), round(p.n, 4)) for p in found.collect())
+    assert got == [
+        ("dot", "after", "point", 2, 2.0001, 2, 2.0001), ("dot", "before", "point", 2, 2, 2, 2), ("edge", "before", "polygon", 45.8, 47.5, 46.0, 47.51),
+        ("kind", "after", "line", 9, 9, 9.5, 9), ("kind", "before", "point", 9, 9, 9, 9), ("look", "style", "polygon", 55.8, 47.5, 56.0, 47.6),
+        ("way", "after", "line", 1, 0, 1, 1), ("way", "before", "line", 1, 0, 2, 0),
+    ]
+
+
+def test_a_change_of_several_parts_falls_into_pieces_and_areas(spark):
+    two = [rect(10, 10, 10.1, 10.1), rect(14, 10, 14.1, 10.1)]
+    moved = [rect(10, 10, 10.2, 10.1), rect(14, 10, 14.2, 10.1)]
+    changed, found = diffed(spark, (0, "m", "polygon", two, ""), (1, "m", "polygon", moved, ""), (1, "new", "polygon", [rect(10.2, 10.3, 10.3, 10.4), rect(20, 10, 20.1, 10.1)], ""), (0, "ring", "polygon", [rect(30, 10, 31, 11), rect(30.2, 10.2, 30.8, 10.8)], ""))
+    assert [c[:2] for c in changed] == [("m", "modified"), ("new", "added"), ("ring", "removed")]
+    clustered = areas.clusters(found.withColumn("piece", F.concat_ws("|", "logical_key", "phase", F.round("w", 3).cast("string"))))
+    out = areas.change_areas(clustered).orderBy("ordinal").collect()
+    assert [(a.added, a.removed, a.modified, a.n_members, round(a.w, 3), round(a.e, 3)) for a in out] == [(1, 0, 1, 2, 10.1, 10.3), (0, 0, 1, 1, 14.1, 14.2), (1, 0, 0, 1, 20.0, 20.1), (0, 1, 0, 1, 30.0, 31.0)]
+    assert areas.area_members(clustered).count() == 5
+    hole = [p for p in found.collect() if p.logical_key == "ring"][0]
+    assert not (30.2 < hole.lon < 30.8 and 10.2 < hole.lat < 10.8)
+
+
+def test_pieces_are_cut_to_their_area(spark):
+    box = (0.0, 0.0, 10.0, 10.0)
+    assert pieces.clip_ring(rect(-5, 2, 5, 4), box, True) == [[(0.0, 2.0), (5, 2), (5, 4), (0.0, 4.0)]] or sorted(pieces.clip_ring(rect(-5, 2, 5, 4), box, True)[0]) == sorted([(0.0, 2.0), (5, 2), (5, 4), (0.0, 4.0)])
+    assert pieces.clip_ring([(-5, 5), (5, 5), (5, 15), (8, 15), (8, 5)], box, False) == [[(0.0, 5.0), (5, 5), (5.0, 10.0)], [(8.0, 10.0), (8, 5)]]
+    assert pieces.clip_ring([(3, 3)], box, False) == [[(3, 3)]] and pieces.clip_ring([(-3, 3)], box, False) == [] and pieces.clip_ring(rect(20, 20, 30, 30), box, True) == []
+
+
+def test_crowded_cells_are_linked_as_all_pairs_would(spark):
+    rng = random.Random(3)
+    pts = [("s", 0, n, rng.uniform(0, 3), rng.uniform(0, 3)) for n in range(250)] + [("s", 1, n, rng.uniform(0, 6), rng.uniform(0, 6)) for n in range(60)]
+    got = {(r.obs, r.piece): r.cluster for r in areas.clusters(spark.createDataFrame(pts, "source_id string, obs long, piece long, lon double, lat double")).collect()}
+    flat = lambda lon, lat: (math.radians(lon) * 6378137.0, math.log(math.tan(math.pi / 4 + math.radians(lat) / 2)) * 6378137.0)
+    parent = {(o, n): (o, n) for _, o, n, _, _ in pts}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, (_, o, n, x, y) in enumerate(pts):
+        for _, p, m, u, v in pts[:i]:
+            if o == p and math.dist(flat(x, y), flat(u, v)) <= 50_000:
+                a, b = root((o, n)), root((p, m))
+                parent[max(a, b)] = min(a, b)
+    assert got == {k: root(k)[1] for k in parent}
