@@ -1,23 +1,29 @@
 """The pieces of which a change consists: what is gone, what is new, what only looks different.
 
 A shape is (source_id, feature_id, kind, rings): kind polygon (even-odd rings), line (a list of points each) or point (its
-points in one list). Polygons with one ring, points and lines are taken apart by column functions; only moved polygons
-and those of several rings get to the overlay helper."""
+points in one list). Convex polygons, points and lines are pieces as they are; only moved polygons and those that are not
+convex get to the overlay helper."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.geo import bounds, clip_box, contains, marker
+from ..functions.geo import clip_box
 from ..sources.staging import stage_table
 from .overlay import overlay_pairs
 
 #: A piece of a polygon below all three is a sliver: square metres, metres, roundness.
 SLIVER_AREA, SLIVER_RADIUS, SLIVER_ROUNDNESS = 500_000, 50, 0.01
+#: Against rounding: turns of a ring within this count as none.
+EPS = 1e-9
 PIECE = ("change_id", "source_id", "obs", "logical_key", "change_type", "phase", "kind", "w", "s", "e", "n", "lon", "lat", "geometry")
 
 
@@ -34,15 +40,45 @@ def _segments(lines: Column) -> Column:
     return F.flatten(F.transform(F.filter(lines, lambda r: F.size(r) > 1), one))
 
 
+def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Adds bounds and an inner point to pieces with a ``geometry``: a convex ring's centroid, a line's or point's middle;
+    the inner point of other polygons is null. All pieces of a batch at once, over their flat coordinates."""
+    geometry = batch.column("geometry")
+    n_rings = pc.list_value_length(geometry).to_numpy(zero_copy_only=False).astype(int)
+    rings = geometry.flatten()
+    n_points = pc.list_value_length(rings).to_numpy(zero_copy_only=False).astype(int)
+    points = rings.flatten()
+    x, y = (points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+    first_ring = np.cumsum(n_rings) - n_rings
+    ring_start = np.cumsum(n_points) - n_points
+    start, many = ring_start[first_ring], np.add.reduceat(n_points, first_ring)
+    box = [f.reduceat(v, start) for f, v in ((np.minimum, x), (np.minimum, y), (np.maximum, x), (np.maximum, y))]
+    # Of rings: each point's next one, turns and areas, from the piece's own corner on.
+    piece = np.repeat(np.arange(len(many)), many)
+    u, v = x - box[0][piece], y - box[1][piece]
+    after = np.arange(len(x)) + 1
+    after[(ring_start + n_points - 1)[n_points > 0]] = ring_start[n_points > 0]
+    cross = u * v[after] - u[after] * v
+    area = np.add.reduceat(cross, start) / 2
+    dx, dy = u[after] - u, v[after] - v
+    turn = np.arctan2(dx * dy[after] - dy * dx[after], dx * dx[after] + dy * dy[after])
+    around = np.add.reduceat(turn, start)
+    same_way = (np.minimum.reduceat(turn, start) >= -EPS) | (np.maximum.reduceat(turn, start) <= EPS)
+    convex = (n_rings == 1) & same_way & (np.abs(np.abs(around) - 2 * np.pi) < 1e-6) & (np.abs(area) > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        middle = [np.add.reduceat((c + c[after]) * cross, start) / (6 * area) + low for c, low in ((u, box[0]), (v, box[1]))]
+    k = many // 2
+    a, b = start + np.maximum(k - 1, 0), start + np.minimum(k, many - 1)
+    polygon = np.array(batch.column("kind").to_pylist()) == "polygon"
+    inner = [np.where(polygon, np.where(convex, m, np.nan), (c[a] + c[b]) / 2) for m, c in zip(middle, (x, y), strict=True)]
+    columns = [*box, *inner]
+    made = [pa.array(c, pa.float64(), mask=np.isnan(c)) for c in columns]
+    return pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "w", "s", "e", "n", "lon", "lat"])
+
+
 def _with_place(rows: DataFrame) -> DataFrame:
-    """Adds bounds and an inner point to pieces with a ``geometry``: a polygon's marker, or a line's middle."""
-    line = F.get("geometry", F.lit(0))
-    k = F.floor(F.size(line) / 2).cast("int")
-    a, b = F.get(line, F.greatest(k - 1, F.lit(0))), F.get(line, F.least(k, F.size(line) - 1))
-    middle = F.struct(((a["x"] + b["x"]) / 2).alias("x"), ((a["y"] + b["y"]) / 2).alias("y"))
-    box, inner = bounds(F.col("geometry")), F.when(F.col("kind") == "polygon", marker(F.col("geometry"))).otherwise(middle)
-    out = rows.withColumn("box", box).withColumn("inner", inner)
-    return out.select("*", *[F.col(f"box.{c}").alias(c) for c in "wsen"], F.col("inner.x").alias("lon"), F.col("inner.y").alias("lat")).drop("box", "inner")
+    schema = StructType([*rows.schema.fields, *(StructField(c, DoubleType()) for c in ("w", "s", "e", "n", "lon", "lat"))])
+    return rows.mapInArrow(lambda batches: (place(b) for b in batches if b.num_rows), schema)
 
 
 def change_pieces(changed: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -70,11 +106,8 @@ def change_pieces(changed: DataFrame, shapes: DataFrame) -> DataFrame:
         rows.append(some.where(kind == "polygon").select(*of, phase.alias("phase"), kind.alias("kind"), mine.alias("geometry")))
         thin = some.where(kind != "polygon").select(*of, phase.alias("phase"), kind.alias("kind"), F.explode(parts(mine, F.col(f"{q}_rings"), kind)).alias("part"))
         rows.append(thin.select(*of, "phase", "kind", F.array("part").alias("geometry")))
-    # Staged twice, so that neither shapes nor their markers are computed anew wherever a formula names them.
-    parts_ = stage_table(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]), "parts")
-    whole = stage_table(_with_place(parts_), "placed")
-    # One ring whose marker lies inside is one piece with that point; other polygons are taken apart.
-    easy = (F.col("kind") != "polygon") | ((F.size("geometry") == 1) & contains(F.col("geometry"), F.col("lon"), F.col("lat")))
+    whole = stage_table(_with_place(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])), "placed")
+    easy = F.col("lon").isNotNull()  # one piece with that inner point; other polygons are taken apart
 
     hard = whole.where(~easy).select(*of, "phase", "geometry")
     hard = hard.withColumn("pair_id", F.concat_ws("\n", "change_id", "phase"))
