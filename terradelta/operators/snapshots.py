@@ -12,8 +12,12 @@ from ..functions.geo import bounds
 def content_hashes(features: DataFrame) -> DataFrame:
     """A2: (source_id, run_id, content_hash, n_features) from (source_id, run_id, layer_key, label, geometry_type,
     paint, feature_hash): independent of the order of features and layers; a feature's id plays no part.
-    Only hashes are shuffled: per layer first, then per run."""
-    layers = features.groupBy("source_id", "run_id", "layer_key", "label", "geometry_type", "paint").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("feature_hash"))), 256).alias("h"), F.count("feature_hash").alias("n"))
+    Only hashes are shuffled: per bucket of a layer (by their first digits, so that no task gathers a layer's) first,
+    then the buckets' hashes per layer, then the layers' per run."""
+    key = ("source_id", "run_id", "layer_key", "label", "geometry_type", "paint")
+    buckets = features.groupBy(*key, F.substring("feature_hash", 1, 4).alias("bucket")).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("feature_hash"))), 256).alias("h"), F.count("feature_hash").alias("n"))
+    parts = F.concat_ws(",", F.array_sort(F.collect_list(F.concat("bucket", "h"))))
+    layers = buckets.groupBy(*key).agg(F.sha2(parts, 256).alias("h"), F.sum("n").alias("n"))
     line = F.concat_ws("|", "layer_key", "label", "geometry_type", "paint", "h")
     return layers.groupBy("source_id", "run_id").agg(F.sha2(F.concat_ws("\n", F.col("source_id"), F.concat_ws("\n", F.array_sort(F.collect_list(line)))), 256).alias("content_hash"), F.sum("n").alias("n_features"))
 

@@ -47,8 +47,8 @@ def icon_rows(s, d) -> DataFrame:
 
 add("events_merged", lambda s, d: ev.merge_feeds(csv_rows(s, d), index_rows(s, d), icon_rows(s, d)).select("uuid", "lon", "description", "faction_id", "faction_name", "faction_color", "icon_id", "icon_name", "origin", "time_precision", F.array_join("evidence_links", "|").alias("links"), F.array_join("gear_items", "|").alias("gear")),
     """SELECT uuid, CASE WHEN event_id % 3 = 0 THEN lon + 1 ELSE lon END AS lon, description, CASE WHEN event_id % 3 = 0 THEN faction_id ELSE '' END AS faction_id, faction_name, CASE WHEN event_id % 3 = 0 AND icon_id IN ('i0', 'i1', 'i2', 'i3', 'i4') THEN '#999999' ELSE '#666666' END AS faction_color, CASE WHEN event_id % 3 = 0 THEN icon_id END AS icon_id, CASE WHEN event_id % 3 = 0 AND icon_id IN ('i0', 'i1', 'i2', 'i3', 'i4') THEN 'Icon ' || substr(icon_id, 2) END AS icon_name, origin, CASE WHEN timestamp_text LIKE '% 00:00:00' THEN 'day' ELSE 'minute' END AS time_precision, 'https://t.me/a/' || CAST(event_id AS VARCHAR) AS links, equipment || '|' || units AS gear FROM {geo_events}""")
-add("events_enriched", lambda s, d: ev.enrich(V(s, d, "geo_events").where("event_id % 4 = 0"), V(s, d, "geo_events").where("event_id % 8 = 0").select("uuid", F.concat(F.lit("detail "), "description").alias("description"), F.lit("").alias("faction"), F.concat(F.lit("/p"), (F.col("event_id") % 7).cast("string")).alias("icon"), F.lit(None).cast("double").alias("lat"), (F.col("lon") + 2).alias("lon")), icon_rows(s, d).drop("faction_id", "faction_color"), ev.latest_factions(V(s, d, "geo_events"))).select("uuid", "description", "faction_id", "faction_color", "lon", "icon_id"),
-    """WITH f AS (SELECT faction_name, arg_max(faction_id, (updated_at, uuid)) AS fid, arg_max(faction_color, (updated_at, uuid)) AS fc FROM {geo_events} GROUP BY 1) SELECT uuid, CASE WHEN event_id % 8 = 0 THEN 'detail ' || description ELSE description END AS description, fid AS faction_id, fc AS faction_color, CASE WHEN event_id % 8 = 0 THEN lon + 2 ELSE lon END AS lon, CASE WHEN event_id % 8 = 0 AND event_id % 7 < 5 THEN 'i' || CAST(event_id % 7 AS VARCHAR) END AS icon_id FROM {geo_events} JOIN f USING (faction_name) WHERE event_id % 4 = 0""")
+add("events_enriched", lambda s, d: ev.enrich(V(s, d, "geo_events"), V(s, d, "geo_events").where("event_id % 8 = 0").select("uuid", F.concat(F.lit("detail "), "description").alias("description"), F.lit("").alias("faction"), F.concat(F.lit("/p"), (F.col("event_id") % 7).cast("string")).alias("icon"), F.lit(None).cast("double").alias("lat"), (F.col("lon") + 2).alias("lon")), icon_rows(s, d).drop("faction_id", "faction_color"), ev.latest_factions(V(s, d, "geo_events"))).select("uuid", "description", "faction_id", "faction_color", "lon", "icon_id"),
+    """WITH f AS (SELECT faction_name, arg_max(faction_id, (updated_at, uuid)) AS fid, arg_max(faction_color, (updated_at, uuid)) AS fc FROM {geo_events} GROUP BY 1) SELECT uuid, CASE WHEN event_id % 8 = 0 THEN 'detail ' || description ELSE description END AS description, fid AS faction_id, fc AS faction_color, CASE WHEN event_id % 8 = 0 THEN lon + 2 ELSE lon END AS lon, CASE WHEN event_id % 8 = 0 AND event_id % 7 < 5 THEN 'i' || CAST(event_id % 7 AS VARCHAR) END AS icon_id FROM {geo_events} JOIN f USING (faction_name)""")
 add("events_changed", lambda s, d: ev.detect_changes(V(s, d, "pull"), V(s, d, "geo_events").where("event_id % 11 <> 0"), F.lit("2024-01-20").cast("date")).select("uuid", "source_hash"),
     "SELECT p.uuid, p.source_hash FROM {pull} p LEFT JOIN (SELECT uuid, source_hash FROM {geo_events} WHERE event_id % 11 <> 0 AND event_date >= DATE '2024-01-20') g ON g.uuid = p.uuid WHERE p.source_hash IS DISTINCT FROM g.source_hash")
 SMALL = ("uuid", "event_date", "source_hash", "event_id")
@@ -101,7 +101,7 @@ def arcgis(s, d) -> DataFrame:
     ring = F.array(*[F.array(x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
     rings = F.when(F.substring("settlement_id", -1, 1) != "7", F.array(ring))
     f = F.struct(F.create_map(F.lit("name"), F.col("name_en")).alias("attributes"), F.struct(rings.alias("rings")).alias("geometry"))
-    return V(s, d, "boxes").groupBy(F.substring("settlement_id", 2, 1).alias("part")).agg(F.collect_list(f).alias("features"))
+    return V(s, d, "boxes").groupBy(F.floor(F.substring("settlement_id", 2, 20).cast("long") / 100).alias("part")).agg(F.collect_list(f).alias("features"))
 
 
 add("arcgis_polygons", lambda s, d: readers.arcgis_features(arcgis(s, d)).select(F.col("properties")["name"].alias("name"), F.round(geo.bounds(F.col("rings"))["w"], 6).alias("w"), F.round(geo.bounds(F.col("rings"))["n"], 6).alias("n")),
@@ -116,7 +116,8 @@ def kml_file(s, d) -> str:
     poly = F.concat(F.lit("<Placemark id=\""), "settlement_id", F.lit("\"><name>"), "name_en", F.lit("</name><styleUrl>#a</styleUrl><Polygon><outerBoundaryIs><LinearRing><coordinates>"), ring, F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>"))
     line = F.concat(F.lit("<Placemark><name>line</name><MultiGeometry><LineString><coordinates>"), pair(w, t), F.lit(" "), pair(e, n), F.lit("</coordinates></LineString><Point><coordinates>"), pair(w, t), F.lit("</coordinates></Point></MultiGeometry></Placemark>"))
     digit = F.substring("settlement_id", -1, 1).cast("int")
-    k = V(s, d, "boxes").groupBy(digit.alias("part"), F.concat(F.lit("Folder "), (digit % 3).cast("string")).alias("f")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(poly, line))), "").alias("p"))
+    block = F.floor(F.substring("settlement_id", 2, 20).cast("long") / 100)
+    k = V(s, d, "boxes").groupBy(block.alias("part"), F.concat(F.lit("Folder "), (digit % 3).cast("string")).alias("f")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(poly, line))), "").alias("p"))
     folder = F.concat(F.lit("<Folder><name>"), "f", F.lit("</name>"), "p", F.lit("</Folder>"))
     docs = k.groupBy("part").agg(F.concat(F.lit('<?xml version="1.0"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'), F.array_join(F.sort_array(F.collect_list(folder)), ""), F.lit("</Document></kml>")).alias("value"))
     path = shared_path(s, "kml")
@@ -154,17 +155,18 @@ add("events_csv_rows", lambda s, d: events_csv(s, d).select(F.col("Id").alias("u
 
 
 def event_index(s, d) -> DataFrame:
-    e = V(s, d, "geo_events")
-    place = F.struct(F.when(F.col("event_id") % 50 == 0, F.lit("same")).otherwise(F.col("uuid")).alias("id"), F.col("timestamp_text").alias("date"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
-    icons = e.groupBy("faction_name", F.coalesce("icon_id", F.lit("none")).alias("icon_id")).agg(F.array_sort(F.collect_list(F.struct("event_id", place.alias("p")))).alias("ps"))
+    """Index documents, each of a thousand events; some events of a document share an id."""
+    e = V(s, d, "geo_events").withColumn("doc", F.floor(F.col("event_id") / 1000))
+    place = F.struct(F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("same-"), F.col("doc").cast("string"))).otherwise(F.col("uuid")).alias("id"), F.col("timestamp_text").alias("date"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
+    icons = e.groupBy("doc", "faction_name", F.coalesce("icon_id", F.lit("none")).alias("icon_id")).agg(F.array_sort(F.collect_list(F.struct("event_id", place.alias("p")))).alias("ps"))
     icon = F.struct(F.col("icon_id").alias("iconId"), F.concat(F.lit("/"), "icon_id").alias("icon"), F.col("icon_id").alias("name"), F.transform("ps", lambda x: x["p"]).alias("placemarks"))
-    factions = icons.groupBy("faction_name").agg(F.array_sort(F.collect_list(icon)).alias("icons"))
+    factions = icons.groupBy("doc", "faction_name").agg(F.array_sort(F.collect_list(icon)).alias("icons"))
     one = F.struct(F.length("faction_name").alias("factionId"), F.col("faction_name").alias("name"), F.lit("#111111").alias("color"), "icons")
-    return factions.groupBy().agg(F.array_sort(F.collect_list(F.struct("faction_name", one.alias("f")))).alias("x")).select(F.transform("x", lambda x: x["f"]).alias("factions"))
+    return factions.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("faction_name", one.alias("f")))).alias("x")).select(F.transform("x", lambda x: x["f"]).alias("factions"))
 
 
 add("event_index_rows", lambda s, d: ev.flat_index(event_index(s, d)).select("id", "lat", "faction_name", "icon_id", "icon_path"),
-    "WITH e AS (SELECT CASE WHEN event_id % 50 = 0 THEN 'same' ELSE uuid END AS id, lat, faction_name, coalesce(icon_id, 'none') AS icon_id, event_id FROM {geo_events}) SELECT id, lat, faction_name, icon_id, '/' || icon_id AS icon_path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY faction_name DESC, icon_id DESC, event_id DESC) AS r FROM e) t WHERE r = 1")
+    "WITH e AS (SELECT CASE WHEN event_id % 50 = 0 THEN 'same-' || CAST(CAST(floor(event_id / 1000) AS BIGINT) AS VARCHAR) ELSE uuid END AS id, lat, faction_name, coalesce(icon_id, 'none') AS icon_id, event_id FROM {geo_events}) SELECT id, lat, faction_name, icon_id, '/' || icon_id AS icon_path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY faction_name DESC, icon_id DESC, event_id DESC) AS r FROM e) t WHERE r = 1")
 
 
 def bodies(s, d, part: int) -> DataFrame:

@@ -46,7 +46,7 @@ def book(s, d) -> DataFrame:
 PARSED = "(SELECT *, CASE row_id % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' END AS won FROM {markets})"
 NAMED = "regexp_replace(nation, '^(the )?city of ', '')"
 
-add("market_rows", lambda s, d: mk.explode_events(V(s, d, "markets").groupBy("city_id", "event_slug").agg(F.collect_list(F.struct("id", "slug", "closed")).alias("markets")).groupBy("city_id").agg(F.collect_list(F.struct(F.col("event_slug").alias("slug"), F.lit("t").alias("title"), "markets")).alias("events"))).select("event_slug", "id", "slug", "closed"),
+add("market_rows", lambda s, d: mk.explode_events(V(s, d, "markets").groupBy("city_id", F.floor(F.col("row_id") / 1000).alias("doc"), "event_slug").agg(F.collect_list(F.struct("id", "slug", "closed")).alias("markets")).groupBy("city_id", "doc").agg(F.collect_list(F.struct(F.col("event_slug").alias("slug"), F.lit("t").alias("title"), "markets")).alias("events"))).select("event_slug", "id", "slug", "closed"),
     "SELECT event_slug, id, slug, closed FROM {markets}")
 add("market_types", lambda s, d: V(s, d, "markets").select("id", text.market_type(texts_of()).alias("type")), "SELECT id, type FROM {markets}")
 add("market_city_names", lambda s, d: V(s, d, "markets").select("id", text.city_name(texts_of()).alias("name"), text.normal_city(text.city_name(texts_of())).alias("plain"), text.city_name(F.array("description")).alias("told")),
@@ -72,13 +72,13 @@ add("settlements_by_point", lambda s, d: mk.settlement_by_point(V(s, d, "places"
 
 
 def asked(s, d) -> DataFrame:
-    p = V(s, d, "places").where("k % 3 = 0")
+    p = V(s, d, "places")
     n = (F.col("k") % 130).cast("string")
     return p.select(F.col("point_id").alias("name_id"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("city of town-"), n)).when(F.col("k") % 9 == 0, F.concat(F.lit("місто "), (F.col("k") % 50).cast("string"))).otherwise(F.concat(F.lit("own "), n)).alias("name"))
 
 
 add("settlements_by_name", lambda s, d: mk.settlement_by_name(asked(s, d), V(s, d, "boxes")),
-    """WITH a AS (SELECT point_id AS name_id, k, CASE WHEN k % 2 = 0 THEN 'city of town-' || CAST(k % 130 AS VARCHAR) WHEN k % 9 = 0 THEN 'місто ' || CAST(k % 50 AS VARCHAR) ELSE 'own ' || CAST(k % 130 AS VARCHAR) END AS name FROM {places} WHERE k % 3 = 0),
+    """WITH a AS (SELECT point_id AS name_id, k, CASE WHEN k % 2 = 0 THEN 'city of town-' || CAST(k % 130 AS VARCHAR) WHEN k % 9 = 0 THEN 'місто ' || CAST(k % 50 AS VARCHAR) ELSE 'own ' || CAST(k % 130 AS VARCHAR) END AS name FROM {places}),
 v AS (SELECT name_id, unnest(CASE WHEN k % 2 = 0 THEN [name, regexp_replace(name, '^city of ', ''), replace(name, '-', ' '), replace(regexp_replace(name, '^city of ', ''), '-', ' ')] ELSE [name] END) AS variant, unnest(CASE WHEN k % 2 = 0 THEN [0, 1, 2, 3] ELSE [0] END) AS v FROM a),
 f AS (SELECT settlement_id, 0 AS f, upper(name_en) AS n FROM {boxes} UNION ALL SELECT settlement_id, 1, upper(name_ua) FROM {boxes}),
 x AS (SELECT name_id, v, f, count(DISTINCT settlement_id) AS k, min(settlement_id) AS settlement_id FROM v JOIN f ON upper(variant) = n GROUP BY 1, 2, 3),

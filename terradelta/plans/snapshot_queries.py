@@ -126,7 +126,7 @@ add("calendar_days", lambda s, d: snapshots.calendar(V(s, d, "stored"), V(s, d,
 add("source_freshness", lambda s, d: snapshots.freshness(V(s, d, "runs").groupBy("source_id").agg(F.max(F.when(F.col("run_id") % 2 == 0, F.lit("x"))).alias("error"), (F.max("status") == "stored").alias("has_data"))).select("source_id", "state"),
     "SELECT source_id, CASE WHEN max(status) = 'stored' THEN CASE WHEN bool_or(run_id % 2 = 0) THEN 'stale' ELSE 'ok' END WHEN bool_or(run_id % 2 = 0) THEN 'error' ELSE 'empty' END AS state FROM {runs} GROUP BY source_id")
 add("content_hash_counts", lambda s, d: snapshots.content_hashes(V(s, d, "features").select("source_id", F.col("obs").alias("run_id"), "layer_key", F.col("layer_key").alias("label"), F.lit("polygon").alias("geometry_type"), F.lit("{}").alias("paint"), F.col("content_hash").alias("feature_hash"))).select("source_id", "run_id", "content_hash", "n_features"),
-    "WITH l AS (SELECT source_id, obs, layer_key, sha256(string_agg(content_hash, ',' ORDER BY content_hash)) AS h, count(*) AS n FROM {features} GROUP BY ALL) SELECT source_id, obs AS run_id, sha256(source_id || chr(10) || string_agg(layer_key || '|' || layer_key || '|polygon|{}|' || h, chr(10) ORDER BY layer_key)) AS content_hash, sum(n)::BIGINT AS n_features FROM l GROUP BY source_id, obs")
+    "WITH b AS (SELECT source_id, obs, layer_key, substr(content_hash, 1, 4) AS bucket, sha256(string_agg(content_hash, ',' ORDER BY content_hash)) AS h, count(*) AS n FROM {features} GROUP BY ALL), l AS (SELECT source_id, obs, layer_key, sha256(string_agg(bucket || h, ',' ORDER BY bucket)) AS h, sum(n) AS n FROM b GROUP BY ALL) SELECT source_id, obs AS run_id, sha256(source_id || chr(10) || string_agg(layer_key || '|' || layer_key || '|polygon|{}|' || h, chr(10) ORDER BY layer_key)) AS content_hash, sum(n)::BIGINT AS n_features FROM l GROUP BY source_id, obs")
 add("snapshot_bounds", lambda s, d: snapshots.snapshot_bounds(V(s, d, "features").select("source_id", F.col("obs").alias("run_id"), rings_of(F.col("w"), F.col("s"), F.col("e"), F.col("n")).alias("geometry"))),
     "SELECT source_id, obs AS run_id, min(w) AS w, min(s) AS s, max(e) AS e, max(n) AS n FROM {features} GROUP BY 1, 2")
 add("shadow_mismatches", lambda s, d: snapshots.verify_shadow(V(s, d, "runs").groupBy("source_id").agg(F.count("*").alias("n"), F.max("content_hash").alias("h")), V(s, d, "stored").groupBy("source_id").agg(F.count("*").alias("n"), F.max("content_hash").alias("h")), ["n", "h"]),
@@ -232,7 +232,7 @@ add("tile_assignment", lambda s, d: tiles.assign(V(s, d, "features"), 8).select(
     "WITH p AS (SELECT source_id, obs, feature_id, layer_key, w - 360.0 / 256 * 64 / 4096 AS w, s - 360.0 / 256 * 64 / 4096 AS s, e + 360.0 / 256 * 64 / 4096 AS e, n + 360.0 / 256 * 64 / 4096 AS n FROM {features}), q AS (SELECT *, CAST(floor((w / 360 + 0.5) * 256) AS BIGINT) AS x0, CAST(floor((e / 360 + 0.5) * 256) AS BIGINT) AS x1, CAST(floor((0.5 - ln(tan(pi() / 4 + radians(n) / 2)) / (2 * pi())) * 256) AS BIGINT) AS y0, CAST(floor((0.5 - ln(tan(pi() / 4 + radians(s) / 2)) / (2 * pi())) * 256) AS BIGINT) AS y1 FROM p) SELECT source_id, obs, feature_id, 8 AS z, x, unnest(range(y0, y1 + 1)) AS y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM q) t")
 add("tile_coordinates", lambda s, d: tiles.in_tile(V(s, d, "places").withColumn("z", F.lit(6)).withColumn("x", geo.tile_of(F.col("lon"), F.col("lat"), 6)[0]).withColumn("y", geo.tile_of(F.col("lon"), F.col("lat"), 6)[1])).select("point_id", "x", "y", "tx", "ty"),
     "WITH p AS (SELECT point_id, (lon / 360 + 0.5) * 64 AS px, (0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * 64 AS py FROM {places}) SELECT point_id, CAST(floor(px) AS BIGINT) AS x, CAST(floor(py) AS BIGINT) AS y, CAST(round((px - floor(px)) * 4096) AS INTEGER) AS tx, CAST(round((py - floor(py)) * 4096) AS INTEGER) AS ty FROM p")
-add("simplified_lines", lambda s, d: tiles.simplify_lines(V(s, d, "places").withColumn("line_id", F.concat(F.lit("l"), (F.col("k") % 40).cast("string"))).withColumn("m", F.struct("k", geo.to_mercator(F.col("lon"), F.col("lat"))[0].alias("x"), geo.to_mercator(F.col("lon"), F.col("lat"))[1].alias("y"))).groupBy("line_id").agg(F.array_sort(F.collect_list("m")).alias("p")).select("line_id", F.transform("p", lambda p: p["x"]).alias("xs"), F.transform("p", lambda p: p["y"]).alias("ys"), F.lit(False).alias("closed")), 6).select("line_id", "n_points", "n_kept"))
+add("simplified_lines", lambda s, d: tiles.simplify_lines(V(s, d, "places").withColumn("line_id", F.concat(F.lit("l"), F.floor(F.col("k") / 40).cast("string"))).withColumn("m", F.struct("k", geo.to_mercator(F.col("lon"), F.col("lat"))[0].alias("x"), geo.to_mercator(F.col("lon"), F.col("lat"))[1].alias("y"))).groupBy("line_id").agg(F.array_sort(F.collect_list("m")).alias("p")).select("line_id", F.transform("p", lambda p: p["x"]).alias("xs"), F.transform("p", lambda p: p["y"]).alias("ys"), F.lit(False).alias("closed")), 6).select("line_id", "n_points", "n_kept"))
 add("overlay_payload_features", lambda s, d: readers.overlay_features(payloads(s, d)).select("source_id", "run_id", "layer_key", "label", "geometry_type", "ordinal", "position", "feature_id"),
     "SELECT source_id, obs AS run_id, CASE WHEN layer_key = 'R' THEN 'layer-' || CAST(dense_rank() OVER (PARTITION BY source_id, obs ORDER BY layer_key) - 1 AS VARCHAR) ELSE layer_key END AS layer_key, CASE WHEN layer_key = 'R' THEN 'layer-' || CAST(dense_rank() OVER (PARTITION BY source_id, obs ORDER BY layer_key) - 1 AS VARCHAR) ELSE layer_key END AS label, 'polygon' AS geometry_type, CAST(dense_rank() OVER (PARTITION BY source_id, obs ORDER BY layer_key) - 1 AS INTEGER) AS ordinal, CAST(row_number() OVER (PARTITION BY source_id, obs, layer_key ORDER BY feature_id) - 1 AS INTEGER) AS position, feature_id FROM {features}")
 add("overlay_feature_hashes", lambda s, d: readers.overlay_features(payloads(s, d)).select(readers.feature_hash(F.col("geometry"), F.col("properties")).alias("h"), "source_id").groupBy("source_id").agg(F.count("*").alias("n"), F.count_distinct("h").alias("n_distinct")),
