@@ -384,6 +384,23 @@ def test_differencing_is_tight():
     assert max(sums) - min(sums) <= 20 and all(sorted(p) == [0, 1, 2, 3] for p in parts)
 
 
+def test_differencing_against_a_plain_one():
+    rng = random.Random(7)
+    for k in (2, 3, 8):
+        sizes = [rng.randrange(1, 10**9) for _ in range(60)]
+        parts = [sorted([x] + [0] * (k - 1)) for x in sizes]
+        while len(parts) > 1:  # the two of largest spread, one turned around
+            parts.sort(key=lambda p: p[-1] - p[0])
+            a, b = parts.pop(), parts.pop()
+            parts.append(sorted(x + y for x, y in zip(a, b[::-1], strict=True)))
+        sums, where = sharding.difference([[x] + [0] * (k - 1) for x in sizes])
+        assert sorted(sums) == parts[0]
+        mine = [0] * k
+        for x, p in zip(sizes, where, strict=True):
+            mine[p[0]] += x
+        assert mine == sums
+
+
 def test_shards_balance(spark):
     out = sharding.shard(common.table(spark, SF, "documents")).groupBy("shard").agg(F.sum("size").alias("b")).collect()
     assert len(out) == 8 and max(r.b for r in out) - min(r.b for r in out) < 100

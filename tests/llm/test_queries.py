@@ -1,9 +1,15 @@
 """The registered queries against their SQL, and the pipeline stage by stage."""
 
+from collections import Counter, defaultdict
+
+import public_tokenizers
 import pytest
 from compare import connect, same
+from test_operators import brute_lines, lines_left, shingle_components, words
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from terradelta.llm import mixing, toxicity
 from terradelta.llm.common import stage_table, table
 from terradelta.llm.queries import ORACLES, QUERIES
 
@@ -32,3 +38,43 @@ def test_pipeline_stages(spark):
     toxic, lines, near, mixed, pieces = counts
     assert 0 < toxic <= start.count() and lines == toxic and near <= lines and mixed > 0 and pieces > 0
     assert corpus_pipeline.run(spark, SF).count() == pieces
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    rows = docs.orderBy("doc_id").collect()
+    stages = dict(corpus_pipeline.STAGES)
+    read = lambda name, df: stage_table(stages[name](spark, df, SF), "test")
+
+    g = toxicity.fit(docs, table(spark, SF, "labels"))
+    clean = [r for r in rows if g.chance(toxicity.sums_of(r.text or "", g.compiled())[0]) < 0.3]
+    out = read("toxicity", docs)
+    assert sorted(r.doc_id for r in out.collect()) == [r.doc_id for r in clean]
+
+    left = {r.doc_id: lines_left(r.text, gone) for r, gone in zip(clean, brute_lines([r.text for r in clean]), strict=True)}
+    out = read("line dedup", out)
+    assert {r.doc_id: r.text for r in out.collect()} == left
+
+    ids = sorted(left)
+    groups = shingle_components([left[i] or "" for i in ids])
+    kept = {min(ids[n] for n in group) for group in groups}
+    out = read("near dedup", out)
+    assert {r.doc_id for r in out.collect()} == kept and out.count() == len(kept)
+
+    copies = {r.doc_id: r.copies for r in mixing.mix(out).collect()}
+    sources, total = defaultdict(int), 0
+    out = read("mixing", out)
+    got = out.collect()
+    assert Counter(r.doc_id for r in got) == +Counter(copies)
+    for r in got:
+        sources[r.source] += len(words(r.text))
+        total += len(words(r.text))
+    assert sources and total
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = stages["packing"](spark, out, SF).collect()
+    tokens = sum(len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in got)
+    held = defaultdict(int)
+    for p in pieces:
+        held[p.sequence_id] += p.length
+    assert sum(p.length for p in pieces) == tokens and max(held.values()) <= 1024
