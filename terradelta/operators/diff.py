@@ -194,6 +194,24 @@ def style_value(own: Column, layer: Column, default: Column) -> Column:
     return F.coalesce(F.nullif(own, F.lit("")), F.nullif(layer, F.lit("")), default)
 
 
+#: The looks of a change: the fields that give each, best first, and its default.
+LOOKS = {
+    "fill_color": (("fill_color",), "#999999"), "line_color": (("line_color", "fill_color"), "#999999"), "circle_color": (("circle_color", "fill_color"), "#999999"),
+    "fill_opacity": (("fill_opacity",), 0.3), "line_opacity": (("line_opacity",), 1.0), "line_width": (("line_width",), 1.5), "circle_radius": (("circle_radius",), 4.0),
+}
+
+
+def looks(own: Column, paint: Column) -> list[Column]:
+    """Colours, opacities and widths of a feature: each from its first field that is filled in the feature's own
+    properties (a map), then in its layer's paint (a map), else the default. Numbers that are none count as not there."""
+    out = []
+    for name, (fields, default) in LOOKS.items():
+        values = [F.nullif(F.try_element_at(m, F.lit(f)), F.lit("")) for f in fields for m in (own, paint)]
+        values = values if isinstance(default, str) else [v.try_cast("double") for v in values]
+        out.append(F.coalesce(*values, F.lit(default)).alias(name))
+    return out
+
+
 def removed_colors(rows: DataFrame) -> DataFrame:
     """The distinct well-formed colours of removed features, per observation."""
     return rows.where((F.col("phase") == "before") & F.col("color").rlike("^#[0-9a-fA-F]{6}$")).select("source_id", "obs", F.lower("color").alias("color")).distinct()

@@ -11,7 +11,7 @@ from ..functions.text import city_name, filled, market_status, normal_city, ques
 
 #: Market types, the strongest first, and words that are no place.
 TYPES = ("capture_all", "capture", "enter")
-NO_PLACE = ("ukraine", "russia", "city", "town", "village")
+NO_PLACE = ("donetsk oblast",)
 OUTCOME_NO = "no"
 
 

@@ -178,6 +178,19 @@ add("styled_changes", lambda s, d: diff.styled(changed_rows(s, d), paints(s, d))
 add("removed_colors", lambda s, d: diff.removed_colors(diff.styled(changed_rows(s, d), paints(s, d))), DIFF + LOOKS + "SELECT DISTINCT source_id, obs, lower(color) AS color FROM st WHERE phase = 'before' AND regexp_matches(color, '^#[0-9a-fA-F]{6}$')")
 
 
+def feature_looks(s, d) -> DataFrame:
+    """Looks of features, some fields empty, some no numbers, some only in the layer's paint."""
+    f = V(s, d, "features").join(V(s, d, "layers").select("source_id", "obs", "layer_key", "paint"), ["source_id", "obs", "layer_key"])
+    own = F.create_map(F.lit("fill_color"), F.when(F.col("v") == 0, "").otherwise(F.format_string("#%06d", F.col("b"))), F.lit("line_width"), F.when(F.col("v") == 1, "wide").otherwise(F.col("v").cast("string")))
+    paint = F.create_map(F.lit("line_color"), F.when(F.col("g") == 1, F.col("paint")), F.lit("fill_color"), F.col("paint"), F.lit("fill_opacity"), F.when(F.col("layer_key") == "A", "0.5"))
+    return f.select("source_id", "obs", "feature_id", *diff.looks(own, paint))
+
+
+add("feature_looks", feature_looks,
+    """WITH x AS (SELECT f.*, l.paint, CASE WHEN v <> 0 THEN '#' || lpad(CAST(b AS VARCHAR), 6, '0') END AS own FROM {features} f JOIN {layers} l ON l.source_id = f.source_id AND l.obs = f.obs AND l.layer_key = f.layer_key)
+SELECT source_id, obs, feature_id, coalesce(own, paint) AS fill_color, CASE WHEN g = 1 THEN paint ELSE coalesce(own, paint) END AS line_color, coalesce(own, paint) AS circle_color, CASE WHEN layer_key = 'A' THEN 0.5 ELSE 0.3 END::DOUBLE AS fill_opacity, 1.0::DOUBLE AS line_opacity, CASE WHEN v = 1 THEN 1.5 ELSE v END::DOUBLE AS line_width, 4.0::DOUBLE AS circle_radius FROM x""")
+
+
 def cell_areas(s, d):
     """One area a source, observation and 2-degree cell of the changes."""
     p = changed_rows(s, d).withColumn("area", F.concat_ws(":", F.floor(F.col("w") / 2), F.floor(F.col("s") / 2)))
