@@ -610,7 +610,8 @@ def test_grammar_patterns():
     score = lambda t: g.chance(toxicity.sums_of(t, m)[0])
     nothing = score("A fine day.")
     assert score("You are an idiot.") > score("An idiot.") > score("This is not an idiot.") > nothing
-    assert score("An idiot came.") > score('They said "idiot" to nobody') and score("He said: nothing. An idiot!") > score('He said nothing of an idiot')
+    assert score("Words. An idiot came.") > score("Words. It was said an idiot came.")  # reported speech damps, within its clause
+    assert score("It was said. An idiot came.") == score("Words here. An idiot came.")
     assert score("I will kill you") > score("They will kill time") > score("They kill time") == nothing
     assert score("kill you") > nothing == score("kill it here and there for you")
     assert score("the zorgling came") > nothing == score("a morzorg came") and nothing < 0.3 < score("You are an idiot.")
