@@ -50,7 +50,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     The prefix sum is split into (source, size), then id blocks within it, then rows of a block: the
     longest window partition is the number of distinct sizes or of id blocks, never a source's rows.
     Null or empty text: size 0, emitted like others, takes no words. Null source: a source of its own,
-    last. Null doc_id: sorts first within its size. Repeated rows count as rows. Empty table: no rows.
+    last. Null doc_id: sorts first within its size. Repeated rows count as rows. Empty table: no rows. Only
+    doc_id, source and text are read, so other columns may have any name.
     """
     sized = docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size"))
     sized = sized.withColumn("block", F.floor(F.col("doc_id") / ID_BLOCK))

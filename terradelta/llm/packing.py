@@ -120,7 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, sen
     Sequence ids are unique; the high bits are the partition's number.
 
     Null or empty text: the one id ``end_id``. Repeated rows and null doc_id: packed like others. A text of
-    any length is cut into as many pieces as it takes. Empty table: no rows.
+    any length is cut into as many pieces as it takes. Empty table: no rows. Other columns are not read.
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:

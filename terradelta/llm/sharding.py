@@ -65,7 +65,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     can't be balanced by any method; it gets a shard to itself as far as the others allow.
 
     Slots run from 0 without gaps within a shard, by blocks of doc_id. Null doc_id: in a block of its
-    own. Repeated rows are rows of one group. Empty table: no rows.
+    own. Repeated rows are rows of one group. Empty table: no rows. Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.unhex(F.md5(text)).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))

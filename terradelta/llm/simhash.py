@@ -91,7 +91,8 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 
     Copies collapse to one fingerprint before anything is linked, so a group of copies of any size costs
     one node. Null or empty text: fingerprint zero, linked like any other. Null doc_id: a row like
-    others, never a component_id unless its component has no other. Repeated rows come out repeated.
+    others, never a component_id unless its component has no other. Repeated rows come out repeated. Empty
+    table: no rows. Only doc_id and text are read, so other columns may have any name.
     """
     prints = stage_table(fingerprints(docs, words), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))

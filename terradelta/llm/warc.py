@@ -180,7 +180,8 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     with the largest page_id is the response, the others revisit it; of repeated rows with that page_id the
     first by url is the response. Payloads are grouped by digest alone, with max() combined map-side, so one
     payload on a third of all pages is no hot group; html is shuffled once, by page_id. Null url: target
-    ``urn:none``. Null page_id: never a response while its payload has another. Empty table: no archive.
+    ``urn:none``. Null page_id: never a response while its payload has another. Empty table: no archive. Other
+    columns are not read, whatever their names.
     """
     spark = pages.sparkSession
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
