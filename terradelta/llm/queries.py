@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, lines, mixing, neighbours, packing, sharding, simhash, substrings, toxicity, warc
+from . import alignment, collocations, host_rules, lines, mixing, neighbours, packing, sharding, simhash, substrings, toxicity, url_filters, warc
 from .common import table
 
 
@@ -56,7 +56,23 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_substring_dedup, op4_line_dedup, op5_mix_sources, op6_warc, op7_simhash, op8_shard, op9_pack, op10_host_rules)}
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, longest=4, first=2000)
+
+
+def op13_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+OPERATORS = (
+    op1_toxicity, op2_neighbours, op3_substring_dedup, op4_line_dedup, op5_mix_sources, op6_warc, op7_simhash, op8_shard,
+    op9_pack, op10_host_rules, op11_url_filters, op12_collocations, op13_align_tokens,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -110,5 +126,40 @@ s AS (SELECT rule, mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean)
 g2 AS (SELECT source, max((bad + mean * strength) / (n + strength)) <= 0.5 AS host_kept FROM h JOIN s USING (rule) GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept FROM f JOIN g2 ON f.source IS NOT DISTINCT FROM g2.source"""
 
+#: One round of propagation; rounds are written out one after the other.
+_ROUND = """m{n} AS (SELECT walk, host, CAST(sum(mass) AS BIGINT) AS mass FROM (SELECT e.walk, e.dst AS host, m.mass // 100 * 85 // e.degree AS mass FROM e JOIN m{p} m ON m.walk = e.walk AND m.host = e.src UNION ALL SELECT * FROM m0) t WHERE mass > 0 GROUP BY 1, 2)"""
+OP11 = rf"""WITH u AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+p AS (SELECT *, CASE WHEN host = 'www.example.com' AND starts_with(path, '/en/') OR ends_with(host, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+ WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+ WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+ WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM u),
+c AS (SELECT host, count(*) AS pages, count(*) FILTER (rule IN ('com/', 'www.example.com/en/')) AS trusted, count(*) FILTER (rule IN ('example.com/en/', 'net/es/', 'net/fr/')) AS blocked FROM p WHERE host <> '' GROUP BY 1),
+l AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)(?:href|src)[ 	
+]*=[ 	
+]*["'']?(?:https?:)?//([^/?#"''<> 	
+]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM p) t WHERE src <> '' AND src <> dst),
+h AS (SELECT host, string_split(host, '.') AS x FROM (SELECT host FROM c UNION SELECT dst FROM l) t WHERE regexp_matches(host, '[a-z][^.]*$')),
+d AS (SELECT DISTINCT array_to_string(list_slice(x, i, len(x)), '.') AS low, array_to_string(list_slice(x, i + 1, len(x)), '.') AS high FROM (SELECT x, unnest(range(1, len(x) - 1)) AS i FROM h WHERE len(x) > 2) t),
+g AS (SELECT src, dst FROM l UNION SELECT low, high FROM d WHERE low <> high UNION SELECT high, low FROM d WHERE low <> high),
+e AS (SELECT walk, src, dst, count(*) OVER (PARTITION BY walk, src) AS degree FROM (SELECT 'trust' AS walk, src, dst FROM g UNION ALL SELECT 'distrust', dst, src FROM g) t),
+m0 AS (SELECT 'trust' AS walk, host, trusted * 150000 AS mass FROM c WHERE trusted > 0 UNION ALL SELECT 'distrust', host, blocked * 150000 FROM c WHERE blocked > 0),
+{", ".join(_ROUND.format(n=n, p=n - 1) for n in range(1, 21))},
+r AS (SELECT host, CAST(coalesce(sum(mass) FILTER (walk = 'trust'), 0) AS BIGINT) AS trust, CAST(coalesce(sum(mass) FILTER (walk = 'distrust'), 0) AS BIGINT) AS distrust FROM m20 GROUP BY 1)
+SELECT page_id, p.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN (CAST(distrust AS HUGEINT) - trust) * 100 > CAST(pages AS HUGEINT) * 4500000 THEN 'block' ELSE 'allow' END AS verdict, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM p LEFT JOIN c ON c.host = p.host LEFT JOIN r ON r.host = p.host"""
+
+OP12 = r"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]') AS pieces FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM t) u),
+g AS (SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) x(m) WHERE len(w) >= m) u),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE m > 1 AND f >= 30),
+k AS (SELECT *, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c) u),
+s AS (SELECT k.*, l.f AS l, r.f AS r, CAST(CAST(a AS HUGEINT) * 2000000 // (l.f + r.f) AS BIGINT) AS score FROM k JOIN f l ON l.lang = k.lang AND l.phrase = x JOIN f r ON r.lang = k.lang AND r.phrase = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+z AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c x ON x.lang = c.lang AND x.m > c.m AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' ') AND CAST(x.a AS HUGEINT) * 100 >= CAST(c.a AS HUGEINT) * 80)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score FROM b JOIN n USING (lang) LEFT JOIN z ON z.lang = b.lang AND z.phrase = b.phrase WHERE z.phrase IS NULL QUALIFY rank <= 2000"""
+
 #: SQL has no trained grammar, approximate search, XXH64, differencing or tokenizer: tests/llm checks those.
-ORACLES: dict[str, str] = {"op3_substring_dedup": OP3, "op4_line_dedup": OP4, "op5_mix_sources": OP5, "op6_warc": OP6, "op10_host_rules": OP10}
+ORACLES: dict[str, str] = {"op3_substring_dedup": OP3, "op4_line_dedup": OP4, "op5_mix_sources": OP5, "op6_warc": OP6, "op10_host_rules": OP10, "op11_url_filters": OP11, "op12_collocations": OP12}
