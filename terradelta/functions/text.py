@@ -46,6 +46,19 @@ def canonical_json(m: Column) -> Column:
     return F.to_json(F.map_from_entries(sorted_entries(m)))
 
 
+#: The pieces of a JSON text: strings, numbers, and what stands between them.
+_JSON_PIECE = r'("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|[^"\d-]+|-)'
+
+
+def canonical_text(json: Column) -> Column:
+    """M1: JSON text of any depth in canonical form: keys sorted at every depth, numbers to 7 places, no negative zero, no
+    white space. Numbers and texts stay apart; equal numbers are equal however they are written. A text that is no JSON,
+    or repeats a key, keeps its order; null stays null."""
+    whole = F.coalesce(F.to_json(F.try_parse_json(json)), json)
+    one = lambda t: F.when(t.rlike(r"^-?\d"), normal_number(t.try_cast("double")).cast("string")).when(t.startswith('"'), t).otherwise(F.regexp_replace(t, r"\s", ""))
+    return F.array_join(F.transform(F.regexp_extract_all(whole, F.lit(_JSON_PIECE), 1), one), "")
+
+
 def slug(text: Column) -> Column:
     """M2: lower case, runs of other than a-z0-9 as one dash, 160 characters, 'unnamed' if nothing is left."""
     s = F.substring(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "-"), F.lit("-")), 1, 160)

@@ -81,12 +81,13 @@ def detect_changes(incoming: DataFrame, store: DataFrame, since: Column) -> Data
 
 
 def upsert(store: DataFrame, changed: DataFrame) -> DataFrame:
-    """The store with changed rows put in place of those with their uuid."""
+    """The store with changed rows put in place of those with their uuid, as a table. On disk it is
+    sources.versions.upsert_version, which rewrites only the days that change."""
     return store.join(changed.select("uuid"), "uuid", "left_anti").unionByName(changed)
 
 
 def reconcile(store: DataFrame, pulled: DataFrame, retention_start: Column) -> DataFrame:
-    """Without recent rows that the full pull lacks; older rows stay."""
+    """Without recent rows that the full pull lacks; older rows stay. On disk: sources.versions.keep_version."""
     recent = store.where(F.col("event_date") >= retention_start).join(pulled.select("uuid").distinct(), "uuid", "left_semi")
     return recent.unionByName(store.where(F.col("event_date") < retention_start))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import events as ev
-from ..sources import readers
+from ..sources import readers, versions
 from ..sources.staging import shared_path
 from .snapshot_queries import rings_of
 from .views import view as V
@@ -52,9 +52,30 @@ add("events_enriched", lambda s, d: ev.enrich(V(s, d, "geo_events"), V(s, d, "ge
 add("events_changed", lambda s, d: ev.detect_changes(V(s, d, "pull"), V(s, d, "geo_events").where("event_id % 11 <> 0"), F.lit("2024-01-20").cast("date")).select("uuid", "source_hash"),
     "SELECT p.uuid, p.source_hash FROM {pull} p LEFT JOIN (SELECT uuid, source_hash FROM {geo_events} WHERE event_id % 11 <> 0 AND event_date >= DATE '2024-01-20') g ON g.uuid = p.uuid WHERE p.source_hash IS DISTINCT FROM g.source_hash")
 SMALL = ("uuid", "event_date", "source_hash", "event_id")
-add("events_upserted", lambda s, d: ev.upsert(V(s, d, "geo_events").where("event_id % 11 <> 0").select(*SMALL), V(s, d, "pull").select(*SMALL)).select("uuid", "source_hash"),
+
+
+def stored_events(s, d, keep: str = "true") -> str:
+    """A versioned store of the events, partitioned by day; returns its folder."""
+    root = shared_path(s, "store")
+    versions.write_version(V(s, d, "geo_events").where(keep).select(*SMALL), root, "uuid", "event_date")
+    return root
+
+
+def upserted(s, d) -> DataFrame:
+    root = stored_events(s, d, "event_id % 11 <> 0")
+    versions.upsert_version(V(s, d, "pull").select(*SMALL), root)
+    return versions.read_version(s, root)
+
+
+def reconciled(s, d) -> DataFrame:
+    root = stored_events(s, d)
+    versions.keep_version(V(s, d, "pull"), root, "2024-01-12")
+    return versions.read_version(s, root)
+
+
+add("events_upserted", lambda s, d: upserted(s, d).select("uuid", "source_hash"),
     "SELECT uuid, source_hash FROM {pull} UNION ALL SELECT uuid, source_hash FROM {geo_events} WHERE event_id % 11 <> 0 AND event_id % 7 = 0")
-add("events_reconciled", lambda s, d: ev.reconcile(V(s, d, "geo_events"), V(s, d, "pull"), F.lit("2024-01-12").cast("date")).select("uuid", DAY("event_date").alias("day")),
+add("events_reconciled", lambda s, d: reconciled(s, d).select("uuid", DAY("event_date").alias("day")),
     "SELECT uuid, strftime(event_date, '%Y-%m-%d') AS day FROM {geo_events} WHERE event_date < DATE '2024-01-12' OR event_id % 7 <> 0")
 add("events_daily", lambda s, d: ev.daily_counts(V(s, d, "geo_events").where(ev.near_region(F.col("lat"), F.col("lon"))), F.lit("2023-12-25").cast("date"), F.lit("2024-02-05").cast("date")).select(DAY("event_date").alias("day"), "n"),
     f"SELECT strftime(g, '%Y-%m-%d') AS day, count(e.uuid) AS n FROM generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-02-05', INTERVAL 1 DAY) t(g) LEFT JOIN (SELECT * FROM {{geo_events}} WHERE {REGION}) e ON e.event_date = CAST(g AS DATE) GROUP BY 1")
@@ -84,6 +105,9 @@ add("text_names", lambda s, d: V(s, d, "texts").select("id", F.array_join(text.s
 add("tile_ids", lambda s, d: V(s, d, "geo_events").select("uuid", text.tile_id(F.col("uuid")).alias("tile_id")), "SELECT uuid, CAST('0x' || substr(md5(uuid), 1, 15) AS BIGINT) AS tile_id FROM {geo_events}")
 add("row_hashes", lambda s, d: V(s, d, "geo_events").select("uuid", text.row_hash(F.col("uuid"), F.col("icon_id")).alias("h")), "SELECT uuid, sha256(uuid || chr(31) || coalesce(icon_id, chr(0))) AS h FROM {geo_events}")
 add("canonical_json", lambda s, d: V(s, d, "geo_events").select("uuid", text.canonical_json(F.create_map(F.lit("z"), F.col("units"), F.lit("a"), F.col("equipment"))).alias("json"), text.normal_number(F.col("lat") / 3).alias("x")), """SELECT uuid, '{"a":"' || equipment || '","z":"' || units || '"}' AS json, round(lat / 3, 7) AS x FROM {geo_events}""")
+NESTED = """'{"z" : {"unit": "' || units || '", "at": [' || CAST(event_id AS STRING) || '.50, {"n":"' || CAST(event_id AS STRING) || '", "b": [null, -0.0, 0.1234567' || CAST(event_id % 4 AS STRING) || ']}]}, "a":"' || equipment || '"}'"""
+add("canonical_nested_json", lambda s, d: V(s, d, "geo_events").select("uuid", text.canonical_text(F.expr(NESTED)).alias("json")),
+    """SELECT uuid, '{"a":"' || equipment || '","z":{"at":[' || CAST(event_id AS STRING) || '.5,{"b":[null,0.0,0.1234567],"n":"' || CAST(event_id AS STRING) || '"}],"unit":"' || units || '"}}' AS json FROM {geo_events}""")
 add("feature_base_keys", lambda s, d: V(s, d, "geo_events").select("uuid", text.base_key(F.lit("src"), F.col("faction_name"), F.when(F.col("event_id") % 4 == 0, F.col("uuid")), F.create_map(F.when(F.col("event_id") % 4 == 1, F.lit("OBJECTID")).when(F.col("event_id") % 4 == 2, F.lit("Name")).otherwise(F.lit("other")), F.col("units")), F.lit("Point")).alias("k")).select("uuid", "k.key", "k.confidence"),
     "SELECT uuid, CASE event_id % 4 WHEN 0 THEN 'src:' || faction_name || ':id:' || uuid WHEN 1 THEN 'src:' || faction_name || ':objectid:' || replace(units, ' ', '-') WHEN 2 THEN 'src:' || faction_name || ':fallback:' || replace(units, ' ', '-') || ':point' ELSE 'src:' || faction_name || ':fallback:unnamed:point' END AS key, CASE event_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 ELSE 0.65 END::DOUBLE AS confidence FROM {geo_events}")
 
@@ -183,12 +207,14 @@ add("body_links", lambda s, d: bodies(s, d, 1),
 
 
 def published(s, d) -> DataFrame:
+    """Facts appended in two goes, published, and published again from the newest version's half."""
     path = shared_path(s, "store")
     e = V(s, d, "geo_events").select("uuid", "event_date", "source_hash")
     readers.append_table(e.where("event_date < DATE '2024-01-15'"), f"{path}/facts", "event_date")
     readers.append_table(e.where("event_date >= DATE '2024-01-15'"), f"{path}/facts", "event_date")
-    kept = readers.publish(readers.read_table(s, f"{path}/facts"), path, 1)
-    return readers.read_table(s, kept)
+    versions.write_version(s.read.parquet(f"{path}/facts").where("event_date < DATE '2024-01-10'"), f"{path}/store", "uuid", "event_date")
+    versions.upsert_version(s.read.parquet(f"{path}/facts").where("event_date >= DATE '2024-01-05'"), f"{path}/store")
+    return versions.read_version(s, f"{path}/store")
 
 
 add("published_events", lambda s, d: published(s, d).groupBy(DAY("event_date").alias("day")).agg(F.count("*").alias("n"), F.min("uuid").alias("first")),

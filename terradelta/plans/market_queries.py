@@ -122,6 +122,6 @@ add("capture_objectives", lambda s, d: mk.objectives(V(s, d, "markets")),
 add("markets_resolved", lambda s, d: mk.resolved_feed(V(s, d, "markets")).select("id", F.date_format("at", "yyyy-MM-dd").alias("at")), "SELECT id, CASE WHEN resolved_at = 'soon' THEN '1970-01-01' ELSE resolved_at END AS at FROM {markets} WHERE status = 'resolved'")
 add("markets_resolved_events", lambda s, d: mk.resolved_events(V(s, d, "markets")),
     f"SELECT city_id, type, CASE WHEN event_slug <> '' THEN event_slug ELSE {STEM} END AS event, count(*) AS n, max(resolved_at) AS resolved_at, string_agg(id, ',' ORDER BY deadline NULLS LAST, id) AS ids FROM {{markets}} WHERE status = 'resolved' GROUP BY 1, 2, 3")
-add("market_status_counts", lambda s, d: mk.status_counts(V(s, d, "markets").withColumn("status", F.coalesce("status", F.lit("none"))).withColumn("city_id", F.when(F.col("row_id") % 4 != 0, F.col("city_id"))).withColumn("name", F.when(F.col("row_id") % 3 == 0, F.lit("Ukraine")).when(F.col("row_id") % 5 != 0, F.col("nation")))),
+add("market_status_counts", lambda s, d: mk.status_counts(V(s, d, "markets").withColumn("status", F.coalesce("status", F.lit("none"))).withColumn("city_id", F.when(F.col("row_id") % 4 != 0, F.col("city_id"))).withColumn("name", F.when(F.col("row_id") % 3 == 0, F.lit("DONETSK Oblast")).when(F.col("row_id") % 5 != 0, F.col("nation")))),
     "SELECT 'status:' || coalesce(status, 'none') AS what, count(*) AS n FROM {markets} GROUP BY 1 UNION ALL SELECT 'unresolved:' || CASE WHEN row_id % 3 = 0 THEN 'no_place' WHEN row_id % 5 = 0 THEN 'no_name' ELSE 'not_found' END, count(*) FROM {markets} WHERE row_id % 4 = 0 GROUP BY 1")
 add("markets_found", lambda s, d: mk.search(V(s, d, "markets"), "Enter  NATION-1").select("id"), "SELECT id FROM {markets} WHERE row_id % 3 = 2 AND (nation = 'NATION_1' OR nation LIKE 'NATION_1%') AND outcome <> 'No'")

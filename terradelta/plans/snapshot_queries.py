@@ -71,16 +71,32 @@ def feed_sources(s, d) -> DataFrame:
     return V(s, d, "runs").select("source_id").distinct().withColumn("enabled", ~F.col("source_id").startswith("4"))
 
 
-def payloads(s, d) -> DataFrame:
-    """Overlay payloads made of the features view: one a source and observation."""
-    f = V(s, d, "features")
-    ring = lambda *cs: F.concat(F.lit("[["), F.concat_ws(",", *[F.format_string("[%.4f,%.4f]", x, y) for x, y in cs]), F.lit("]]"))
+#: Parts of one payload: a source of the features view is many published ones, each a block of parts.
+PARTS_A_PAYLOAD = 1000
+PAYLOAD_SOURCE = f"lower(source_id) || '-' || CAST(CAST(floor(b / {PARTS_A_PAYLOAD}) AS BIGINT) AS STRING)"
+
+
+def payload_texts(s, d) -> DataFrame:
+    """Overlay payloads (mapper_id, run_id, text) made of the features view: JSON, one an observation and block of parts, so
+    that payloads grow in number and not in size. Layer R has no id."""
+    f = V(s, d, "features").withColumn("mapper_id", F.expr(PAYLOAD_SOURCE))
     w, t, e, n = (F.col(c) for c in "wsen")
-    feature = F.struct(F.lit("Feature").alias("type"), F.col("feature_id").alias("id"), F.struct(F.lit("Polygon").alias("type"), ring((w, t), (e, t), (e, n), (w, n), (w, t)).alias("coordinates")).alias("geometry"), F.create_map(F.lit("Name"), F.col("base_key"), F.lit("v"), F.col("v").cast("string")).alias("properties"))
-    layer = f.groupBy("source_id", "obs", "layer_key").agg(F.array_sort(F.collect_list(feature), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("features"))
-    one = F.struct(F.when(F.col("layer_key") != "R", F.col("layer_key")).alias("id"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("geom_type"), F.create_map(F.lit("fill"), F.lit("#fff")).alias("paint"), F.struct(F.lit("FeatureCollection").alias("type"), "features").alias("data"))
-    kept = layer.groupBy("source_id", "obs").agg(F.collect_list(F.struct("layer_key", one.alias("l"))).alias("ls"))
-    return kept.select(F.col("source_id").alias("mapper_id"), F.lit("2024-01-01").cast("timestamp").alias("captured_at"), F.col("obs").alias("run_id"), F.transform(F.array_sort(F.transform("ls", lambda x: F.struct(x["layer_key"].alias("k"), x["l"]["id"].alias("id"), x["l"]["label"].alias("label"), x["l"]["geom_type"].alias("geom_type"), x["l"]["data"].alias("data"))), lambda a, b: F.when(a["k"] < b["k"], -1).otherwise(1)), lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"), x["geom_type"].alias("geom_type"), F.create_map(F.lit("fill"), F.lit("#fff")).alias("paint"), x["data"].alias("data"))).alias("layers"))
+    ring = F.array(*[F.array(x, y) for x, y in ((w, t), (e, t), (e, n), (w, n), (w, t))])
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    properties = F.struct(F.col("base_key").alias("Name"), F.struct(F.col("v"), F.array("g").alias("g")).alias("more"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.col("feature_id").alias("id"), shape.alias("geometry"), properties.alias("properties"))
+    by_id = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+    layer = f.groupBy("mapper_id", "obs", "layer_key").agg(F.array_sort(F.collect_list(feature), by_id).alias("features"))  # of one block
+    one = F.struct("layer_key", F.when(F.col("layer_key") != "R", F.col("layer_key")).alias("id"), F.struct(F.lit("#fff").alias("fill")).alias("paint"), F.struct(F.lit("FeatureCollection").alias("type"), "features").alias("data"))
+    by_key = lambda a, b: F.when(a["layer_key"] < b["layer_key"], -1).otherwise(1)
+    kept = layer.groupBy("mapper_id", "obs").agg(F.array_sort(F.collect_list(one), by_key).alias("layers"))
+    layers = F.transform("layers", lambda x: F.struct(x["id"].alias("id"), x["paint"].alias("paint"), x["data"].alias("data")))
+    whole = kept.select("mapper_id", F.col("obs").alias("run_id"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("obs").cast("int")).cast("timestamp").alias("captured_at"), layers.alias("layers"))
+    return whole.select("mapper_id", "run_id", "captured_at", F.to_json(F.struct("mapper_id", "run_id", "captured_at", "layers")).alias("text"))
+
+
+def payloads(s, d) -> DataFrame:
+    return payload_texts(s, d).select(F.from_json("text", readers.OVERLAY).alias("p")).select("p.*")
 
 
 def pair_rings(s, d) -> DataFrame:
@@ -247,8 +263,10 @@ add("tile_coordinates", lambda s, d: tiles.in_tile(V(s, d, "places").withColumn(
     "WITH p AS (SELECT point_id, (lon / 360 + 0.5) * 64 AS px, (0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * 64 AS py FROM {places}) SELECT point_id, CAST(floor(px) AS BIGINT) AS x, CAST(floor(py) AS BIGINT) AS y, CAST(round((px - floor(px)) * 4096) AS INTEGER) AS tx, CAST(round((py - floor(py)) * 4096) AS INTEGER) AS ty FROM p")
 add("simplified_lines", lambda s, d: tiles.simplify_lines(V(s, d, "places").withColumn("line_id", F.concat(F.lit("l"), F.floor(F.col("k") / 40).cast("string"))).withColumn("m", F.struct("k", geo.to_mercator(F.col("lon"), F.col("lat"))[0].alias("x"), geo.to_mercator(F.col("lon"), F.col("lat"))[1].alias("y"))).groupBy("line_id").agg(F.array_sort(F.collect_list("m")).alias("p")).select("line_id", F.transform("p", lambda p: p["x"]).alias("xs"), F.transform("p", lambda p: p["y"]).alias("ys"), F.lit(False).alias("closed")), 6).select("line_id", "n_points", "n_kept"))
 add("overlay_payload_features", lambda s, d: readers.overlay_features(payloads(s, d)).select("source_id", "run_id", "layer_key", "label", "geometry_type", "ordinal", "position", "feature_id"),
-    "SELECT source_id, obs AS run_id, CASE WHEN layer_key = 'R' THEN 'layer-' || CAST(dense_rank() OVER (PARTITION BY source_id, obs ORDER BY layer_key) - 1 AS VARCHAR) ELSE layer_key END AS layer_key, CASE WHEN layer_key = 'R' THEN 'layer-' || CAST(dense_rank() OVER (PARTITION BY source_id, obs ORDER BY layer_key) - 1 AS VARCHAR) ELSE layer_key END AS label, 'polygon' AS geometry_type, CAST(dense_rank() OVER (PARTITION BY source_id, obs ORDER BY layer_key) - 1 AS INTEGER) AS ordinal, CAST(row_number() OVER (PARTITION BY source_id, obs, layer_key ORDER BY feature_id) - 1 AS INTEGER) AS position, feature_id FROM {features}")
+    f"""WITH p AS (SELECT *, {PAYLOAD_SOURCE} AS mapper_id FROM {{features}}), o AS (SELECT *, dense_rank() OVER (PARTITION BY mapper_id, obs ORDER BY layer_key) - 1 AS ordinal FROM p)
+SELECT mapper_id AS source_id, obs AS run_id, CASE WHEN layer_key = 'R' THEN 'layer-' || CAST(ordinal AS VARCHAR) ELSE layer_key END AS layer_key, CASE WHEN layer_key = 'R' THEN 'layer-' || CAST(ordinal AS VARCHAR) ELSE layer_key END AS label, 'polygon' AS geometry_type, CAST(ordinal AS INTEGER) AS ordinal,
+CAST(row_number() OVER (PARTITION BY mapper_id, obs, layer_key ORDER BY feature_id) - 1 AS INTEGER) AS position, feature_id FROM o""")
 add("overlay_feature_hashes", lambda s, d: readers.overlay_features(payloads(s, d)).select(readers.feature_hash(F.col("geometry"), F.col("properties")).alias("h"), "source_id").groupBy("source_id").agg(F.count("*").alias("n"), F.count_distinct("h").alias("n_distinct")),
-    "SELECT source_id, count(*) AS n, count(DISTINCT (base_key, v, g)) AS n_distinct FROM {features} GROUP BY 1")
+    f"SELECT {PAYLOAD_SOURCE} AS source_id, count(*) AS n, count(DISTINCT (base_key, v, g, round(w, 7))) AS n_distinct FROM {{features}} GROUP BY 1")
 add("area_ids", lambda s, d: feed_areas(s, d).select("area_id", uuid5(ar.NAMESPACE, F.col("area_id")).alias("uuid")),
     "SELECT area_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(instr('0123456789abcdef', substr(h, 17, 1)) - 1 AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT area_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(area_id)) AS h FROM (SELECT md5(source_id || ':' || CAST(run_id AS VARCHAR)) AS area_id FROM {stored}) t) u")

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.geo import from_mercator
-from ..functions.text import canonical_json
+from ..functions.text import canonical_text
 
-GEOMETRY = "struct<type string, coordinates string>"
-OVERLAY = f"mapper_id string, captured_at timestamp, run_id long, layers array<struct<id string, label string, geom_type string, paint map<string,string>, data struct<type string, features array<struct<type string, id string, geometry {GEOMETRY}, properties map<string,string>>>>>>"
+#: Geometry, properties and paint stay JSON texts, so that what is nested in them isn't lost.
+OVERLAY = "mapper_id string, captured_at timestamp, run_id long, layers array<struct<id string, label string, geom_type string, paint string, data struct<type string, features array<struct<type string, id string, geometry string, properties string>>>>>"
 ARCGIS = "features array<struct<attributes map<string,string>, geometry struct<rings array<array<array<double>>>>>>"
 INDEX = "factions array<struct<factionId int, name string, color string, icons array<struct<iconId string, icon string, name string, placemarks array<struct<id string, date string, la double, lo double>>>>>>"
 SEARCH = "events array<struct<slug string, title string, ticker string, rules string, description string, markets array<struct<id string, conditionId string, question string, title string, slug string, description string, rules string, closed boolean, closedTime string, resolutionTime string, updatedAt string, endDate string, outcomes string, outcomePrices string, clobTokenIds string, lastTradePrice double, volumeNum double>>>>"
@@ -40,10 +39,9 @@ def overlay_features(payloads: DataFrame) -> DataFrame:
 
 
 def feature_hash(geometry: Column, properties: Column) -> Column:
-    """A2: SHA-256 of a feature's normal geometry and properties; its id plays no part."""
-    points = F.transform(F.regexp_extract_all(geometry["coordinates"], F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"), 1), lambda x: F.round(x.cast("double"), 7) + 0.0)
-    shape = F.regexp_replace(geometry["coordinates"], r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|\s", "")
-    return F.sha2(F.concat_ws("|", geometry["type"], shape, F.array_join(points.cast("array<string>"), ","), canonical_json(properties)), 256)
+    """A2: SHA-256 of a feature's normal geometry and properties (JSON texts of any depth, collections of geometries
+    among them); its id plays no part. Without properties they are empty."""
+    return F.sha2(F.concat_ws("|", F.coalesce(canonical_text(geometry), F.lit("null")), F.coalesce(canonical_text(properties), F.lit("{}"))), 256)
 
 
 def read_arcgis(spark: SparkSession, path: str) -> DataFrame:
@@ -155,16 +153,5 @@ def archive_bodies(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def append_table(df: DataFrame, path: str, *partitions: str) -> None:
-    """Append facts; nothing that is there is rewritten."""
+    """Append facts; nothing that is there is rewritten. Keyed tables are in ``versions``."""
     df.write.mode("append").partitionBy(*partitions).parquet(path)
-
-
-def publish(df: DataFrame, root: str, version: int, *partitions: str) -> str:
-    """A new version of a keyed table in a folder of its own; readers take the newest that has _SUCCESS."""
-    path = f"{root}/v={version}"
-    df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
-    return path
-
-
-def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)

@@ -32,7 +32,7 @@ def point(lon, lat, name, **extra):
 def snapshot_hash(spark, tmp_path, name, body):
     (tmp_path / name).write_text(body)
     f = readers.read_overlays(spark, str(tmp_path / name))
-    f = f.withColumn("feature_hash", readers.feature_hash(F.col("geometry"), F.col("properties"))).withColumn("paint", text.canonical_json(F.col("paint")))
+    f = f.withColumn("feature_hash", readers.feature_hash(F.col("geometry"), F.col("properties"))).withColumn("paint", text.canonical_text(F.coalesce("paint", F.lit("{}"))))
     return snapshots.content_hashes(f).first()["content_hash"]
 
 
