@@ -20,6 +20,11 @@ CHUNK, BUCKET, QUERIES = 8192, 64, 4096
 STEP = 64
 #: Against rounding: a share of the largest squared norm within which distances count as equal.
 EPS = 1e-9
+#: Rows that are so many powers of two longer than the median one, and rows and queries whose squares come near the limits of
+#: a double, aren't searched by projections but compared one by one.
+LONG, SAFE = 2.0, 480.0
+#: Their leaf.
+APART = -1
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -188,7 +193,23 @@ class Chunk:
 
 def dot(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products in double precision; equal rows give equal results whatever stands around them."""
-    return (rows * q).sum(axis=1)
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        return (rows * q).sum(axis=1)
+
+
+def compare_all(x: np.ndarray, ids: np.ndarray, many: np.ndarray, q: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """As Chunk.find, by comparing every vector; for vectors whose squares a double can't hold."""
+    s, ids = np.repeat(dot(x, q), many), ids
+    order = np.lexsort((ids, -s))
+    ids, s = ids[order], s[order]
+    once = np.sort(np.unique(ids, return_index=True)[1])[:need]
+    return ids[once], s[once], len(x)
+
+
+def length_log2(v: Column) -> Column:
+    """The logarithm to base 2 of a vector's length, also where squares would overflow or vanish."""
+    most = F.array_max(F.transform(v, F.abs))
+    return F.log2(most) + 0.5 * F.log2(F.aggregate(v, F.lit(0.0), lambda a, b: a + (b / most) * (b / most)))
 
 
 def valid(v: Column) -> Column:
@@ -212,6 +233,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 32, con
     Equal vectors are searched and verified once: a vector keeps its k + 1 smallest vec_ids, as no other of them can be
     among a query's first k. So a vector that a third of all rows share costs what any other costs.
 
+    Long vectors (over four times the median length) would make all others look alike once lifted, and squares of very
+    large or small components leave a double's range: such rows are compared with every query one by one, in blocks,
+    and such queries with every row, so each gets the scores of plain double arithmetic. Scores that are no number come last.
+
     Repeated vec_ids: each counts once in a query's result, with its best score; a query takes the least of its
     vectors, and all rows of its own vec_id count as its own. Vectors null, empty, zero or with null or non-finite
     components, null vec_id, and vectors of another than the commonest length take no part. Fewer candidates than
@@ -221,13 +246,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 32, con
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("x"))
     small = v.schema["x"].dataType.elementType == FloatType()  # floats are kept as such and computed as doubles
     v = v.withColumn("x", F.transform("x", lambda x: x.cast("double"))).where(F.col("vec_id").isNotNull() & valid(F.col("x")))
-    norm = F.aggregate("x", F.lit(0.0), lambda a, b: a + b * b)
-    found = v.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("most")).orderBy(F.desc("n"), "d").first()
+    v = v.withColumn("log", length_log2(F.col("x")))
+    found = v.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.percentile_approx("log", 0.5).alias("middle")).orderBy(F.desc("n"), "d").first()
     if found is None:
         return v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double" + ", verified long" * count_verified)
-    width, count, most = found
+    width, count, middle = found
     v = v.where(F.size("x") == width)
-    lift = Lift(width, most, dims, seed)
+    plain = (F.abs("log") < SAFE) & (F.col("log") <= middle + LONG)
+    norm = F.aggregate("x", F.lit(0.0), lambda a, b: a + b * b)
+    most = v.agg(F.max(F.when(plain, norm))).first()[0]
+    lift = Lift(width, most or 1.0, dims, seed)
     stop = chi_square_quantile(confidence, lift.axes.shape[1])
     need, kind = k + 1, np.dtype("<f4" if small else "<f8")
     matrix = lambda blobs: np.frombuffer(b"".join(blobs), kind).reshape(-1, width).astype(float)
@@ -236,7 +264,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 32, con
         for b in batches:
             yield {"p": lift.rows(np.array(b["x"], float).reshape(-1, width)).tolist()}
 
-    drawn = v.where(F.pmod(F.xxhash64("x"), F.lit(max(1, count // sample))) == 0).select("x")
+    drawn = v.where(plain).where(F.pmod(F.xxhash64("x"), F.lit(max(1, count // sample))) == 0).select("x")
     some = sorted(r.p for r in map_rows(drawn, project, "p array<double>").distinct().collect())
     points = np.array(some, float).reshape(-1, lift.axes.shape[1])
     top = Tree(points, max(1, min(-(-count // CHUNK), sample // 16)))
@@ -244,9 +272,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 32, con
     def assign(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             x = np.array(b["x"], float).reshape(-1, width)
-            yield {"vec_id": b["vec_id"], "leaf": top.leaf_of(lift.rows(x)), "x": [r.tobytes() for r in x.astype(kind)]}
+            plain = np.array(b["plain"], bool)
+            leaf = np.full(len(x), APART)
+            leaf[plain] = top.leaf_of(lift.rows(x[plain]))
+            yield {"vec_id": b["vec_id"], "leaf": leaf, "safe": b["safe"], "x": [r.tobytes() for r in x.astype(kind)]}
 
-    rows = stage_table(map_rows(v.select("vec_id", "x"), assign, "vec_id long, leaf long, x binary").distinct(), "vectors")
+    marked = v.select("vec_id", "x", plain.alias("plain"), (F.abs("log") < SAFE).alias("safe"))
+    rows = stage_table(map_rows(marked, assign, "vec_id long, leaf long, safe boolean, x binary").distinct(), "vectors")
     nth = F.row_number().over(W.partitionBy("x").orderBy("vec_id"))  # cut to k + 1 a vector before the shuffle, too
     kinds = rows.withColumn("nth", nth).where(F.col("nth") <= need).groupBy("x", "leaf").agg(F.collect_list("vec_id").alias("ids"))
     kinds = stage_table(kinds, "leaves")
@@ -254,20 +286,27 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 32, con
     lookup = lambda d: F.element_at(F.create_map(*[F.lit(z) for p in d.items() for z in p]), F.col("leaf"))
     kinds = kinds.withColumn("chunk", F.pmod(F.xxhash64("x"), lookup(chunks)))
 
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
-    leaders = queries.groupBy("x").agg(F.min("vec_id").alias("leader"))
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("x", "safe")).alias("q")).select("vec_id", "q.*")
+    leaders = queries.groupBy("x", "safe").agg(F.min("vec_id").alias("leader"))
     members = stage_table(queries.join(leaders, "x").select(F.col("vec_id").alias("query_id"), "leader"), "members")
 
     def at_home(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            q = matrix(b["x"])
-            yield {"leader": b["leader"], "leaf": top.leaf_of(lift.queries(q)), "q": b["x"], "bound": np.full(len(q), -np.inf)}
+            q, safe = matrix(b["x"]), np.array(b["safe"], bool)
+            home = np.full(len(q), APART)
+            home[safe] = top.leaf_of(lift.queries(q[safe]))
+            out: dict[str, list] = {n: [] for n in ("leader", "leaf", "q", "safe", "bound")}
+            for leader, blob, s, leaf in zip(b["leader"], b["x"], safe.tolist(), home.tolist(), strict=True):
+                for at in {leaf, APART} if s else chunks:
+                    for name, value in zip(out, (leader, at, blob, s, -math.inf), strict=True):
+                        out[name].append(value)
+            yield out
 
-    ask = "leader long, leaf long, q binary, bound double"
-    asked = stage_table(map_rows(leaders.select("leader", "x"), at_home, ask), "home")
+    ask = "leader long, leaf long, q binary, safe boolean, bound double"
+    asked = stage_table(map_rows(leaders.select("leader", "x", "safe"), at_home, ask), "home")
 
     def visit(asked: DataFrame) -> DataFrame:
-        """(leader, vec_id, score, verified) of searches (leader, leaf, q, bound) against their leaves; bound is a score to
+        """(leader, vec_id, score, verified) of searches (leader, leaf, q, safe, bound) against their leaves; bound is a score to
         reach. A row without vec_id tells what a visit verified."""
         load = {r.leaf: -(-r.n // QUERIES) for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
         load |= {n: 0 for n in chunks if n not in load}
@@ -279,9 +318,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 32, con
             if not len(data) or not len(asks):
                 return pd.DataFrame({"leader": [], "vec_id": [], "score": [], "verified": []})
             many = np.array([len(i) for i in data["ids"]])
-            chunk = Chunk(matrix(data["x"].tolist()), np.concatenate(data["ids"].tolist()), np.concatenate(([0], np.cumsum(many))), lift)
+            x, ids = matrix(data["x"].tolist()), np.concatenate(data["ids"].tolist())
             asks = asks.sort_values("leader")
-            got = [chunk.find(q, need, stop, bound) for q, bound in zip(matrix(asks["q"].tolist()), asks["bound"], strict=True)]
+            searched = data["leaf"].iloc[0] != APART and asks["safe"].any()
+            chunk = Chunk(x, ids, np.concatenate(([0], np.cumsum(many))), lift) if searched else None
+            got = [chunk.find(q, need, stop, bound) if searched and safe else compare_all(x, ids, many, q, need) for q, safe, bound in zip(matrix(asks["q"].tolist()), asks["safe"], asks["bound"], strict=True)]
             n = [len(g[0]) for g in got]
             hits = pd.DataFrame({"leader": np.repeat(asks["leader"].to_numpy(), n), "vec_id": pd.array(np.concatenate([g[0] for g in got]), "Int64"), "score": np.concatenate([g[1] for g in got]), "verified": 0})
             told = pd.DataFrame({"leader": asks["leader"].to_numpy(), "vec_id": pd.array([None] * len(asks), "Int64"), "score": 0.0, "verified": [g[2] for g in got]})
@@ -291,7 +332,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 32, con
         return put.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(lambda a, d: run(d, a), "leader long, vec_id long, score double, verified long")
 
     def best(rows: DataFrame, owner: str, most: int) -> DataFrame:
-        place = F.row_number().over(W.partitionBy(owner).orderBy(F.desc("score"), "vec_id"))
+        order = F.desc(F.when(F.isnan("score"), float("-inf")).otherwise(F.col("score")))
+        place = F.row_number().over(W.partitionBy(owner).orderBy(order, "vec_id"))
         return rows.withColumn("rank", place).where(F.col("rank") <= most)
 
     def scores(found: DataFrame) -> DataFrame:
@@ -299,18 +341,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 32, con
 
     near = stage_table(visit(asked), "near")
     bounds = best(scores(near), "leader", need).where(F.col("rank") == need).select("leader", F.col("score").alias("found"))
-    told = asked.join(bounds, "leader", "left").select("leader", "q", F.col("leaf").alias("was"), F.coalesce("found", F.lit(float("-inf"))).alias("found"))
+    told = asked.where(F.col("safe") & (F.col("leaf") != APART)).join(bounds, "leader", "left").select("leader", "q", F.col("leaf").alias("was"), F.coalesce("found", F.lit(float("-inf"))).alias("found"))
 
     def abroad(batches: Iterator[dict]) -> Iterator[dict]:
-        known = np.array(sorted(chunks))
+        known = np.array(sorted(n for n in chunks if n != APART), np.int64)
         for b in batches:
-            out: dict[str, list] = {n: [] for n in ("leader", "leaf", "q", "bound")}
+            out: dict[str, list] = {n: [] for n in ("leader", "leaf", "q", "safe", "bound")}
             q = matrix(b["q"])
             for leader, blob, was, bound, p, scale in zip(b["leader"], b["q"], b["was"], b["found"], lift.queries(q), lift.scale(q), strict=True):
                 gaps = top.gaps(p)
                 for leaf in known[gaps[known] <= lift.reach(stop, scale, bound)].tolist():
                     if leaf != was:
-                        for n, value in zip(out, (leader, leaf, blob, bound), strict=True):
+                        for n, value in zip(out, (leader, leaf, blob, True, bound), strict=True):
                             out[n].append(value)
             yield out
 

@@ -573,6 +573,33 @@ def test_neighbours_of_repeated_ids_and_vectors(spark):
         assert [i for i, _ in got[q]] == [i for _, i in best] and [v for _, v in got[q]] == pytest.approx([-v for v, _ in best])
 
 
+    plain = found_by_query(neighbours.search(spark.createDataFrame(rows_, "vec_id long, embedding array<double>")).collect())
+    assert np.mean([len({i for i, _ in plain[q]} & {i for i, _ in got[q]}) / 20 for q in got]) >= 0.9 and all(len({i for i, _ in plain[q]}) == 20 for q in got)
+
+
+@pytest.mark.parametrize("odd", [{}, {1001: 1e200}, {1000: 1e200, 1020: 1e-200, 1040: 1e-320, 1041: 1e-320, 1042: 1e300, 1060: 1e308}, {1001: 100.0, 1002: 50.0}])
+def test_neighbours_of_extreme_vectors(spark, odd):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows_ = [(n, v.tolist()) for n, v in enumerate(x)] + [(n, (x[n % 200] * size).tolist()) for n, size in odd.items()]
+    got = found_by_query(neighbours.search(spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(3)).collect())
+    ids, all_x = np.array([i for i, _ in rows_]), np.array([v for _, v in rows_])
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    hits = []
+    for q in got:
+        s = neighbours.dot(all_x, all_x[ids == q][0])
+        best = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        score = dict(zip(ids.tolist(), s.tolist(), strict=True))
+        assert len(got[q]) == 20 and all(v == score[i] or v == pytest.approx(score[i], rel=1e-12) or np.isnan([v, score[i]]).all() for i, v in got[q])
+        hits.append(len({i for i, _ in got[q]} & set(ids[best].tolist())) / 20)
+        if odd.get(q, 1.0) > 1e150 or odd.get(q, 1.0) < 1e-150:
+            assert [i for i, _ in got[q]] == ids[best].tolist()
+    assert np.mean(hits) >= 0.9
+    if not odd:
+        assert neighbours.search(spark.createDataFrame([(20, [1e-320, 0.0]), (3, [1e300, 1.0]), (4, [1e-300, 0.0])], "vec_id long, embedding array<double>")).count() == 2
+
+
 def test_search_stops_early_and_more_so_in_larger_tables(spark):
     rng = np.random.default_rng(5)
     shares = []
