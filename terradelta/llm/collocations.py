@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -15,8 +18,8 @@ from .common import map_rows, stage_table
 #: Bits of the filter that tells phrases which can't be frequent before they are shuffled: fixed, whatever the corpus.
 #: Where it fills up it tells less and more is shuffled; counts stay exact.
 FILTER_BITS = 1 << 26
-#: Words counted at a time in a task.
-TOKENS = 1 << 21
+#: Bytes of text that become one row of numbers, and are counted at a time.
+CHARS = 12 << 20
 #: A prefix on more than one in HOT words has its stripe cut into PARTS by next word; that of no words into FIRST.
 HOT, PARTS, FIRST = 2000, 64, 4096
 #: Parts of a language that are ranked by themselves first.
@@ -24,7 +27,9 @@ RANKED = 64
 
 #: A-Z become a-z, places where pieces end become line feeds, tabs spaces.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
-STRIPES = "lang string, prefix string, part int, next array<string>, n array<long>"
+NUMBERS = "langs array<binary>, lang binary, words binary, ids binary"
+#: ``next``: words, joined by spaces.
+STRIPES = "lang string, prefix string, part int, next string, n array<int>"
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -34,30 +39,60 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h * np.uint64(0x94D049BB133111EB) ^ (a >> np.uint64(29))
 
 
-def word_hashes(langs: list[bytes], words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, xxhash.xxh32_intdigest(x)) for x, w in zip(langs, words, strict=True)), np.uint64, len(words))
-
-
+@dataclass
 class Words:
     """Texts as numbers: one for each word of a language, -1 where a piece ends."""
 
-    def __init__(self) -> None:
-        self.by_lang: dict[bytes, dict[bytes, int]] = {}
-        self.langs: list[bytes] = []
-        self.words: list[bytes] = []
-        self.runs: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, lang: bytes, text: bytes) -> None:
-        known = self.by_lang.setdefault(lang, {b"\n": -1, b"": -2})
-        tokens = text.translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
-        for w in set(tokens).difference(known):
-            known[w] = len(self.words)
-            self.words.append(w)
-            self.langs.append(lang)
-        ids = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-        self.runs += [ids[ids != -2], np.array([-1])]
-        self.size += len(ids)
+    langs: list[bytes]
+    lang: np.ndarray
+    words: list[bytes]
+    ids: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        seeds = [xxhash.xxh32_intdigest(x) for x in self.langs]
+        return np.fromiter((xxhash.xxh64_intdigest(w, seeds[n]) for n, w in zip(self.lang.tolist(), self.words, strict=True)), np.uint64, len(self.words))
+
+
+def numbered(texts: dict[bytes, list[bytes]]) -> Words:
+    """The texts of each language, their words numbered."""
+    out = Words([], np.empty(0, np.int32), [], np.empty(0, np.int32))
+    lang, ids = [], []
+    for x, pieces in texts.items():
+        parts = pc.split_pattern(pa.array(pieces, pa.large_binary()), pattern=b" ").flatten().dictionary_encode()
+        known, at = parts.dictionary.to_pylist(), parts.indices.to_numpy()
+        real = np.array([w not in (b"", b"\n") for w in known], bool)
+        to = np.where(real, len(out.words) + np.cumsum(real) - 1, [-1 if w else -2 for w in known]).astype(np.int32)
+        at = to[at]
+        ids.append(at[at != -2])
+        out.words += [w for w, r in zip(known, real.tolist(), strict=True) if r]
+        lang.append(np.full(int(real.sum()), len(out.langs), np.int32))
+        out.langs.append(x)
+    out.lang, out.ids = np.concatenate(lang), np.concatenate(ids)
+    return out
+
+
+def number_words(docs: DataFrame) -> DataFrame:
+    """NUMBERS: rows of about CHARS bytes of text, in which words are numbers. Texts are cut into words this once."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        held: dict[bytes, list[bytes]] = {}
+        size = 0
+
+        def flush() -> dict:
+            w = numbered(held)
+            return {"langs": [w.langs], "lang": [w.lang.tobytes()], "words": [b" ".join(w.words)], "ids": [w.ids.tobytes()]}
+
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                held.setdefault(lang, []).append(text.translate(_TABLE).replace(b"\n", b" \n ") + b" \n ")
+                size += len(text)
+                if size >= CHARS:
+                    yield flush()
+                    held, size = {}, 0
+        if held:
+            yield flush()
+
+    return map_rows(docs, run, NUMBERS)
 
 
 class Grown:
@@ -66,8 +101,8 @@ class Grown:
 
     def __init__(self, held: Words, filters: list[bytes]):
         self.words = held.words
-        at = np.concatenate(held.runs)
-        firsts = hashes = word_hashes(held.langs, held.words) if filters else np.empty(0, np.uint64)
+        at = held.ids.astype(np.int64)
+        firsts = hashes = held.hashes()
         self.left: list[np.ndarray] = []
         self.last: list[np.ndarray] = []
         for bits in filters:
@@ -98,23 +133,22 @@ class Grown:
         return n
 
 
-def stripes(docs: DataFrame, filters: list[bytes], hot: set[tuple[bytes, bytes]]) -> DataFrame:
+def stripes(numbers: DataFrame, filters: list[bytes], hot: set[tuple[bytes, bytes]]) -> DataFrame:
     """STRIPES of prefixes as long as there are ``filters``: the words that follow a prefix and how often, as far as one
     task saw them. The stripe of no words counts single words; its empty word is the number of all."""
-    given = docs.sparkSession.sparkContext.broadcast((filters, hot))
+    given = numbers.sparkSession.sparkContext.broadcast((filters, hot))
 
     def first(held: Words) -> Iterator[tuple]:
-        at = np.concatenate(held.runs)
-        n = np.bincount(at[at >= 0], minlength=len(held.words)).tolist()
-        rows: dict[tuple[bytes, int], tuple[list, list]] = {}
-        for lang, word, k in zip(held.langs, held.words, n, strict=True):
-            at = rows.setdefault((lang, xxhash.xxh32_intdigest(word) % FIRST), ([], []))
-            at[0].append(word)
-            at[1].append(k)
-            total = rows.setdefault((lang, -1), ([b""], [0]))
-            total[1][0] += k
-        for (lang, part), (words, k) in rows.items():
-            yield lang, b"", part, words, k
+        n = np.bincount(held.ids[held.ids >= 0], minlength=len(held.words))
+        part = np.fromiter((xxhash.xxh32_intdigest(w) % FIRST for w in held.words), np.int64, len(held.words))
+        order = np.lexsort((part, held.lang))
+        key = held.lang[order].astype(np.int64) * FIRST + part[order]
+        cuts = [*np.flatnonzero(np.diff(key, prepend=-1)).tolist(), len(key)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            at = order[x:y]
+            yield held.langs[int(key[x]) // FIRST], b"", int(key[x]) % FIRST, b" ".join([held.words[w] for w in at.tolist()]), n[at].tolist()
+        for k, lang in enumerate(held.langs):
+            yield lang, b"", -1, b"", [int(n[held.lang == k].sum())]
 
     def grown(held: Words, filters: list[bytes], hot: set[tuple[bytes, bytes]]) -> Iterator[tuple]:
         g, level = Grown(held, filters), len(filters) - 1
@@ -123,10 +157,10 @@ def stripes(docs: DataFrame, filters: list[bytes], hot: set[tuple[bytes, bytes]]
         cuts = [*np.flatnonzero(np.diff(left, prepend=-1)).tolist(), len(left)]
         for x, y in zip(cuts, cuts[1:], strict=False):
             prefix = g.text(level, int(left[x]))
-            lang = held.langs[g.word(level, int(left[x]))]
+            lang = held.langs[held.lang[g.word(level, int(left[x]))]]
             words = [held.words[w] for w in last[x:y]]
             if (lang, prefix) not in hot:
-                yield lang, prefix, 0, words, n[x:y]
+                yield lang, prefix, 0, b" ".join(words), n[x:y]
                 continue
             parts: dict[int, tuple[list, list]] = {}
             for w, k in zip(words, n[x:y], strict=True):
@@ -134,34 +168,25 @@ def stripes(docs: DataFrame, filters: list[bytes], hot: set[tuple[bytes, bytes]]
                 at[0].append(w)
                 at[1].append(k)
             for part, (w, k) in parts.items():
-                yield lang, prefix, part, w, k
+                yield lang, prefix, part, b" ".join(w), k
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         filters, hot = given.value
         names = [c.split(" ")[0] for c in STRIPES.split(", ")]
-
-        def flush(held: Words) -> Iterator[dict]:
-            if held.words:
+        for batch in batches:
+            for langs, lang, words, ids in zip(*batch.values(), strict=True):
+                words = words.split(b" ") if words else []
+                held = Words(langs, np.frombuffer(lang, np.int32), words, np.frombuffer(ids, np.int32))
                 made = list(grown(held, filters, hot) if filters else first(held))
                 if made:
                     yield dict(zip(names, map(list, zip(*made, strict=True)), strict=True))
 
-        held = Words()
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                if text:
-                    held.add(lang, text)
-                if held.size >= TOKENS:
-                    yield from flush(held)
-                    held = Words()
-        yield from flush(held)
-
-    return map_rows(docs, run, STRIPES)
+    return map_rows(numbers, run, STRIPES)
 
 
 def merged(stripes: DataFrame, least: int) -> DataFrame:
     """(lang, prefix, next, f) of stripes merged elementwise, as far as f reaches ``least``, and the numbers of all words."""
-    entry = F.explode(F.arrays_zip("next", "n")).alias("e")
+    entry = F.explode(F.arrays_zip(F.split("next", " ").alias("next"), "n")).alias("e")
     rows = stripes.repartition("lang", "prefix", "part").select("lang", "prefix", "part", entry).select("lang", "prefix", "part", "e.next", "e.n")
     return rows.groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | (F.col("next") == "")).select("lang", "prefix", "next", "f")
 
@@ -171,13 +196,14 @@ def filter_of(phrases: DataFrame) -> bytes:
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            langs = [x.encode() for x in b["lang"]]
             words = [x.encode().split(b" ") for x in b["phrase"]]
             if not words:
                 continue
+            langs = sorted(set(b["lang"]))
+            lang = np.searchsorted(langs, b["lang"]) if langs else np.empty(0, np.int64)
             h = None
             for column in zip(*words, strict=True):
-                own = word_hashes(langs, list(column))
+                own = Words([x.encode() for x in langs], lang, list(column), lang).hashes()
                 h = own if h is None else mix(h, own)
             place = h % np.uint64(FILTER_BITS)
             yield {"word": (place >> np.uint64(6)).astype(np.int64), "bits": (np.uint64(1) << (place & np.uint64(63))).view(np.int64)}
@@ -191,13 +217,14 @@ def filter_of(phrases: DataFrame) -> bytes:
 def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> DataFrame:
     """(lang, m, phrase, f) of all phrases of up to ``longest`` words that occur ``least`` times in a language, and a row
     with m = 0 a language: the number of its words."""
-    texts = docs.select(F.coalesce("lang", F.lit("und")).cast("binary").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    texts = docs.where("text <> ''").select(F.coalesce("lang", F.lit("und")).cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
+    numbers = stage_table(number_words(texts), "numbers")
     filters: list[bytes] = []
     hot: set[tuple[bytes, bytes]] = set()
     levels, total = [], 0
     for m in range(1, longest + 1):
         phrase = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
-        level = merged(stripes(texts, filters, hot), least).select("lang", F.when(phrase == "", 0).otherwise(m).alias("m"), phrase.alias("phrase"), "f")
+        level = merged(stripes(numbers, filters, hot), least).select("lang", F.when(phrase == "", 0).otherwise(m).alias("m"), phrase.alias("phrase"), "f")
         level = stage_table(level, f"phrases-{m}")
         levels.append(level)
         if m == 1:

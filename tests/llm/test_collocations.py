@@ -63,7 +63,7 @@ def texts():
 @pytest.mark.parametrize("small", [False, True])
 def test_against_counters(spark, texts, monkeypatch, small):
     if small:  # many flushes, a filter that tells little, stripes cut in parts
-        monkeypatch.setattr(collocations, "TOKENS", 500)
+        monkeypatch.setattr(collocations, "CHARS", 3000)
         monkeypatch.setattr(collocations, "FILTER_BITS", 1 << 8)
         monkeypatch.setattr(collocations, "HOT", 10**9)
     docs = spark.createDataFrame(texts, SCHEMA).repartition(5)
@@ -84,5 +84,5 @@ def test_a_filter_keeps_rare_phrases_out_of_stripes(spark):
     assert every == {(0, ""): 240, (1, "red"): 80, (1, "car"): 80, (2, "red car"): 80, (2, "car red"): 40, (3, "red car red"): 40, (3, "car red car"): 40}
     bits = [collocations.filter_of(spark.createDataFrame([("en", "red"), ("en", "car")], "lang string, phrase string"))]
     texts = docs.selectExpr("CAST(lang AS BINARY) AS lang", "CAST(text AS BINARY) AS text")
-    made = collocations.stripes(texts, bits, set()).collect()
-    assert {(r.prefix, w) for r in made for w in r.next} == {("red", "car"), ("car", "red")}
+    made = collocations.stripes(collocations.number_words(texts), bits, set()).collect()
+    assert {(r.prefix, w) for r in made for w in r.next.split(" ")} == {("red", "car"), ("car", "red")}
