@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,9 @@ from .common import map_rows, stage_table
 #: Where it fills up it tells less and more is shuffled; counts stay exact.
 FILTER_BITS = 1 << 26
 #: Bytes of text that become one row of numbers, and are counted at a time.
-CHARS = 12 << 20
+CHARS = 8 << 20
+#: Stripes that leave a task at a time.
+ROWS = 8192
 #: A prefix on more than one in HOT words has its stripe cut into PARTS by next word; that of no words into FIRST.
 HOT, PARTS, FIRST = 2000, 64, 4096
 #: Parts of a language that are ranked by themselves first.
@@ -101,7 +104,7 @@ class Grown:
 
     def __init__(self, held: Words, filters: list[bytes]):
         self.words = held.words
-        at = held.ids.astype(np.int64)
+        at = held.ids
         firsts = hashes = held.hashes()
         self.left: list[np.ndarray] = []
         self.last: list[np.ndarray] = []
@@ -112,11 +115,11 @@ class Grown:
             at = np.where((at >= 0) & passed[at], at, -1) if len(passed) else at
             # A phrase and the one that begins a word later make one that is longer by a word.
             both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
-            keys, inverse = np.unique(at[both] << 32 | at[both + 1], return_inverse=True)
+            keys, inverse = np.unique(at[both].astype(np.int64) << 32 | at[both + 1], return_inverse=True)
             left, right = keys >> 32, keys & 0xFFFFFFFF
             last = self.last[-1][right] if self.last else right
             hashes = mix(hashes[left], firsts[last])
-            at = np.full(len(at), -1)
+            at = np.full(len(at), -1, np.int32)
             at[both] = inverse
             self.left.append(left)
             self.last.append(last)
@@ -152,18 +155,17 @@ def stripes(numbers: DataFrame, filters: list[bytes], hot: set[tuple[bytes, byte
 
     def grown(held: Words, filters: list[bytes], hot: set[tuple[bytes, bytes]]) -> Iterator[tuple]:
         g, level = Grown(held, filters), len(filters) - 1
-        left, n = g.left[-1], np.bincount(g.at[g.at >= 0], minlength=len(g.left[-1])).tolist()
-        last = g.last[-1].tolist()
+        left, last, n = g.left[-1], g.last[-1], np.bincount(g.at[g.at >= 0], minlength=len(g.left[-1]))
         cuts = [*np.flatnonzero(np.diff(left, prepend=-1)).tolist(), len(left)]
         for x, y in zip(cuts, cuts[1:], strict=False):
             prefix = g.text(level, int(left[x]))
             lang = held.langs[held.lang[g.word(level, int(left[x]))]]
-            words = [held.words[w] for w in last[x:y]]
+            words, counts = [held.words[w] for w in last[x:y].tolist()], n[x:y].tolist()
             if (lang, prefix) not in hot:
-                yield lang, prefix, 0, b" ".join(words), n[x:y]
+                yield lang, prefix, 0, b" ".join(words), counts
                 continue
             parts: dict[int, tuple[list, list]] = {}
-            for w, k in zip(words, n[x:y], strict=True):
+            for w, k in zip(words, counts, strict=True):
                 at = parts.setdefault(xxhash.xxh32_intdigest(w) % PARTS, ([], []))
                 at[0].append(w)
                 at[1].append(k)
@@ -177,9 +179,9 @@ def stripes(numbers: DataFrame, filters: list[bytes], hot: set[tuple[bytes, byte
             for langs, lang, words, ids in zip(*batch.values(), strict=True):
                 words = words.split(b" ") if words else []
                 held = Words(langs, np.frombuffer(lang, np.int32), words, np.frombuffer(ids, np.int32))
-                made = list(grown(held, filters, hot) if filters else first(held))
-                if made:
-                    yield dict(zip(names, map(list, zip(*made, strict=True)), strict=True))
+                made = grown(held, filters, hot) if filters else first(held)
+                while some := list(islice(made, ROWS)):
+                    yield dict(zip(names, map(list, zip(*some, strict=True)), strict=True))
 
     return map_rows(numbers, run, STRIPES)
 
