@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage_table
@@ -54,6 +55,20 @@ def n_words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``rank``, 0, 1, 2 … in ``order``, as a stage table. Rows are dealt by ranges of the order and numbered as they
+    are written; a range's rank begins at the sum of the ranges before it (a row a range). So no task holds more than its
+    range, whatever the ids are like; rows that are equal in ``order`` are told apart by where they were read."""
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
+    out = stage_table(dealt.withColumn("_at", F.monotonically_increasing_id()).drop("_tie"), name)
+    out = out.withColumn("_range", F.shiftrightunsigned("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
+    sizes = out.groupBy("_range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_start"))
+    return out.join(starts, "_range").withColumn("rank", F.col("_start") + F.col("_at")).drop("_range", "_at", "_start")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges over longs: rows (node, root), root the smallest node
     of its component, for every node that has an edge.

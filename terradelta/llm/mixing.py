@@ -8,11 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words_of, stage_table
+from .common import n_words_of, ranked, stage_table
 
-#: Documents of one source and size are numbered within blocks of this many ids, so no window
-#: partition grows with a hot source or a hot size.
-ID_BLOCK = 4096
 #: Parts in which rows of one doc_id, source and size are numbered.
 PARTS = 1024
 
@@ -47,27 +44,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     ``seed``) crosses ``copies`` integers at a document. Ordering by size keeps the words taken within
     one largest document of the target. Reruns agree as the order and the offset are fixed.
 
-    The prefix sum is split into (source, size), then id blocks within it, then rows of a block: the
-    longest window partition is the number of distinct sizes or of id blocks, never a source's rows.
+    The prefix sum is a rank: rows are dealt by ranges of (source, size, doc_id) and numbered within them (see
+    common.ranked), and a source's first rank is taken off. No task holds a source, a size or a block of ids.
     Null or empty text: size 0, emitted like others, takes no words. Null source: a source of its own,
     last. Null doc_id: sorts first within its size. Repeated rows count as rows. Empty table: no rows. Only
     doc_id, source and text are read, so other columns may have any name.
     """
     sized = docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size"))
-    sized = sized.withColumn("block", F.floor(F.col("doc_id") / ID_BLOCK))
     sized = stage_table(sized, "sizes")
-    blocks = sized.groupBy("source", "size", "block").agg(F.count("*").alias("n"))
-    sizes = blocks.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    larger = sizes.select("source", "size", before(W.partitionBy("source").orderBy(F.col("size").desc())).alias("larger"))
-    earlier = blocks.select("source", "size", "block", before(W.partitionBy("source", "size").orderBy("block")).alias("earlier"))
-
-    same = lambda l, r, *cols: [l[c].eqNullSafe(r[c]) for c in cols]
+    sizes = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
+    rows = ranked(sized, [F.asc_nulls_last("source"), F.desc("size"), F.asc("doc_id")], "ranks")
+    starts = rows.groupBy("source").agg(F.min("rank").alias("first"))
     targets = source_targets(sizes, weights, most)
-    place = larger.join(targets, same(larger, targets, "source")).select(larger["source"], "size", "larger", "source_size", "target")
-    place = earlier.join(place, same(earlier, place, "source", "size")).select(earlier["source"], earlier["size"], "block", (F.col("larger") + F.col("earlier")).alias("start"), "source_size", "target")
-    rows = sized.withColumn("row", F.row_number().over(W.partitionBy("source", "size", "block").orderBy("doc_id")))
-    rows = rows.join(place, same(rows, place, "source", "size", "block")).select(rows["doc_id"], rows["source"], rows["size"], "source_size", "target", (F.col("start") + F.col("row")).alias("position"))
+    place = starts.withColumnRenamed("source", "of").join(targets, F.col("of").eqNullSafe(targets["source"])).select("of", "first", "source_size", "target")
+    rows = rows.join(place, rows["source"].eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", (F.col("rank") - F.col("first") + 1).alias("position"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.lit(random.Random(seed).random())
     rows = rows.withColumn("rate", rate)

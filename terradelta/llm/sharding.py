@@ -7,15 +7,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import ranked, stage_table
 
 #: Groups that one task differences, and partial partitions that one task of a later level combines.
 BUCKET = 4096
 FAN_IN = 256
-ID_BLOCK = 4096
 
 
 def difference(items: list[list[int]]) -> tuple[list[int], list[list[int]]]:
@@ -64,8 +62,8 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     downwards, so no task or driver holds all groups. A group larger than a shard's fair share
     can't be balanced by any method; it gets a shard to itself as far as the others allow.
 
-    Slots run from 0 without gaps within a shard, by blocks of doc_id. Null doc_id: in a block of its
-    own. Repeated rows are rows of one group. Empty table: no rows. Other columns are not read.
+    Slots run from 0 without gaps within a shard, by doc_id: rows are numbered by ranges of (shard, doc_id) (see
+    common.ranked), so no task holds a shard. Null doc_id: first in its shard. Repeated rows are rows of one group. Empty table: no rows. Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.unhex(F.md5(text)).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -103,11 +101,6 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
             break
         level = met.groupBy(F.col("up").alias("bucket")).agg(F.first("total").alias("sums"))
     homes = placed.join(to, placed["bucket"] == to["leaf"]).select("key", F.get("parts", F.col("part")).alias("shard"))
-    rows = stage_table(rows.join(homes, "key").select("doc_id", "size", "text_crc32", "shard", F.floor(F.col("doc_id") / ID_BLOCK).alias("block")), "shards")
-
-    counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("shard").alias("_shard"), F.col("block").alias("_block"), before.alias("start"))
-    numbered = rows.withColumn("row", F.row_number().over(W.partitionBy("shard", "block").orderBy("doc_id", "text_crc32")))
-    out = numbered.join(starts, (F.col("shard") == F.col("_shard")) & F.col("block").eqNullSafe(F.col("_block")))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("row") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    rows = ranked(rows.join(homes, "key").select("doc_id", "size", "text_crc32", "shard"), [F.asc("shard"), F.asc("doc_id"), F.asc("text_crc32")], "slots")
+    starts = F.broadcast(rows.groupBy("shard").agg(F.min("rank").alias("first")))  # a row a shard
+    return rows.join(starts, "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -50,6 +50,31 @@ def test_components(spark):
     assert got == {n: least[root(n)] for e in chain if e[0] != e[1] for n in e}
 
 
+@pytest.mark.parametrize("ids", ["CAST(id AS LONG)", "xxhash64(id)", "CAST(NULL AS LONG)", "IF(id % 3 = 0, NULL, xxhash64(id))"])
+def test_ranks_need_no_dense_ids(spark, monkeypatch, ids):
+    staged = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(common, "stage_table", lambda df, name, f=common.stage_table: staged.append(f(df, name)) or staged[-1])
+    df = spark.range(20_000).repartition(5).selectExpr(f"{ids} AS doc_id", "IF(id % 3 = 0, 'hot', NULL) AS source", "id % 7 AS size")
+    out = common.ranked(df, [F.asc_nulls_last("source"), F.desc("size"), F.asc("doc_id")], "test").collect()
+    key = lambda r: (r.source is None, -r.size, r.doc_id is not None, r.doc_id or 0)
+    assert [key(r) for r in sorted(out, key=lambda r: r.rank)] == sorted(map(key, out)) and sorted(r.rank for r in out) == list(range(20_000))
+    counts = [r["count"] for r in staged[0].groupBy(F.shiftrightunsigned("_at", 33)).count().collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(counts) >= 4 and max(counts) < 10_000  # no range grows with an id, a source or a size
+
+
+def test_mixing_and_sharding_of_hashed_and_null_ids(spark):
+    df = spark.range(3000).repartition(3).selectExpr("IF(id % 4 = 0, NULL, xxhash64(id)) AS doc_id", "IF(id % 5 = 0, '', repeat('w ', CAST(id % 9 AS INT))) AS text", "IF(id % 3 = 0, 'a', 'b') AS source")
+    rows = mixing.mix(df).collect()
+    taken = {s: sum(r.taken for r in rows if r.source == s) for s in "ab"}
+    assert len(rows) == 3000 and all(abs(taken[r.source] - r.target) <= 9 for r in rows)
+    out = sharding.shard(df, 3).collect()
+    for s in range(3):
+        mine = sorted((r.slot, r.doc_id is not None, r.doc_id or 0) for r in out if r.shard == s)
+        assert [m[0] for m in mine] == list(range(len(mine))) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
+
+
 def brute_substrings(rows):
     counts = Counter(tuple(w[i : i + 35]) for r in rows for w in [(r[1] or "").encode().split()] for i in range(len(w) - 34))
     want = Counter()
