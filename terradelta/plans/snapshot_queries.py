@@ -248,7 +248,24 @@ add("feed_day", lambda s, d: feed.page(feed_areas(s, d), feed_sources(s, d), 50,
 add("feed_status", lambda s, d: feed.status(feed_areas(s, d), (F.lit("1998-01-01").cast("timestamp"), F.lit(""))).select("area_id", "unread"),
     "SELECT arg_max(md5(source_id || ':' || CAST(run_id AS VARCHAR)), (observed_at, md5(source_id || ':' || CAST(run_id AS VARCHAR)))) AS area_id, least(count(*) FILTER (observed_at >= TIMESTAMP '1998-01-01'), 100) AS unread FROM {stored}")
 
-add("identity_fold", lambda s, d: identity.fold_identities(V(s, d, "features").select("source_id", "obs", "base_key", F.col("feature_id").alias("row_id"), "content_hash", "confidence", ((F.col("w") + F.col("e")) / 2).alias("lon"), ((F.col("s") + F.col("n")) / 2).alias("lat"))))
+#: One feature at a time, for every base at once: each is tried twice, by content, then by nearness. ``prev`` holds the
+#: features of the snapshot before that no one took yet, ``made`` those of this one so far.
+ONE_BY_ONE = """WITH RECURSIVE z AS (SELECT source_id, base_key, obs, feature_id AS row_id, content_hash AS h, confidence, (w + e) / 2 AS lon, (s + n) / 2 AS lat, count(*) OVER g AS k, min(confidence) OVER g >= 0.95 AS sure FROM {features} WINDOW g AS (PARTITION BY source_id, base_key, obs)),
+i AS (SELECT z.*, p, row_number() OVER (PARTITION BY source_id, base_key ORDER BY obs, p, h, row_id) AS i FROM z, (VALUES (1), (2)) t(p)),
+r AS (SELECT source_id, base_key, CAST(0 AS BIGINT) AS i, CAST(-9 AS BIGINT) AS obs, CAST([] AS STRUCT(row_id VARCHAR, key VARCHAR, h VARCHAR, lon DOUBLE, lat DOUBLE, kind VARCHAR)[]) AS prev, CAST([] AS STRUCT(row_id VARCHAR, key VARCHAR, h VARCHAR, lon DOUBLE, lat DOUBLE, kind VARCHAR)[]) AS made, CAST(NULL AS VARCHAR) AS last FROM (SELECT DISTINCT source_id, base_key FROM z) t
+UNION ALL SELECT source_id, base_key, i, obs, CASE WHEN hit > 0 THEN list_concat(prev[1:hit - 1], prev[hit + 1:]) ELSE prev END,
+CASE WHEN hit > 0 THEN list_append(made, {'row_id': row_id, 'key': prev[hit].key, 'h': h, 'lon': lon, 'lat': lat, 'kind': CASE p WHEN 1 THEN 'exact' ELSE 'near' END})
+ WHEN k = 1 AND p = 1 THEN list_append(made, {'row_id': row_id, 'key': base_key, 'h': h, 'lon': lon, 'lat': lat, 'kind': 'single'})
+ WHEN p = 2 AND hit = 0 THEN list_append(made, {'row_id': row_id, 'key': list_filter(list_transform(range(1, k + 2), lambda j: base_key || '#' || substr(h, 1, 16) || CASE WHEN j > 1 THEN '-' || CAST(j AS VARCHAR) ELSE '' END), lambda c: NOT list_contains(list_transform(made, lambda m: m.key), c))[1], 'h': h, 'lon': lon, 'lat': lat, 'kind': 'new'}) ELSE made END,
+CASE WHEN p = 2 THEN row_id END FROM (
+ SELECT *, CASE WHEN k = 1 THEN -1 WHEN p = 1 THEN coalesce(list_position(list_transform(prev, lambda q: q.h), h), 0) WHEN list_contains(list_transform(made, lambda q: q.row_id), row_id) THEN -1 WHEN len(prev) = 0 THEN 0
+  ELSE list_position(list_transform(prev, lambda q: (q.lon - lon) * (q.lon - lon) + (q.lat - lat) * (q.lat - lat)), list_min(list_transform(prev, lambda q: (q.lon - lon) * (q.lon - lon) + (q.lat - lat) * (q.lat - lat)))) END AS hit FROM (
+  SELECT i.source_id, i.base_key, i.i, i.obs, i.p, i.row_id, i.h, i.lon, i.lat, i.k, CASE WHEN i.obs = r.obs THEN r.prev WHEN i.obs = r.obs + 1 THEN list_sort(r.made) ELSE [] END AS prev, CASE WHEN i.obs = r.obs THEN r.made ELSE [] END AS made
+  FROM r JOIN i ON i.source_id = r.source_id AND i.base_key = r.base_key AND i.i = r.i + 1) x) y),
+o AS (SELECT source_id, base_key, obs, last AS row_id, list_filter(made, lambda q: q.row_id = last)[1] AS x FROM r WHERE last IS NOT NULL)
+SELECT o.source_id, o.obs, o.base_key, o.row_id, x.key AS logical_key, least(confidence, CASE x.kind WHEN 'single' THEN 1.0 WHEN 'new' THEN CASE WHEN sure THEN 0.85 ELSE 0.45 END WHEN 'exact' THEN CASE WHEN sure THEN 0.9 ELSE 0.65 END ELSE CASE WHEN sure THEN 0.9 ELSE 0.55 END END)::DOUBLE AS confidence
+FROM o JOIN z ON z.source_id = o.source_id AND z.base_key = o.base_key AND z.obs = o.obs AND z.row_id = o.row_id"""
+add("identity_fold", lambda s, d: identity.fold_identities(V(s, d, "features").select("source_id", "obs", "base_key", F.col("feature_id").alias("row_id"), "content_hash", "confidence", ((F.col("w") + F.col("e")) / 2).alias("lon"), ((F.col("s") + F.col("n")) / 2).alias("lat"))), ONE_BY_ONE)
 add("visible_properties", lambda s, d: V(s, d, "features").select("source_id", "obs", "feature_id", "layer_key", visible_properties(F.create_map(F.lit("NAME"), F.col("base_key"), F.lit("updated_at"), F.col("content_hash"), F.lit("Fill_Color"), F.col("v").cast("string"))).alias("m")).select("source_id", "obs", "feature_id", "layer_key", F.size("m").alias("n"), F.col("m")["name"].alias("name"), F.col("m")["fill_color"].alias("fill")),
     "SELECT source_id, obs, feature_id, layer_key, 2 AS n, base_key AS name, CAST(v AS VARCHAR) AS fill FROM {features}")
 add("material_changes", lambda s, d: overlay.overlay_pairs(pair_rings(s, d)).where(pieces.material(F.col("area"), F.col("radius"), F.col("perimeter"), F.lit(True))).groupBy("pair_id").agg(F.count("*").alias("pieces")),

@@ -127,8 +127,76 @@ def test_identity_exact_before_nearest(spark):
     f = spark.createDataFrame(rows, "source_id string, obs long, base_key string, row_id string, content_hash string, confidence double, lon double, lat double")
     got = {r.row_id: (r.logical_key, r.confidence) for r in identity.fold_identities(f).collect()}
     assert got["r2"][0] == got["r0"][0] and got["r3"][0] == got["r1"][0] and got["r2"][1] == 0.65 and got["r4"] == ("c", 0.65)
-    twice = identity.assign([("7" * 20, 0.95, 1, 1), ("7" * 20, 0.95, 1, 1)], "base", [])
-    assert len({k for k, _ in twice}) == 2 and all(c == 0.85 for _, c in twice)
+
+
+def assign(group, base, previous):
+    """The rule one feature at a time: (key, cap) for each (hash, confidence, lon, lat) of a snapshot."""
+    sure = all(c >= 0.95 for _, c, _, _ in group)
+    left, out = list(previous), {}
+    order = sorted(range(len(group)), key=lambda n: group[n][0])
+    for n in order:
+        hit = [old for old in left if old[1] == group[n][0]]
+        if hit:
+            left.remove(hit[0])
+            out[n] = hit[0][0], 0.9 if sure else 0.65
+    for n in [n for n in order if n not in out]:
+        digest, _, lon, lat = group[n]
+        if left:
+            near = min(left, key=lambda old: (old[2] - lon) ** 2 + (old[3] - lat) ** 2)
+            left.remove(near)
+            out[n] = near[0], 0.9 if sure else 0.55
+        else:
+            taken = {key for key, _ in out.values()}
+            keys = [f"{base}#{digest[:16]}" + (f"-{k}" if k > 1 else "") for k in range(1, len(group) + 2)]
+            out[n] = next(k for k in keys if k not in taken), 0.85 if sure else 0.45
+    return [out[n] for n in range(len(group))]
+
+
+def fold(rows):
+    """Every source and base by itself, snapshot after snapshot."""
+    out = {}
+    for source, base in {(r[0], r[2]) for r in rows}:
+        before, last = [], None
+        for obs in sorted({r[1] for r in rows if (r[0], r[2]) == (source, base)}):
+            part = sorted(r for r in rows if (r[0], r[1], r[2]) == (source, obs, base))
+            group = [(r[4], r[5], r[6], r[7]) for r in part]
+            keys = [(base, 1.0)] if len(part) == 1 else assign(group, base, before if last == obs - 1 else [])
+            out |= {(source, obs, r[3]): (key, min(r[5], cap)) for r, (key, cap) in zip(part, keys, strict=True)}
+            before, last = [(key, r[4], r[6], r[7]) for r, (key, _) in zip(part, keys, strict=True)], obs
+    return out
+
+
+IDENTITY = "source_id string, obs long, base_key string, row_id string, content_hash string, confidence double, lon double, lat double"
+
+
+def test_identities_at_once_are_those_one_after_the_other(spark):
+    rng = random.Random(12)
+    rows = []
+    for source in "st":
+        for base in ("a", "b", "c", "d"):
+            few = rng.choice([2, 6])
+            for obs in range(23):
+                if rng.random() < 0.1:
+                    continue  # the base is away, and its keys with it
+                for n in range(rng.randrange(0, few)):
+                    h = f"{rng.randrange(few)}" * 20
+                    rows.append((source, obs, base, f"r{n:02d}", h, rng.choice([1.0, 0.95] if base == "a" else [1.0, 0.65]), float(rng.randrange(4)), float(rng.randrange(3))))
+    got = {(r.source_id, r.obs, r.row_id, r.base_key): (r.logical_key, r.confidence) for r in identity.fold_identities(spark.createDataFrame(rows, IDENTITY)).collect()}
+    want = {}
+    for base in "abcd":
+        want |= {(*k, base): v for k, v in fold([r for r in rows if r[2] == base]).items()}
+    assert got == want and len(got) == len(rows)
+    assert sum("-" in key for key, _ in want.values()) > 10  # numbers behind keys occur
+
+
+def test_identities_of_a_hot_base_and_a_long_chain(spark):
+    rng = random.Random(13)
+    rows = [("s", obs, "hot", f"r{n:05d}", f"{obs}{n:05d}" * 4, 0.65, rng.uniform(0, 9), rng.uniform(0, 9)) for obs in (0, 1) for n in range(5000)]
+    rows += [("s", obs, "long", f"r{n}", f"{n}" * 20, 1.0, 0.0, 0.0) for obs in range(300) for n in (1, 2)]
+    got = identity.fold_identities(spark.createDataFrame(rows, IDENTITY)).collect()
+    hot = [r for r in got if r.base_key == "hot"]
+    assert {r.logical_key for r in hot if r.obs == 1} == {r.logical_key for r in hot if r.obs == 0} and len({r.logical_key for r in hot}) == 5000
+    assert {r.logical_key for r in got if r.base_key == "long"} == {f"long#{'1' * 16}", f"long#{'2' * 16}"}
 
 
 def test_clusters_join_chains(spark):
