@@ -59,6 +59,25 @@ def bounds(geometry: Column) -> Column:
     return F.struct(side(F.array_min, "x").alias("w"), side(F.array_min, "y").alias("s"), side(F.array_max, "x").alias("e"), side(F.array_max, "y").alias("n"))
 
 
+def json_kind(geometry: Column) -> Column:
+    """polygon, line or point of a GeoJSON text; null for collections and what is no geometry."""
+    kind = F.get_json_object(geometry, "$.type")
+    return F.when(kind.endswith("Polygon"), "polygon").when(kind.endswith("LineString"), "line").when(kind.endswith("Point"), "point")
+
+
+def json_rings(geometry: Column) -> Column:
+    """The rings, lines or points of a GeoJSON text, polygons' rings without the repeated last point; null for collections."""
+    kind, at = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
+    deep = lambda n: F.from_json(at, "array<" * n + "double" + ">" * n)
+    lists = (
+        F.when(kind == "Point", F.array(F.array(deep(1)))).when(kind.isin("LineString", "MultiPoint"), F.array(deep(2)))
+        .when(kind.isin("Polygon", "MultiLineString"), deep(3)).when(kind == "MultiPolygon", F.flatten(deep(4)))
+    )
+    rings = F.transform(lists, lambda r: F.transform(r, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))))
+    shut = lambda r: (F.size(r) > 1) & F.get(r, 0).eqNullSafe(F.element_at(r, -1))
+    return F.when(kind.endswith("Polygon"), F.transform(rings, lambda r: F.when(shut(r), F.slice(r, 1, F.size(r) - 1)).otherwise(r))).otherwise(rings)
+
+
 def vertex_mean(geometry: Column) -> Column:
     """struct(x, y), the mean of all vertices."""
     points = F.flatten(geometry)

@@ -67,13 +67,17 @@ def near_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=PAIR)
 
 
-def matches(shared: DataFrame, features: DataFrame) -> DataFrame:
-    """(source_id, base_key, obs, row_id, old_id, kind) of features ``shared`` by a base within their snapshot, matched with
+def matches(shared: DataFrame, features: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(source_id, base_key, obs, row_id, old_obs, old_id, kind) of features ``shared`` by a base within their snapshot, matched with
     those of the base in the snapshot before: exact by content, as often as both sides have it, in order of row_id; then
     near, the nearest that content left over."""
     nth = F.row_number().over(W.partitionBy(*GROUP, "content_hash").orderBy("row_id"))
     new = stage_table(shared.withColumn("nth", nth), "identity-new")
-    old = features.withColumn("nth", nth).withColumn("obs", F.col("obs") + 1)
+    old = features.withColumn("nth", nth)
+    if before is None:
+        old = old.withColumn("obs", F.col("obs") + 1)
+    else:
+        old = old.withColumnRenamed("obs", "old_obs").join(before, ["source_id", "old_obs"]).drop("old_obs")
     old = stage_table(old.join(new.select(*GROUP).distinct(), GROUP, "left_semi"), "identity-old")
     same = ["source_id", "base_key", "obs", "content_hash", "nth"]
     exact = new.join(old.select(*same, F.col("row_id").alias("old_id")), same).select(*NODE, "old_id", F.lit("exact").alias("kind"))
@@ -86,14 +90,15 @@ def matches(shared: DataFrame, features: DataFrame) -> DataFrame:
     order = [*GROUP, "side", F.when(F.col("side") == 1, F.col("content_hash")), "row_id"]
     near = both.repartition(*GROUP).sortWithinPartitions(*order).select(*GROUP, "side", "row_id", "lon", "lat")
     near = near.mapInPandas(near_pairs, "source_id string, base_key string, obs long, row_id string, old_id string, kind string")
-    return exact.unionByName(near)
+    found = exact.unionByName(near)
+    return found.withColumn("old_obs", F.col("obs") - 1) if before is None else found.join(before, ["source_id", "obs"])
 
 
 def roots(links: DataFrame) -> DataFrame:
     """(source_id, base_key, obs, row_id, root_obs, root_id) of features that are linked to one of the snapshot before: where
     their chain begins. Each round a feature's pointer jumps to where the pointer of its target points, so chains of n
     snapshots take log2(n) rounds; each is written to the shared folder, and the driver sees one number a round."""
-    now = stage_table(links.select(*NODE, (F.col("obs") - 1).alias("root_obs"), F.col("old_id").alias("root_id"), F.lit(False).alias("done")), "pointers")
+    now = stage_table(links.select(*NODE, F.col("old_obs").alias("root_obs"), F.col("old_id").alias("root_id"), F.lit(False).alias("done")), "pointers")
     while now.where("NOT done").limit(1).count():
         to = now.select("source_id", "base_key", F.col("obs").alias("root_obs"), F.col("row_id").alias("root_id"), F.col("root_obs").alias("far_obs"), F.col("root_id").alias("far_id"))
         moved = now.where("NOT done").join(to, ["source_id", "base_key", "root_obs", "root_id"], "left")
@@ -128,18 +133,22 @@ def numbered_keys(begun: DataFrame, chains: DataFrame) -> DataFrame:
         seen = total
 
 
-def fold_identities(features: DataFrame) -> DataFrame:
+def fold_identities(features: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """logical_key and confidence for features (source_id, obs, base_key, row_id, content_hash, confidence, lon, lat);
     row_id is unique in its snapshot. A base that a snapshot has once is the key itself. Features that share a base take the
     key of the feature with equal content in the snapshot before, else of the nearest one left (see matches), else a
-    new key: base#, 16 digits of the content's hash and, if the group has that key, a number."""
+    new key: base#, 16 digits of the content's hash and, if the group has that key, a number.
+
+    ``before`` (source_id, obs, old_obs) names the snapshot that came before each, where that isn't the one numbered before
+    (a source may have gone back to an older one in between); snapshots that it leaves out have none before them.
+    """
     n = F.count("*").over(W.partitionBy(*GROUP))
     sure = F.min("confidence").over(W.partitionBy(*GROUP)) >= SURE
     f = stage_table(features.withColumn("shared", n > 1).withColumn("sure", sure), "identity-features")
     often = f.where("shared").select("source_id", "base_key").distinct()
     plain = f.join(often, ["source_id", "base_key"], "left_anti").select(*NODE, F.col("base_key").alias("logical_key"), "confidence")
     f = stage_table(f.join(often, ["source_id", "base_key"], "left_semi"), "identity-shared")
-    links = stage_table(matches(f.where("shared"), f), "identity-links")
+    links = stage_table(matches(f.where("shared"), f, before), "identity-links")
     chains = stage_table(roots(links), "identity-chains")
 
     begun = f.where("shared").join(links.select(*NODE), NODE, "left_anti")

@@ -76,17 +76,17 @@ PARTS_A_PAYLOAD = 1000
 PAYLOAD_SOURCE = f"lower(source_id) || '-' || CAST(CAST(floor(b / {PARTS_A_PAYLOAD}) AS BIGINT) AS STRING)"
 
 
-def payload_texts(s, d) -> DataFrame:
+def payload_texts(s, d, ids: bool = True) -> DataFrame:
     """Overlay payloads (mapper_id, run_id, text) made of the features view: JSON, one an observation and block of parts, so
-    that payloads grow in number and not in size. Layer R has no id."""
-    f = V(s, d, "features").withColumn("mapper_id", F.expr(PAYLOAD_SOURCE))
+    that payloads grow in number and not in size. Layer R has no id. Without ``ids``: polygons only, known by name."""
+    f = V(s, d, "features").withColumn("mapper_id", F.expr(PAYLOAD_SOURCE)).where(F.lit(ids) | (F.col("kind") == "polygon"))
     w, t, e, n = (F.col(c) for c in "wsen")
     ring = F.array(*[F.array(x, y) for x, y in ((w, t), (e, t), (e, n), (w, n), (w, t))])
     shape = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
     properties = F.struct(F.col("base_key").alias("Name"), F.struct(F.col("v"), F.array("g").alias("g")).alias("more"))
-    feature = F.struct(F.lit("Feature").alias("type"), F.col("feature_id").alias("id"), shape.alias("geometry"), properties.alias("properties"))
-    by_id = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
-    layer = f.groupBy("mapper_id", "obs", "layer_key").agg(F.array_sort(F.collect_list(feature), by_id).alias("features"))  # of one block
+    feature = F.struct(F.lit("Feature").alias("type"), (F.col("feature_id") if ids else F.lit(None).cast("string")).alias("id"), shape.alias("geometry"), properties.alias("properties"))
+    sorted_ = F.array_sort(F.collect_list(F.struct("feature_id", feature.alias("f"))), lambda a, b: F.when(a["feature_id"] < b["feature_id"], -1).when(a["feature_id"] > b["feature_id"], 1).otherwise(0))  # of one block
+    layer = f.groupBy("mapper_id", "obs", "layer_key").agg(F.transform(sorted_, lambda x: x["f"]).alias("features"))
     one = F.struct("layer_key", F.when(F.col("layer_key") != "R", F.col("layer_key")).alias("id"), F.struct(F.lit("#fff").alias("fill")).alias("paint"), F.struct(F.lit("FeatureCollection").alias("type"), "features").alias("data"))
     by_key = lambda a, b: F.when(a["layer_key"] < b["layer_key"], -1).otherwise(1)
     kept = layer.groupBy("mapper_id", "obs").agg(F.array_sort(F.collect_list(one), by_key).alias("layers"))

@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from terradelta.functions import text
+from terradelta.operators import history
 from terradelta.sources import readers
 from terradelta.streaming import ingest
 
@@ -83,3 +84,31 @@ def test_canonical_text_and_feature_hash(spark):
     rows = [(shape(1.00000001), '{"a":{"b":1,"c":[]}}'), (shape(1), '{"a":{"c":[],"b":1.0}}'), (shape(1.1), '{"a":{"c":[],"b":1.0}}'), (shape(1), None), (shape(1), "{}"), (None, None)]
     h = [r[0] for r in spark.createDataFrame(rows, "g string, p string").select(readers.feature_hash(F.col("g"), F.col("p"))).collect()]
     assert h[0] == h[1] and h[3] == h[4] and len({h[0], h[2], h[3], h[5]}) == 4
+
+
+def test_history_from_payload_files(spark, tmp_path):
+    def body(day, boxes, **more):
+        ring = lambda w: [[[w, 47.0], [w + 0.1, 47.0], [w + 0.1, 47.1], [w, 47.1], [w, 47.0]]]
+        features = [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": ring(w)}, "properties": {"name": name, "deep": {"n": deep}}} for name, w, deep in boxes]
+        return json.dumps({"mapper_id": "m", "captured_at": f"2026-08-{day:02d}T00:00:00Z", "layers": [{"id": "x", "data": {"features": features}}]} | more)
+
+    a = [("area", 30.0, 1), ("area", 40.0, 1), ("lone", 50.0, 1)]
+    land(tmp_path, "m", "1", body(1, a))
+    land(tmp_path, "m", "2", body(2, [a[1], ("area", 30.02, 1), a[2], ("new", 60.0, 1)]))  # one moves, one comes
+    land(tmp_path, "m", "3", body(3, [a[2], a[0], a[1]]))  # back to the first, in another order
+    land(tmp_path, "m", "4", body(4, [("area", 40.0, 2), a[0], a[2]]))  # only what isn't seen changes
+    land(tmp_path, "m", "5", body(5, a)[:-5])
+    got, _ = run(spark, tmp_path)
+    assert [g[2] for g in got] == ["stored"] * 4 + ["failed"] or sorted(g[2] for g in got) == ["failed"] + ["stored"] * 4
+    root = str(tmp_path / "store")
+    runs, features = ingest.read_runs(spark, root), ingest.read_features(spark, root)
+    out, changes, pieces = history.overlay_history(runs, features)
+    rows = [(r.obs, r.snapshot, r.is_baseline, r.n_features, r.added, r.removed, r.modified) for r in out.orderBy("obs").collect()]
+    assert rows == [(0, 0, True, 3, 0, 0, 0), (1, 1, False, 4, 1, 0, 1), (2, 0, False, 3, 0, 1, 1), (3, 2, False, 3, 0, 0, 0)]
+    keys = lambda n: {r.logical_key: (r.w, r.confidence) for r in history.versions_of(history.observe(runs), features).where(f"snapshot = {n}").collect()}
+    first, second, third = keys(0), keys(1), keys(2)
+    assert set(first) < set(second) and set(third) == set(first) and "m:x:fallback:lone:polygon" in first
+    moved = [k for k in first if first[k][0] == 30.0][0]
+    assert second[moved] == (30.02, 0.55) and third[moved] == (30.0, 0.65)  # compared with what was shown before it
+    assert sorted((r.obs, r.phase) for r in pieces.collect()) == sorted([(1, "after"), (1, "before"), (1, "after"), (2, "after"), (2, "before"), (2, "before")])
+    assert changes.count() == 4
