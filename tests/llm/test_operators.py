@@ -212,6 +212,31 @@ def test_lines_of_one_text_that_repeats_itself(spark):
     assert out == {1: (line, 49_999), 2: ("ab cd", 49_999)}
 
 
+def test_matches_are_extended_both_ways():
+    a, b = np.array([9, 1, 2, 3, 4, 8, 5, 6]), np.array([7, 1, 2, 3, 4, 5])
+    assert lines.extend(a, 0, b, 0, 0, [2]) == {(1, 4)} and lines.extend(a, 0, b, 0, 1, [6]) == {(6, 6)}
+    assert lines.extend(a, 100, b, 50, 50, [101, 103]) == {(101, 104)} and lines.extend(a[2:], 2, b[:4], 0, 0, [2]) == {(2, 3)}
+
+
+@pytest.mark.parametrize("part", [64, 3])
+def test_long_runs_over_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(lines, "PART", part)
+    rng = random.Random(43)
+    run = [f"line {n} of a long run" if n % 3 else f"w{n}" for n in range(200)]
+    own = lambda: [f"own {rng.random()} words" for _ in range(rng.randrange(0, 150))]
+    texts = ["\n".join([*own(), *run[a:z], *own()]) for a, z in ((0, 200), (0, 200), (50, 199), (3, 120), (0, 7), (190, 200))]
+    out = {r.row["doc_id"]: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {n: len(g) for n, g in enumerate(brute_lines(texts))} and out[1] == 200 and out[2] == 149
+
+
+def test_places_of_a_line_that_many_texts_hold_are_joined_with_one(spark):
+    line = "this line of more than ten words stands in all of these many texts"
+    made = [(n, f"own {n}\n{line}\nend {n}") for n in range(500)]
+    rows = spark.createDataFrame(made, "id long, text string").withColumn("th", F.lit(0).cast("long"))
+    places = lines.joined_places(lines.winnow(rows, 10)).collect()
+    assert len(places) == 499 and {r.of_id for r in places} == {0} and all(r.seeds for r in places)
+
+
 def test_short_runs_and_clean_lines_stay(spark):
     d = spark.createDataFrame([(1, "yes\nfine words that stand here only once in all of this\nyes"), (2, "yes\nother words that stand here only once in all of that")], "doc_id long, text string")
     assert all(r.n_removed == 0 for r in lines.dedup_lines(d).collect())
