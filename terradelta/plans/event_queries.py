@@ -141,28 +141,30 @@ def kml_file(s, d) -> str:
     line = F.concat(F.lit("<Placemark><name>line</name><MultiGeometry><LineString><coordinates>"), pair(w, t), F.lit(" "), pair(e, n), F.lit("</coordinates></LineString><Point><coordinates>"), pair(w, t), F.lit("</coordinates></Point></MultiGeometry></Placemark>"))
     digit = F.substring("settlement_id", -1, 1).cast("int")
     block = F.floor(F.substring("settlement_id", 2, 20).cast("long") / 100)
-    k = V(s, d, "boxes").groupBy(block.alias("part"), F.concat(F.lit("Folder "), (digit % 3).cast("string")).alias("f")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(poly, line))), "").alias("p"))
+    k = V(s, d, "boxes").groupBy(block.alias("part"), F.concat(F.lit("Folder "), (digit % 3).cast("string")).alias("f")).agg(F.concat(F.array_join(F.sort_array(F.collect_list(poly)), ""), F.when(F.first(digit % 3) != 1, F.concat(F.lit("<Folder><name>within</name><Folder><name>deep</name>"), F.array_join(F.collect_list(line), ""), F.lit("</Folder></Folder>"))).otherwise("")).alias("p"))
     folder = F.concat(F.lit("<Folder><name>"), "f", F.lit("</name>"), "p", F.lit("</Folder>"))
-    docs = k.groupBy("part").agg(F.concat(F.lit('<?xml version="1.0"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'), F.array_join(F.sort_array(F.collect_list(folder)), ""), F.lit("</Document></kml>")).alias("value"))
+    docs = k.groupBy("part").agg(F.concat(F.lit('<?xml version="1.0"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><Style id="a"><PolyStyle><color>80112233</color></PolyStyle></Style>'), F.array_join(F.sort_array(F.collect_list(folder)), ""), F.lit("</Document></kml>")).alias("value"))
     path = shared_path(s, "kml")
     docs.repartition("part").write.partitionBy("part").text(path)
     return path
 
 
-add("kml_features", lambda s, d: readers.read_kml(s, kml_file(s, d), exclude=["Folder 2"]).groupBy("layer_key").agg(F.count("*").alias("n"), F.count("placemark_id").alias("n_ids"), F.round(F.sum(geo.bounds(F.col("geometry"))["w"]), 3).alias("w")),
-    "WITH b AS (SELECT *, CAST(right(settlement_id, 1) AS INTEGER) % 3 AS f FROM {boxes}) SELECT 'folder ' || CAST(f AS VARCHAR) || '-' || kind AS layer_key, count(*) AS n, count(CASE WHEN kind = 'polygon' THEN 1 END) AS n_ids, round(sum(w), 3) AS w FROM b, (VALUES ('polygon'), ('line'), ('point')) k(kind) WHERE f <> 2 GROUP BY 1")
+add("kml_features", lambda s, d: readers.read_kml(s, kml_file(s, d), exclude=["Folder 2"]).groupBy("layer_key", "label", "geometry_type", "fill_color", "line_color", "line_opacity").agg(F.count("*").alias("n"), F.count("placemark_id").alias("n_ids"), F.round(F.sum(geo.bounds(F.col("geometry"))["w"]), 3).alias("w")),
+    """WITH b AS (SELECT *, CAST(right(settlement_id, 1) AS INTEGER) % 3 AS f FROM {boxes}) SELECT CASE WHEN f = 1 THEN 'folder-1' ELSE 'folder-0-' || kind END AS layer_key, CASE WHEN f = 1 THEN 'Folder 1' ELSE 'Folder 0 (' || kind || ')' END AS label, kind AS geometry_type,
+CASE WHEN kind = 'polygon' THEN '#332211' END AS fill_color, CASE WHEN kind = 'polygon' THEN '#332211' END AS line_color, CASE WHEN kind = 'polygon' THEN 0.502 ELSE 1.0 END::DOUBLE AS line_opacity, count(*) AS n, count(CASE WHEN kind = 'polygon' THEN 1 END) AS n_ids, round(sum(w), 3) AS w
+FROM b, (VALUES ('polygon'), ('line'), ('point')) k(kind) WHERE f = 0 OR f = 1 AND kind = 'polygon' GROUP BY f, kind""")
 
 
 def kml_styles(s, d) -> DataFrame:
     b = V(s, d, "boxes").withColumn("i", F.substring("settlement_id", 2, 9).cast("int"))
-    styles = b.select(F.concat(F.lit("st"), F.col("i").cast("string")).alias("_id"), F.struct(F.when(F.col("i") % 2 == 0, F.format_string("80%06x", F.col("i"))).alias("color"), F.lit(None).cast("double").alias("width")).alias("LineStyle"), F.struct(F.format_string("ff%06x", F.col("i") * 3).alias("color")).alias("PolyStyle"), F.lit(None).cast("struct<color:string>").alias("IconStyle"))
-    maps = b.where("i % 5 = 0").select(F.concat(F.lit("m"), F.col("i").cast("string")).alias("_id"), F.array(F.struct(F.lit("normal").alias("key"), F.concat(F.lit("#st"), F.col("i").cast("string")).alias("styleUrl")), F.struct(F.lit("highlight").alias("key"), F.lit("#st1").alias("styleUrl"))).alias("Pair"))
+    styles = b.select(F.lit("f").alias("file"), F.concat(F.lit("st"), F.col("i").cast("string")).alias("_id"), F.struct(F.when(F.col("i") % 2 == 0, F.format_string("80%06x", F.col("i"))).alias("color"), F.lit("wide").alias("width")).alias("LineStyle"), F.struct(F.format_string("40%06x", F.col("i") * 3).alias("color")).alias("PolyStyle"), F.lit(None).cast("struct<color:string>").alias("IconStyle"))
+    maps = b.where("i % 5 = 0").select(F.lit("f").alias("file"), F.concat(F.lit("m"), F.col("i").cast("string")).alias("_id"), F.array(F.struct(F.lit("normal").alias("key"), F.concat(F.lit("#st"), F.col("i").cast("string")).alias("styleUrl")), F.struct(F.lit("highlight").alias("key"), F.lit("#st1").alias("styleUrl"))).alias("Pair"))
     return readers.kml_styles(styles, maps)
 
 
 HEX = lambda v: f"(SELECT '#' || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) FROM (SELECT lpad(lower(to_hex({v})), 6, '0') AS h) q)"
-add("kml_styles", lambda s, d: kml_styles(s, d).select("style_id", "fill_color", "line_color", "line_opacity", "line_width", "circle_color"),
-    f"WITH b AS (SELECT CAST(substr(settlement_id, 2) AS INTEGER) AS i FROM {{boxes}}), c AS (SELECT i, {HEX('i * 3')} AS fc, {HEX('i')} AS lc FROM b) SELECT k || CAST(i AS VARCHAR) AS style_id, fc AS fill_color, CASE WHEN i % 2 = 0 THEN lc ELSE fc END AS line_color, CASE WHEN i % 2 = 0 THEN round(128 / 255.0, 3) ELSE 1.0 END::DOUBLE AS line_opacity, 1.5::DOUBLE AS line_width, fc AS circle_color FROM c, (VALUES ('st'), ('m')) v(k) WHERE k = 'st' OR i % 5 = 0")
+add("kml_styles", lambda s, d: kml_styles(s, d).select("style_id", "fill_color", "line_color", "line_opacity", "line_width", "circle_color", "circle_opacity"),
+    f"WITH b AS (SELECT CAST(substr(settlement_id, 2) AS INTEGER) AS i FROM {{boxes}}), c AS (SELECT i, {HEX('i * 3')} AS fc, {HEX('i')} AS lc FROM b) SELECT k || CAST(i AS VARCHAR) AS style_id, fc AS fill_color, CASE WHEN i % 2 = 0 THEN lc ELSE fc END AS line_color, CASE WHEN i % 2 = 0 THEN round(128 / 255.0, 3) ELSE round(64 / 255.0, 3) END::DOUBLE AS line_opacity, 1.5::DOUBLE AS line_width, fc AS circle_color, 1.0::DOUBLE AS circle_opacity FROM c, (VALUES ('st'), ('m')) v(k) WHERE k = 'st' OR i % 5 = 0")
 
 
 def events_csv(s, d) -> DataFrame:
@@ -194,16 +196,19 @@ add("event_index_rows", lambda s, d: ev.flat_index(event_index(s, d)).select("id
 
 
 def bodies(s, d, part: int) -> DataFrame:
+    """Pages as bodies: one in three comes again under a path that ends in .json, one in four as KML; others only name a type
+    in their query."""
     p = V(s, d, "pages")
-    two = p.unionByName(p.where("page_id % 3 = 0").withColumn("url", F.concat("url", F.lit(".json"))))
-    rows = two.select((F.col("page_id") % 4).cast("string").alias("source_id"), "url", F.lit("text/html").alias("content_type"), F.col("html").cast("binary").alias("body"))
+    two = p.withColumn("url", F.concat("url", F.lit("?as=.kml"))).withColumn("content_type", F.when(F.col("page_id") % 4 == 0, "application/vnd.google-earth.KML+XML").otherwise("text/html"))
+    two = two.unionByName(p.where("page_id % 3 = 0").withColumn("url", F.concat(F.regexp_extract("url", "^[^?#]*", 0), F.lit(".json?v=1"))).withColumn("content_type", F.lit(None).cast("string")))
+    rows = two.select((F.col("page_id") % 4).cast("string").alias("source_id"), "url", "content_type", F.col("html").cast("binary").alias("body"))
     return readers.archive_bodies(rows)[part]
 
 
 add("archived_bodies", lambda s, d: bodies(s, d, 0).select("sha256", "suffix", F.col("size").cast("long").alias("size")),
-    "SELECT sha256(html) AS sha256, CASE WHEN bool_or(page_id % 3 = 0) THEN 'bin' ELSE 'bin' END AS suffix, min(strlen(html)) AS size FROM {pages} GROUP BY 1")
+    "SELECT sha256(html) AS sha256, CASE WHEN bool_or(page_id % 3 = 0) THEN 'json' WHEN bool_or(page_id % 4 = 0) THEN 'kml' ELSE 'bin' END AS suffix, min(strlen(html)) AS size FROM {pages} GROUP BY 1")
 add("body_links", lambda s, d: bodies(s, d, 1),
-    "SELECT DISTINCT CAST(page_id % 4 AS VARCHAR) AS source_id, url, sha256(html) AS sha256 FROM (SELECT page_id, url, html FROM {pages} UNION ALL SELECT page_id, url || '.json', html FROM {pages} WHERE page_id % 3 = 0) t")
+    "SELECT DISTINCT CAST(page_id % 4 AS VARCHAR) AS source_id, url, sha256(html) AS sha256 FROM (SELECT page_id, url || '?as=.kml' AS url, html FROM {pages} UNION ALL SELECT page_id, regexp_extract(url, '^[^?#]*') || '.json?v=1', html FROM {pages} WHERE page_id % 3 = 0) t")
 
 
 def published(s, d) -> DataFrame:

@@ -247,12 +247,34 @@ def test_events_csv_keeps_quoted_lines(spark, tmp_path):
 
 def test_kml(spark, tmp_path):
     (tmp_path / "k.kml").write_text('<kml xmlns="http://www.opengis.net/kml/2.2"><Document><Style id="a"><LineStyle><color>80112233</color></LineStyle><PolyStyle><color>ff0000ff</color></PolyStyle></Style><StyleMap id="m"><Pair><key>normal</key><styleUrl>#a</styleUrl></Pair></StyleMap><Folder><name>Front</name><Placemark id="front-7"><name>x</name><Point><coordinates>30.5,48.5,0</coordinates></Point></Placemark><Placemark><name>short</name><LineString><coordinates>1,2</coordinates></LineString></Placemark></Folder><Folder><name>Other</name><Placemark><name>y</name><Point><coordinates>1,2</coordinates></Point></Placemark></Folder></Document></kml>')
-    rows = readers.read_kml(spark, str(tmp_path / "k.kml"), include=["front"]).collect()
-    assert [(r.placemark_id, r.geometry_type, r.layer_key) for r in rows] == [("front-7", "point", "front-point")]
+    rows = readers.read_kml(spark, str(tmp_path / "k.kml"), include=["Front"]).collect()
+    assert [(r.placemark_id, r.geometry_type, r.layer_key, r.label) for r in rows] == [("front-7", "point", "front", "Front")]
+    assert readers.read_kml(spark, str(tmp_path / "k.kml"), include=["front"]).count() == 0 and readers.read_kml(spark, str(tmp_path / "k.kml"), exclude=["Front"]).first().name == "y"
     looks = {r.style_id: r for r in readers.read_kml_styles(spark, str(tmp_path / "k.kml")).collect()}
     assert looks["m"].fill_color == "#ff0000" and looks["m"].line_color == "#332211" and looks["m"].line_opacity == 0.502
 
 
+def test_kml_as_a_tree(spark, tmp_path):
+    mark = lambda n, shape, style="": f"<Placemark id='{n}'><name>{n}</name>{style and f'<styleUrl>{style}</styleUrl>'}{shape}</Placemark>"
+    dot = "<Point><coordinates>1,2</coordinates></Point>"
+    square = "<Polygon><outerBoundaryIs><LinearRing><coordinates>0,0 1,0 1,1 0,0</coordinates></LinearRing></outerBoundaryIs></Polygon>"
+    deep = f"<MultiGeometry>{dot}<MultiGeometry>{dot}{square}<MultiGeometry>{dot}</MultiGeometry></MultiGeometry></MultiGeometry>"
+    style = "<Style id='f'><PolyStyle><color>80112233</color></PolyStyle></Style><Style id='l'><LineStyle><color>40445566</color><width>x</width></LineStyle><PolyStyle><color>80112233</color></PolyStyle></Style><StyleMap id='m'><Pair><key>highlight</key><styleUrl>#f</styleUrl></Pair><Pair><key>normal</key><styleUrl>#l</styleUrl></Pair></StyleMap><StyleMap id='lost'><Pair><key>normal</key><styleUrl>#none</styleUrl></Pair></StyleMap>"
+    top = f"<Folder><name> Top </name>{mark('a', dot, '#f')}<Folder><name>Inner</name>{mark('b', dot, '#m')}<Folder><name>Innermost</name>{mark('c', deep, '#lost')}</Folder></Folder></Folder>"
+    plain = f"<Folder><name>Plain</name><Folder><name>Top</name>{mark('d', square)}</Folder></Folder>"
+    (tmp_path / "t.kml").write_text(f'<kml xmlns="http://www.opengis.net/kml/2.2"><Document>{style}{top}{plain}</Document></kml>')
+    rows = readers.read_kml(spark, str(tmp_path / "t.kml")).collect()
+    assert sorted((r.placemark_id, r.geometry_type, r.layer_key, r.label) for r in rows) == [("a", "point", "top-point", "Top (point)"), ("b", "point", "top-point", "Top (point)"), *[("c", "point", "top-point", "Top (point)")] * 3, ("c", "polygon", "top-polygon", "Top (polygon)"), ("d", "polygon", "plain", "Plain")]
+    look = {r.placemark_id: (r.fill_color, r.fill_opacity, r.line_color, r.line_opacity, r.line_width, r.circle_color, r.circle_opacity) for r in rows}
+    assert look == {"a": ("#332211", 0.502, "#332211", 0.502, 1.5, "#332211", 1.0), "b": ("#332211", 0.502, "#665544", 0.251, 1.5, "#332211", 1.0), "c": (None, None, None, 1.0, 1.5, None, 1.0), "d": (None, None, None, 1.0, 1.5, None, 1.0)}
+    (tmp_path / "deep.kml").write_text(f'<kml><Document>{"<Folder><name>x</name>" * 11}{mark("e", dot)}{"</Folder>" * 11}</Document></kml>')
+    try:
+        readers.read_kml(spark, str(tmp_path / "deep.kml")).collect()
+        raise AssertionError("deeper placemarks are lost")
+    except Exception as error:
+        assert "nested too deep" in str(error)
+
+
 def test_search_payload_forms(spark, tmp_path):
     event = {"slug": "e", "title": "t", "markets": [{"id": "1", "outcomes": '["Yes","No"]'}, {"id": "2", "outcomes": "broken"}]}
     (tmp_path / "a.json").write_text(json.dumps([event]))
