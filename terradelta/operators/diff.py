@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import boxes_meet, grid_cells, ground_distance
 from ..sources.staging import stage_table
+from . import nearest
 from .overlay import overlap_pairs
 from .pieces import change_pieces
 
@@ -60,9 +61,11 @@ def _distance() -> Column:
 
 
 def same_base(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Candidate pairs (priority 0) with one base key in one observation, with their distance."""
-    both = _side(old, "old", "source_id", "obs", "base_key").join(_side(new, "new", "source_id", "obs", "base_key"), ["source_id", "obs", "base_key"])
-    return both.select("source_id", "obs", "old_feature_id", "new_feature_id", F.lit(0).alias("priority"), F.lit(0.0).alias("overlap"), _distance().alias("distance"))
+    """Candidate pairs (priority 0) with one base key in one observation, with their distance: all of a base with few
+    features, the nearest ones of a base with many."""
+    centre = lambda df: df.select("source_id", "obs", "base_key", F.col("feature_id").alias("id"), ((F.col("w") + F.col("e")) / 2).alias("lon"), ((F.col("s") + F.col("n")) / 2).alias("lat"))
+    both = nearest.candidates(centre(old), centre(new))
+    return both.select("source_id", "obs", F.col("old_id").alias("old_feature_id"), F.col("new_id").alias("new_feature_id"), F.lit(0).alias("priority"), F.lit(0.0).alias("overlap"), "distance")
 
 
 def cross_id(old: DataFrame, new: DataFrame, overlap: Column | None = None, step: float = 0.25) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from terradelta.functions import geo, text
-from terradelta.operators import areas, diff, events, identity, markets, overlay, pieces, snapshots, tiles
+from terradelta.operators import areas, diff, events, identity, markets, nearest, overlay, pieces, snapshots, tiles
 from terradelta.sources import readers
 
 
@@ -199,6 +199,24 @@ def test_identities_of_a_hot_base_and_a_long_chain(spark):
     assert {r.logical_key for r in got if r.base_key == "long"} == {f"long#{'1' * 16}", f"long#{'2' * 16}"}
 
 
+def test_nearest_of_a_hot_base_without_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    spread = lambda n: np.stack([rng.uniform(-180, 180, n), rng.uniform(-89, 89, n)], axis=1)
+    old = np.concatenate([rng.normal((37, 48), 1, (900, 2)), spread(200), np.repeat([[10.0, 10.0]], 50, axis=0), [[179.99, 1.0], [-60.0, 88.9]]])
+    new = np.concatenate([rng.normal((37, 48), 1, (700, 2)), spread(60), np.repeat([[10.0, 10.0]], 9, axis=0), [[-179.99, 1.0], [120.0, 88.95]]])
+    frame = lambda name, x: spark.createDataFrame([("s", 1, "b", f"{name}{n:04d}", float(p[0]), float(p[1])) for n, p in enumerate(x)], "source_id string, obs int, base_key string, id string, lon double, lat double")
+    got = nearest.candidates(frame("o", old), frame("n", new)).collect()
+    a, b = np.radians(old), np.radians(new)
+    d = np.sin((a[:, None, 1] - b[None, :, 1]) / 2) ** 2 + np.cos(a[:, None, 1]) * np.cos(b[None, :, 1]) * np.sin((a[:, None, 0] - b[None, :, 0]) / 2) ** 2
+    d = 2 * geo.EARTH * np.arcsin(np.sqrt(np.minimum(d, 1)))
+    want = {(n, int(k)) for n, k in enumerate(d.argmin(axis=1))} | {(int(k), n) for n, k in enumerate(d.argmin(axis=0))}
+    assert {(int(r.old_id[1:]), int(r.new_id[1:])) for r in got} == want and len(got) == len(want)
+    assert all(abs(r.distance - d[int(r.old_id[1:]), int(r.new_id[1:])]) < 1e-3 for r in got)
+    monkeypatch.setattr(nearest, "ALL_PAIRS", 10**9)
+    assert nearest.candidates(frame("o", old[:30]), frame("n", new[:20])).count() == 600
+    assert nearest.candidates(frame("o", old).limit(0), frame("n", new)).count() == 0
+
+
 def test_clusters_join_chains(spark):
     step = math.degrees(40_000 / geo.MERCATOR_RADIUS)
     rows = [("s", 0, f"p{n:02d}", n * step, 0.0) for n in range(12)] + [("s", 0, "q", 90.0, 0.0), ("s", 1, "z", 0.0, 0.0)]
