@@ -695,6 +695,57 @@ def test_grammar_patterns():
     assert score("") == nothing == score("idiotic")
 
 
+def heard(g):
+    m = g.compiled()
+    return lambda t: g.chance(toxicity.sums_of(t, m)[0])
+
+
+def test_fitted_patterns_keep_the_grammars_order(spark):
+    g = toxicity.fit(common.table(spark, "/root/testdata/sf0.1", "documents"), common.table(spark, "/root/testdata/sf0.1", "labels"))
+    at = {p: w for p, w in zip(toxicity.PATTERNS, g.arcs[1:], strict=False)}
+    for kind, targeted, negated, said in at:
+        assert not targeted or negated or said or at[kind, True, negated, said] >= at[kind, False, negated, said] + toxicity.STEP
+        assert not negated or at[kind, targeted, True, said] <= at[kind, targeted, False, said] - toxicity.STEP
+        assert not said or at[kind, targeted, negated, True] <= at[kind, targeted, negated, False] - toxicity.STEP
+        assert kind != "threat" or negated or said or at["threat", targeted, False, False] >= at["insult", False, False, False] + toxicity.STEP
+    score = heard(g)
+    assert min(score("you idiot"), score("I will kill you")) > score("the word idiot") > max(score("not an idiot"), score("he said idiot"))
+    assert score("you idiot") > score("he said you idiot") and score("I will kill you") > score("they said I will kill you") > score("a fine day")
+
+
+def test_clauses_tell_what_words_do_not():
+    """Ablation: the same insults in toxic and clean texts, told apart by target, negation and report alone."""
+    rng = random.Random(19)
+    word = lambda: rng.choice(["idiot", "moron", "loser", "scum", "clown"])
+    filler = lambda: " ".join(f"w{rng.randrange(50)}x" for _ in range(rng.randrange(3, 9)))
+    bad = [lambda: f"you are such a {word()}", lambda: f"I will kill you {word()}", lambda: f"you {word()}"]
+    fine = [lambda: f"he said {word()}", lambda: f"this is not a {word()}", lambda: f"the paper called it {word()} and wrote {word()}", lambda: f"no {word()} here"]
+    rows = [(n, f"{filler()}. {rng.choice(bad if n % 2 else fine)()}. {filler()}.", n % 2) for n in range(400)]
+    g = grammar()
+    m = g.compiled()
+    x = np.array([[1.0, *toxicity.sums_of(t, m)[0]] for _, t, _ in rows[:200]])
+    g.arcs = toxicity.ordered(toxicity.logistic(x, np.array([y for *_, y in rows[:200]], float), np.array(toxicity.PRIOR)).tolist())
+    right = []
+    for s in (heard(g), lambda t: sum(w in toxicity.INSULTS.split() for w in t.lower().replace(".", " ").split())):
+        ranks = [s(t) for _, t, _ in rows[200:]]
+        good = [(a, b) for a, (_, _, y) in zip(ranks, rows[200:], strict=True) for b, (_, _, z) in zip(ranks, rows[200:], strict=True) if y and not z]
+        right.append(sum((a > b) + (a == b) / 2 for a, b in good) / len(good))
+    assert right[0] > 0.97 and right[1] < 0.6
+
+
+def test_a_doc_id_on_many_rows_is_learned_from_once(spark):
+    labels = spark.createDataFrame([(n, 1, 1) for n in range(8)], "doc_id long, toxic int, quality int")
+    docs = spark.createDataFrame([(n % 8, "some text") for n in range(4000)], "doc_id long, text string")
+    seen = []
+    learn = toxicity.learn
+    try:
+        toxicity.learn = lambda texts: seen.append(texts.count()) or learn(texts)
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.learn = learn
+    assert seen[0] <= 8
+
+
 def brute_patterns(clause, insults):
     """The patterns of a clause, each read off the words around it."""
     kinds = {w: k for k, ws in (("intent", toxicity.INTENT), ("target", toxicity.TARGET), ("negation", toxicity.NEGATION), ("report", toxicity.REPORTED), ("harm", toxicity.HARM)) for w in ws.split()}
