@@ -206,10 +206,12 @@ def compare_all(x: np.ndarray, ids: np.ndarray, many: np.ndarray, q: np.ndarray,
     return ids[once], s[once], len(x)
 
 
-def length_log2(v: Column) -> Column:
-    """The logarithm to base 2 of a vector's length, also where squares would overflow or vanish."""
-    most = F.array_max(F.transform(v, F.abs))
-    return F.log2(most) + 0.5 * F.log2(F.aggregate(v, F.lit(0.0), lambda a, b: a + (b / most) * (b / most)))
+def measure(x: np.ndarray) -> tuple[float, float]:
+    """The logarithm to base 2 of a vector's length, also where squares would overflow or vanish, and its squared length."""
+    most = float(np.abs(x).max())
+    with np.errstate(over="ignore", under="ignore"):
+        part = x / most
+        return math.log2(most) + 0.5 * math.log2(float((part * part).sum())), float((x * x).sum())
 
 
 def valid(v: Column) -> Column:
@@ -246,23 +248,30 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 32, con
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("x"))
     small = v.schema["x"].dataType.elementType == FloatType()  # floats are kept as such and computed as doubles
     v = v.withColumn("x", F.transform("x", lambda x: x.cast("double"))).where(F.col("vec_id").isNotNull() & valid(F.col("x")))
-    v = v.withColumn("log", length_log2(F.col("x")))
-    found = v.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.percentile_approx("log", 0.5).alias("middle")).orderBy(F.desc("n"), "d").first()
+    kind = np.dtype("<f4" if small else "<f8")
+
+    def measured(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            rows = [np.array(x, float) for x in b["x"]]
+            lengths = [measure(x) for x in rows]
+            yield {"vec_id": b["vec_id"], "d": [len(x) for x in rows], "log": [n for n, _ in lengths], "square": [n for _, n in lengths], "x": [x.astype(kind).tobytes() for x in rows]}
+
+    v = stage_table(map_rows(v, measured, "vec_id long, d int, log double, square double, x binary"), "measured")
+    found = v.groupBy("d").agg(F.count("*").alias("n"), F.percentile_approx("log", 0.5).alias("middle")).orderBy(F.desc("n"), "d").first()
     if found is None:
         return v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double" + ", verified long" * count_verified)
     width, count, middle = found
-    v = v.where(F.size("x") == width)
+    v = v.where(F.col("d") == width)
     plain = (F.abs("log") < SAFE) & (F.col("log") <= middle + LONG)
-    norm = F.aggregate("x", F.lit(0.0), lambda a, b: a + b * b)
-    most = v.agg(F.max(F.when(plain, norm))).first()[0]
+    most = v.agg(F.max(F.when(plain, F.col("square")))).first()[0]
     lift = Lift(width, most or 1.0, dims, seed)
     stop = chi_square_quantile(confidence, lift.axes.shape[1])
-    need, kind = k + 1, np.dtype("<f4" if small else "<f8")
+    need = k + 1
     matrix = lambda blobs: np.frombuffer(b"".join(blobs), kind).reshape(-1, width).astype(float)
 
     def project(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"p": lift.rows(np.array(b["x"], float).reshape(-1, width)).tolist()}
+            yield {"p": lift.rows(matrix(b["x"])).tolist()}
 
     drawn = v.where(plain).where(F.pmod(F.xxhash64("x"), F.lit(max(1, count // sample))) == 0).select("x")
     some = sorted(r.p for r in map_rows(drawn, project, "p array<double>").distinct().collect())
@@ -271,11 +280,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 32, con
 
     def assign(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            x = np.array(b["x"], float).reshape(-1, width)
             plain = np.array(b["plain"], bool)
-            leaf = np.full(len(x), APART)
-            leaf[plain] = top.leaf_of(lift.rows(x[plain]))
-            yield {"vec_id": b["vec_id"], "leaf": leaf, "safe": b["safe"], "x": [r.tobytes() for r in x.astype(kind)]}
+            leaf = np.full(len(plain), APART)
+            leaf[plain] = top.leaf_of(lift.rows(matrix(b["x"])[plain]))
+            yield {"vec_id": b["vec_id"], "leaf": leaf, "safe": b["safe"], "x": b["x"]}
 
     marked = v.select("vec_id", "x", plain.alias("plain"), (F.abs("log") < SAFE).alias("safe"))
     rows = stage_table(map_rows(marked, assign, "vec_id long, leaf long, safe boolean, x binary").distinct(), "vectors")
