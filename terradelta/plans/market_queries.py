@@ -60,7 +60,7 @@ add("market_status", lambda s, d: remote(s, d).select("id", text.settled_outcome
 add("market_deadlines", lambda s, d: V(s, d, "markets").select("id", text.deadline({"endDate": F.col("deadline"), "closedTime": F.col("slug")}, {"endDate": F.when(F.col("row_id") % 18 == 0, F.lit("event end"))}).alias("deadline")),
     "SELECT id, coalesce(deadline, CASE WHEN row_id % 18 = 0 THEN 'event end' END, nullif(slug, '')) AS deadline FROM {markets}")
 add("market_odds", lambda s, d: remote(s, d).select("id", text.yes_no(F.col("outcomes"), F.col("prices"), F.col("tokens"), F.col("last_price")).alias("o")).select("id", F.round("o.yes", 6).alias("yes"), F.round("o.no", 6).alias("no"), "o.token"),
-    "SELECT id, round(CASE row_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 0.4 ELSE last_price END, 6) AS yes, round(CASE row_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 1 - last_price END, 6) AS no, 't' || CAST(row_id % 97 AS VARCHAR) AS token FROM {markets} WHERE row_id % 5 <> 0")
+    "SELECT id, round(CASE row_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 0.4 ELSE last_price END, 6) AS yes, round(CASE row_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 1 - last_price END, 6) AS no, 't' || CAST(row_id AS VARCHAR) AS token FROM {markets} WHERE row_id % 5 <> 0")
 add("markets_active", lambda s, d: V(s, d, "markets").select("id", mk.is_active(F.col("status"), F.col("active")).alias("is_active"), mk.migrate_status(F.col("status"), F.col("active")).alias("new_status")),
     "SELECT id, CASE WHEN status IS NOT NULL THEN status = 'active' ELSE coalesce(active, true) END AS is_active, coalesce(status, CASE WHEN coalesce(active, true) THEN 'active' ELSE 'closed' END) AS new_status FROM {markets}")
 add("markets_matched", lambda s, d: mk.match_stored(V(s, d, "markets"), stored(s, d)).select("row_id", "stored_id"),
@@ -102,7 +102,7 @@ n AS (SELECT st.row_id, st.city_id AS named_city FROM st WHERE row_id % 4 = 1 AN
 SELECT row_id, coalesce(stem_city, named_city, only_city, CASE WHEN row_id % 11 = 1 AND row_id % 4 = 1 THEN 's1' END) AS city_id, CASE WHEN stem_city IS NOT NULL THEN 'stem' WHEN named_city IS NOT NULL THEN 'name' WHEN only_city IS NOT NULL THEN 'only' WHEN row_id % 11 = 1 AND row_id % 4 = 1 THEN 'settlement' END AS rule
 FROM st LEFT JOIN a USING (event_slug, stem) LEFT JOIN n USING (row_id) LEFT JOIN o USING (event_slug) WHERE row_id % 3 <> 0""")
 add("markets_live", lambda s, d: mk.live_view(V(s, d, "markets").select("id"), remote(s, d), V(s, d, "points"), book(s, d)).select("id", "closed", F.round("yes", 6).alias("yes"), "token", "n_points", "n_levels"),
-    "WITH p AS (SELECT token, count(*) AS k FROM {points} WHERE t <> 'bad' AND p IS NOT NULL GROUP BY 1), b AS (SELECT token, count(*) AS k FROM {book} GROUP BY 1) SELECT m.id, m.closed, round(CASE row_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 0.4 ELSE last_price END, 6) AS yes, 't' || CAST(row_id % 97 AS VARCHAR) AS token, coalesce(p.k, 0) AS n_points, coalesce(b.k, 0) AS n_levels FROM {markets} m LEFT JOIN p ON p.token = 't' || CAST(row_id % 97 AS VARCHAR) LEFT JOIN b ON b.token = CASE WHEN NOT closed THEN 't' || CAST(row_id % 97 AS VARCHAR) END WHERE row_id % 5 <> 0")
+    "WITH p AS (SELECT token, count(*) AS k FROM {points} WHERE t <> 'bad' AND p IS NOT NULL GROUP BY 1), b AS (SELECT token, count(*) AS k FROM {book} GROUP BY 1) SELECT m.id, m.closed, round(CASE row_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 0.4 ELSE last_price END, 6) AS yes, 't' || CAST(row_id AS VARCHAR) AS token, coalesce(p.k, 0) AS n_points, coalesce(b.k, 0) AS n_levels FROM {markets} m LEFT JOIN p ON p.token = 't' || CAST(row_id AS VARCHAR) LEFT JOIN b ON b.token = CASE WHEN NOT closed THEN 't' || CAST(row_id AS VARCHAR) END WHERE row_id % 5 <> 0")
 add("markets_missing", lambda s, d: mk.missing(V(s, d, "markets").select("id"), remote(s, d)), "SELECT count(*) AS missing, CASE WHEN count(*) = 0 THEN 'ok' ELSE 'partial' END AS status FROM {markets} WHERE row_id % 5 = 0")
 add("price_history", lambda s, d: mk.clean_history(V(s, d, "points")), "SELECT token, CAST(t AS BIGINT) AS t, CAST(p AS DOUBLE) AS p FROM {points} WHERE t <> 'bad' AND p IS NOT NULL")
 add("price_history_refreshed", lambda s, d: mk.refreshed_history(mk.clean_history(V(s, d, "points").where("t < '5'")), V(s, d, "points").where("token < 't5'")).groupBy("token").agg(F.count("*").alias("n")),

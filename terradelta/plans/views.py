@@ -51,14 +51,14 @@ GEO_EVENTS = """SELECT substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || subst
 #: What a new pull holds: six of seven events, of which one in five has changed.
 PULL = """SELECT uuid, event_date, CASE WHEN event_id % 5 = 0 THEN md5(source_hash) ELSE source_hash END AS source_hash, event_id FROM {geo_events} WHERE event_id % 7 <> 0"""
 
-BOOK = """SELECT 't' || CAST(l_partkey % 97 AS STRING) AS token, CASE WHEN l_returnflag = 'A' THEN 'bid' ELSE 'ask' END AS side,
+BOOK = """SELECT 't' || CAST(l_partkey AS STRING) AS token, CASE WHEN l_returnflag = 'A' THEN 'bid' ELSE 'ask' END AS side,
   CASE WHEN l_returnflag = 'A' THEN l_discount * 4 + 0.05 ELSE 0.5 + l_discount * 4 END AS price, sum(l_quantity) AS size FROM {lineitem} GROUP BY 1, 2, 3"""
 
-POINTS = """SELECT 't' || CAST(user_id % 97 AS STRING) AS token, CASE WHEN event_id % 19 = 0 THEN 'bad' ELSE CAST(event_id AS STRING) END AS t, CASE WHEN event_id % 23 = 0 THEN NULL ELSE CAST(value AS STRING) END AS p FROM {events}"""
+POINTS = """SELECT 't' || CAST(user_id AS STRING) AS token, CASE WHEN event_id % 19 = 0 THEN 'bad' ELSE CAST(event_id AS STRING) END AS t, CASE WHEN event_id % 23 = 0 THEN NULL ELSE CAST(value AS STRING) END AS p FROM {events}"""
 
 #: Markets: titles over nations, in three types, some with a description's target.
 MARKETS = """SELECT p_partkey AS row_id, CAST(p_partkey AS STRING) AS id, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'slug-' || CAST(p_partkey % 500 AS STRING) END AS slug,
-  CASE WHEN p_partkey % 6 = 0 THEN '' ELSE 'event-' || CAST(p_partkey % 60 AS STRING) END AS event_slug,
+  CASE WHEN p_partkey % 6 = 0 THEN '' ELSE 'event-' || CAST(p_partkey % 60 AS STRING) || '-' || CAST(CAST(floor(p_partkey / 1500) AS BIGINT) AS STRING) END AS event_slug,
   CASE p_partkey % 3 WHEN 0 THEN 'Will Russia capture all of ' WHEN 1 THEN 'Will Russia capture the ' ELSE 'Will Russia enter ' END || n_name || CASE WHEN p_partkey % 5 = 0 THEN ' (again)' ELSE '' END || ' by June ' || CAST(1 + p_partkey % 30 AS STRING) || '?' AS title,
   'This market resolves when Russia captures the ' || p_name || ' located at ' || CAST(44 + p_partkey % 8 AS STRING) || '.5, ' || CAST(30 + p_partkey % 9 AS STRING) || '.25 in the city of ' || n_name || ', Region' AS description, n_name AS nation, 'City of ' || n_name AS stored_name,
   CASE p_partkey % 3 WHEN 0 THEN 'capture_all' WHEN 1 THEN 'capture' ELSE 'enter' END AS type, 'c' || CAST(n_nationkey AS STRING) AS city_id,
@@ -66,7 +66,7 @@ MARKETS = """SELECT p_partkey AS row_id, CAST(p_partkey AS STRING) AS id, CASE W
   CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'label ' || CAST(p_partkey % 11 AS STRING) END AS target_label, CAST(CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE 44.5 + p_partkey % 8 END AS DOUBLE) AS lat, CAST(CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE 30.25 + p_partkey % 9 END AS DOUBLE) AS lon,
   CASE WHEN p_partkey % 10 = 0 THEN 'soon' ELSE '2025-0' || CAST(1 + p_partkey % 9 AS STRING) || '-1' || CAST(p_partkey % 10 AS STRING) END AS resolved_at, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE '2025-0' || CAST(1 + p_partkey % 9 AS STRING) || '-01' END AS deadline,
   CASE WHEN p_partkey % 2 = 0 THEN 'No' ELSE 'Yes' END AS outcome, '["Yes","No"]' AS outcomes,
-  CASE p_partkey % 4 WHEN 0 THEN '["1","0"]' WHEN 1 THEN '["0","1"]' WHEN 2 THEN '["0.4","0.6"]' ELSE 'broken' END AS prices, '["t' || CAST(p_partkey % 97 AS STRING) || '","x"]' AS tokens, p_partkey % 3 <> 0 AS closed, CAST(p_size AS DOUBLE) / 100 AS last_price
+  CASE p_partkey % 4 WHEN 0 THEN '["1","0"]' WHEN 1 THEN '["0","1"]' WHEN 2 THEN '["0.4","0.6"]' ELSE 'broken' END AS prices, '["t' || CAST(p_partkey AS STRING) || '","x"]' AS tokens, p_partkey % 3 <> 0 AS closed, CAST(p_size AS DOUBLE) / 100 AS last_price
   FROM {part} JOIN {nation} ON n_nationkey = p_partkey % 25"""
 
 TEXTS = """SELECT doc_id AS id, 'see https://x.com/user' || CAST(doc_id AS STRING) || '/status/' || CAST(doc_id * 7 AS STRING) || ', and (https://t.me/ch' || CAST(doc_id % 9 AS STRING) || '/' || CAST(doc_id AS STRING) || '). at 48.' || CAST(100 + doc_id % 800 AS STRING) || ', 37.' || CAST(100 + doc_id % 700 AS STRING) || ' ' || coalesce(text, '') AS text, lang || ', ' || source || ';' || lang || ' ;' AS names FROM {documents}"""
