@@ -23,9 +23,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five words, similarity 0.8): that with the smallest doc_id, nulls
-    last. All texts without words, null ones too, are one group; of repeated rows one stays."""
-    return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
+    """One document of each near-duplicate group stays: that with the smallest doc_id, nulls last. Links are those of
+    op7_simhash (fingerprints at 2 or fewer bits, by ball hashing) and, beyond its radius, a similarity of 0.8 in
+    five-word shingles. All texts without words, null ones too, are one group; of repeated rows one stays."""
+    return simhash.drop_near_duplicates(docs, words=5, similarity=0.8, radius=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,6 +104,14 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def links_of_classes(classes: DataFrame, radius: int) -> DataFrame:
+    """Star edges (a, b), a < b, staged, between the ``th`` of ``classes`` (th, fp) whose fingerprints differ in at most
+    ``radius`` bits: texts of one fingerprint are linked to the least of them, which alone is met by balls."""
+    prints = stage_table(classes.groupBy("fp").agg(F.min("th").alias("rep")), "prints")
+    same = classes.select("fp", "th").join(prints, "fp").where("th <> rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
+    return stage_table(same.unionByName(links(prints.select(F.col("rep").alias("node"), F.col("fp").alias("key")), radius)), "balls")
+
+
 #: Shingles seen in several of about SAMPLE texts, HOT at most, come last in the order of shingles.
 SAMPLE, HOT, HOT_FROM = 4096, 16_384, 4
 #: Against rounding: thresholds are fractions of set sizes.
@@ -172,12 +180,15 @@ def may_reach(similarity: float, a: str, b: str) -> Column:
     return sized & ((n_a + n_b - differ) / 2 >= (n_a + n_b) * (similarity / (1 + similarity)) - EPS)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int | None = None, print_words: int = 3) -> DataFrame:
     """(th, doc_id, component_id, keep) for each distinct (text, doc_id) of ``docs``: th the text's XXH64,
     component_id the smallest doc_id of its group, keep true for one doc_id and text a group.
 
     Groups are the connected components of all pairs of texts whose sets of ``words``-word shingles have a
-    Jaccard similarity of at least ``similarity``; none is missed. Such a pair shares a shingle among the
+    Jaccard similarity of at least ``similarity``; none is missed. With a ``radius``, all pairs whose SimHash
+    fingerprints of ``print_words``-word shingles differ in at most so many bits are links as well: they are met by
+    ball hashing, as in ``near_groups``, before anything else, so a group holds whole components of that. A pair
+    that is similar but has more bits apart is met by its shingles: it shares a shingle among the
     first n - ceil(similarity * n) + 1 of each set in any one order (prefix filter), so texts meet in buckets
     by those shingles, frequent ones last. Sizes, bitmaps and the place of the shingle in both sets bound a
     pair's overlap; what can reach the threshold is verified on the whole sets.
@@ -199,10 +210,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         for b in batches:
             sets = [shingle_set(t, words) for t in b["text"]]
             wide = [parity(x) for x in sets]
-            yield {"th": b["th"], "doc_id": b["doc_id"], "n": [len(x) for x in sets], "bits": [folded(p, PARITY).view(np.int64) for p in wide], "wide": [p.tobytes() for p in wide], "first": [prefix(x, hot, rank, similarity).view(np.int64) for x in sets]}
+            prints = [0 if radius is None else fingerprint(shingle_hashes(t, print_words)) for t in b["text"]]
+            yield {"th": b["th"], "doc_id": b["doc_id"], "fp": prints, "n": [len(x) for x in sets], "bits": [folded(p, PARITY).view(np.int64) for p in wide], "wide": [p.tobytes() for p in wide], "first": [prefix(x, hot, rank, similarity).view(np.int64) for x in sets]}
 
-    found = stage_table(map_rows(rows, prefixes, "th long, doc_id long, n long, bits array<long>, wide binary, first array<long>"), "prefixes")
-    classes = stage_table(found.groupBy("th").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "bits", "wide", "first")]), "classes")
+    found = stage_table(map_rows(rows, prefixes, "th long, doc_id long, fp long, n long, bits array<long>, wide binary, first array<long>"), "prefixes")
+    classes = stage_table(found.groupBy("th").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "n", "bits", "wide", "first")]), "classes")
+    tried = links_ = docs.sparkSession.createDataFrame([], "a long, b long") if radius is None else links_of_classes(classes, radius)
     shared = classes.select("th", F.posexplode("first").alias("at", "s")).repartition("s")
     least = shared.groupBy("s").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a < b").select("s", "a")
     shared = stage_table(shared.join(least, "s").select("s", "th", "at", "a"), "shared")
@@ -210,12 +223,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     def sized(n: str, *which: str) -> DataFrame:
         return classes.select(F.col("th").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("n", *which)])
 
-    def verified(met: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def verified(met: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The pairs of ``met`` (a, b) that are verified now, and those that hold."""
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs.join(sized("a", "bits"), "a").join(sized("b", "bits"), "b").where(may_reach(similarity, "a", "b")).select("a", "b")
         pairs = map_rows(pairs.join(sized("a", "wide"), "a").join(sized("b", "wide"), "b"), closer, "a long, b long")
-        pairs = stage_table(pairs if before is None else pairs.join(before, ["a", "b"], "left_anti"), "pairs")
+        pairs = stage_table(pairs.join(before, ["a", "b"], "left_anti"), "pairs")
         asked = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct().join(classes.select("th", "doc_id"), "th"), "asked")
         texts = rows.join(asked, ["th", "doc_id"])
         shingles = stage_table(map_rows(texts.select("th", "text"), sets, "th long, set binary").dropDuplicates(["th"]), "sets")
@@ -248,7 +261,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     def rooted(linked: DataFrame) -> DataFrame:
         return shared.select("s", "th", "at").join(linked, F.col("th") == F.col("node"), "left").select("s", "th", "at", F.coalesce("root", "th").alias("root"))
 
-    tried, links_ = verified(shared.where("a <> th").select("a", F.col("th").alias("b")), None)
+    first, more = verified(shared.where("a <> th").select("a", F.col("th").alias("b")), tried)
+    tried, links_ = tried.unionByName(first), links_.unionByName(more)
     degrees = links_.select(F.explode(F.array("a", "b")).alias("th")).groupBy("th").agg(F.count("*").alias("links"))
     open_ = rooted(components(links_)).join(degrees, "th", "left").select("s", "th", "root", F.coalesce("links", F.lit(0)).alias("links"))
     lead = open_.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("links", "th", "root")).alias("lead")).where("low < high").select("s", "lead")
@@ -273,10 +287,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     return out.select("th", "doc_id", F.col("best.first").alias("component_id"), ((F.col("doc_id") == F.col("best.first")) & (F.col("th") == F.col("best.th"))).alias("keep"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """The rows of ``docs``, all columns as they were, of which one of each near-duplicate group stays: that with
     the smallest doc_id; of repeated rows one."""
-    keep = near_duplicates(docs, words, similarity).where("keep").select(F.col("th").alias("_th"), F.col("doc_id").alias("_id"))
+    keep = near_duplicates(docs, words, similarity, radius).where("keep").select(F.col("th").alias("_th"), F.col("doc_id").alias("_id"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
     rows = rows.withColumn("_th", F.xxhash64(F.coalesce("_row.text", F.lit("")))).withColumn("_id", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit((1 << 63) - 1)))
     kept = rows.join(keep, ["_th", "_id"]).withColumn("_nth", F.row_number().over(W.partitionBy("_th", "_id").orderBy(F.lit(0))))

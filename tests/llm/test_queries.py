@@ -1,15 +1,16 @@
 """The registered queries against their SQL, and the pipeline stage by stage."""
 
+import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
 from compare import connect, same
-from test_operators import brute_lines, lines_left, shingle_components, words
+from test_operators import brute_lines, brute_print, lines_left, shingle_components, union, words
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from terradelta.llm import mixing, toxicity
+from terradelta.llm import mixing, simhash, toxicity
 from terradelta.llm.common import stage_table, table
 from terradelta.llm.queries import ORACLES, QUERIES
 
@@ -78,3 +79,30 @@ def test_pipeline_stages_against_brute_force(spark):
     for p in pieces:
         held[p.sequence_id] += p.length
     assert sum(p.length for p in pieces) == tokens and max(held.values()) <= 1024
+
+
+def test_pipeline_near_dedup_links_fingerprints(spark):
+    """One document of each component of op7 stays, though shingle sets be far apart; and of what is similar beyond that."""
+    rng = random.Random(4)
+    some = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    texts = ["", None, " \n", "one"]
+    for _ in range(3):  # a phrase fills the fingerprint, but is a tenth of the distinct shingles
+        phrase = some(7) * 10
+        texts += [" ".join(phrase + some(30)) for _ in range(14)]
+    base = some(300)
+    texts += [" ".join(base), " ".join([*base[:100], *some(3), *base[103:]]), " ".join(some(80))]
+    rng.shuffle(texts)
+
+    ids, prints = range(len(texts)), [brute_print(t) for t in texts]
+    near = [(a, b) for a in ids for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    alike = [(g[0], n) for g in shingle_components([t or "" for t in texts]) for n in g[1:]]
+    assert {(prints[a] ^ prints[b]).bit_count() for a, b in near} == {0, 1, 2}
+    root, shingles = union(near + alike, ids), union(alike, ids)
+    least = lambda root: {min(n for n in ids if root(n) == r) for r in {root(n) for n in ids}}
+    assert len(least(root)) < len(least(shingles)) and len(least(root)) < len(least(union(near, ids)))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in out) == sorted(least(root))
+    kept = Counter(r.component_id for r in simhash.near_groups(docs).collect() if r.doc_id in least(root))
+    assert max(kept.values()) == 1
