@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import whole_unions
 from . import event_queries, market_queries, snapshot_queries, stream_queries
 from .views import expand
 
@@ -16,6 +17,7 @@ _PARTS = (snapshot_queries, event_queries, market_queries, stream_queries)
 
 def _longs(query: Callable, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole numbers come out as longs, whatever counted them."""
+    whole_unions(spark)
     out = query(spark, sf_dir)
     return out.withColumns({c: F.col(c).cast("long") for c, kind in out.dtypes if kind == "int"})
 
